@@ -235,7 +235,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
     blocks.mapInArrow(run, "start long, n_ids long, doc_ids array<long>, lens array<int>, offsets binary, payload binary, crc32 long").write.parquet(f"{path}/blocks")
 
 
-def _decoded(spark: SparkSession, path: str, per_document, schema: str) -> DataFrame:
+def _decoded(spark: SparkSession, path: str, per_document, kind: pa.DataType, schema: str) -> DataFrame:
     bits = np.zeros(65_536, np.uint8)
     for r in spark.read.parquet(f"{path}/codebook").collect():  # at most one row an id of the vocabulary
         bits[r.id] = r.bits
@@ -253,19 +253,19 @@ def _decoded(spark: SparkSession, path: str, per_document, schema: str) -> DataF
                     out.append((name, row["start"] + at, n, per_document(ids[at : at + n])))
                     at += n
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3])], schema.replace(",", "").split(" ")[::2])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], kind)], schema.replace(",", "").split(" ")[::2])
 
     return spark.read.parquet(f"{path}/blocks").mapInArrow(run, schema)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in the file set."""
-    return _decoded(spark, path, lambda ids: ids.astype(np.int32).tolist(), "doc_id long, start long, n_tokens long, ids array<int>")
+    return _decoded(spark, path, lambda ids: ids.astype(np.int32), pa.list_(pa.int32()), "doc_id long, start long, n_tokens long, ids array<int>")
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) read back from the file set."""
-    return _decoded(spark, path, lambda ids: zlib.crc32(ids.tobytes()), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _decoded(spark, path, lambda ids: zlib.crc32(ids.tobytes()), pa.int64(), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_and_read_back(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2) -> DataFrame:

@@ -42,8 +42,8 @@ def _block(n_blocks: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(SEED), "doc_id", F.length("text")), n_blocks)
 
 
-def _block_order(epoch: Column) -> Column:
-    return F.xxhash64(F.lit(SEED), epoch, "source", "block")
+def _block_order(epoch: Column, block: str = "block") -> Column:
+    return F.xxhash64(F.lit(SEED), epoch, "source", block)
 
 
 def _doc_order(epoch: Column) -> Column:
@@ -106,7 +106,7 @@ def passes_of(docs: DataFrame, repetition: float | None = REPETITION, entropy: f
     totals = stored(source_totals(docs), "sources")
     plan = stored(quotas(totals, find_exponent(totals, repetition, entropy), budget), "quotas")
     size = plan.count()
-    lay = _with_small(docs.select("doc_id", "source", F.length("text").alias("n_chars_"), tokens().alias("n"), "text"), plan.where("rest > 0"), size)
+    lay = _with_small(docs.select("doc_id", "source", tokens().alias("n"), "text"), plan.where("rest > 0"), size)
     lay = lay.select("source", "passes", "rest", _block(F.col("n_blocks")).alias("block"), _doc_order(F.col("passes")).alias("h"), "n")
     lay = stored(lay, "lay")
     blocks = lay.groupBy("source", "passes", "rest", "block").agg(F.sum("n").alias("n")).withColumn("order", _block_order(F.col("passes")))
@@ -124,14 +124,14 @@ def passes_of(docs: DataFrame, repetition: float | None = REPETITION, entropy: f
 def mix(docs: DataFrame, repetition: float | None = REPETITION, entropy: float | None = None, budget: float | None = None) -> DataFrame:
     """Every appearance of a document in the mix: its columns, mix_weight, mix_epoch, mix_block and mix_order.
 
-    Sorting a source's rows by (mix_epoch, mix_block, mix_order) gives its block permutations.
+    Columns of these four names that ``docs`` has are replaced. Sorting a source's rows by (mix_epoch, mix_block, mix_order) gives its block permutations.
     """
+    docs = docs.drop("mix_weight", "mix_epoch", "mix_block", "mix_order")
     plan, size = passes_of(docs, repetition, entropy, budget)
-    own = [docs[c] for c in docs.columns]
     plan = plan.select("source", *[F.col(c).alias(f"mix_{c}") for c in ("weight", "passes", "n_blocks", "cut_block", "cut_doc")])
-    rows = _with_small(docs, plan, size).withColumn("block", _block(F.col("mix_n_blocks")))
-    at = _block_order(F.col("mix_passes"))
+    rows = _with_small(docs, plan, size).withColumn("mix_at", _block(F.col("mix_n_blocks")))
+    at = _block_order(F.col("mix_passes"), "mix_at")
     extra = (at < F.col("mix_cut_block")) | ((at == F.col("mix_cut_block")) & (_doc_order(F.col("mix_passes")) <= F.col("mix_cut_doc")))
     copies = F.col("mix_passes") + F.coalesce(extra, F.lit(False)).cast("int")
     rows = rows.withColumn("mix_epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
-    return rows.select(*own, "mix_weight", "mix_epoch", _block_order(F.col("mix_epoch")).alias("mix_block"), _doc_order(F.col("mix_epoch")).alias("mix_order"))
+    return rows.select(*docs.columns, "mix_weight", "mix_epoch", _block_order(F.col("mix_epoch"), "mix_at").alias("mix_block"), _doc_order(F.col("mix_epoch")).alias("mix_order"))

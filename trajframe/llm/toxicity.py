@@ -1,9 +1,10 @@
 """Severity of toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features of a text are its distinct words and their beginnings. Severity has four ordered grades: 0 for texts labelled
-clean; texts labelled toxic are graded 1 to 3 by thirds of how densely they use features that set toxic texts apart.
-One weight vector is shared by the three thresholds: P(grade > k) = sigmoid(w.x - t_k). It is fitted with an L1 penalty
-on a bounded sample of labelled rows (``MOST_PER_CLASS`` of each class, by hash of doc_id) and applied to all documents.
+clean; texts labelled toxic are graded 1 to 3 by thirds of how many features they have that set toxic texts apart.
+One weight vector is shared by the three thresholds: P(grade > k) = sigmoid(w.x - t_k). Weights
+are not negative, so that no amount of harmless text outweighs what is toxic. It is fitted with an L1 penalty on a
+bounded sample of labelled rows (``MOST_PER_CLASS`` of each class, by hash of doc_id) and applied to all documents.
 The outputs are the expected severity, the likeliest grade, and whether P(grade > 0) reaches ``REJECT_AT``.
 
 Nulls: null text counts as empty; labels without doc_id or toxic are left out; of repeated labels a toxic one wins.
@@ -12,6 +13,7 @@ Without labels of both classes nothing is rejected. Repeated documents get a row
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 
 MOST_PER_CLASS = 4000
 REJECT_AT = 0.5
+#: Features enter the model if they favour toxic texts and chance explains them with a probability under exp(-SCREEN) over all features together.
+SCREEN = 1.0
 GRADES = 4
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
@@ -68,8 +72,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLA
     return texts.select(F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "toxic int, features binary")
 
 
-def fit(toxic: np.ndarray, rows: list[np.ndarray], rounds: int = 200, rate: float = 0.25, penalty: float = 4e-4) -> OrdinalModel:
-    """Grade the sample and fit the model by proximal AdaGrad."""
+def fit(toxic: np.ndarray, rows: list[np.ndarray], rounds: int = 300, rate: float = 0.08, penalty: float = 2e-5) -> OrdinalModel:
+    """Grade the sample and fit the model by proximal descent with steps scaled to each gradient's size."""
     thresholds = np.linspace(1.0, 3.0, GRADES - 1)
     if len(set(toxic.tolist())) < 2:
         return OrdinalModel({}, np.full(GRADES - 1, 30.0))
@@ -79,15 +83,20 @@ def fit(toxic: np.ndarray, rows: list[np.ndarray], rounds: int = 200, rate: floa
     keep = many[col]
     names, col, row = names[many], (np.cumsum(many) - 1)[col[keep]], row[keep]
     bad = toxic > 0
-    share = np.bincount(col, bad[row], len(names)) + 0.5, np.bincount(col, ~bad[row], len(names)) + 0.5
-    p, q = share[0] / (bad.sum() + 1), share[1] / ((~bad).sum() + 1)
-    telling = np.log(p / q) > 3 * np.sqrt(1 / share[0] + 1 / share[1])
-    load = np.bincount(row, telling[col], len(rows)) / np.maximum(np.bincount(row, minlength=len(rows)), 1)
+    k, n = np.bincount(col, bad[row], len(names)), np.bincount(col, minlength=len(names))
+    # How unlikely a feature's share of toxic texts is by chance: -log of Chernoff's bound, against all features tried.
+    part = lambda x, of: x * np.log(np.maximum(x, 1e-12) / np.maximum(of, 1e-12))
+    chance = part(k, n * bad.mean()) + part(n - k, n * (1 - bad.mean()))
+    told = (chance > math.log(max(len(names), 1)) + SCREEN) & (k > n * bad.mean())
+    keep = told[col]
+    names, col, row = names[told], (np.cumsum(told) - 1)[col[keep]], row[keep]
+    load = np.bincount(row, minlength=len(rows))
     cuts = np.quantile(load[bad], [1 / 3, 2 / 3])
     grade = np.where(bad, 1 + np.searchsorted(cuts, load, side="left"), 0)
 
-    w, g2, t, t2, n = np.zeros(len(names)), np.full(len(names), 1e-6), thresholds.copy(), np.full(GRADES - 1, 1e-6), len(rows)
-    for _ in range(rounds):
+    w, t, n = np.zeros(len(names)), thresholds.copy(), len(rows)
+    gw, gt = np.zeros(len(w)), np.zeros(len(t))
+    for r in range(rounds):
         s = np.bincount(row, w[col], n)
         above = np.pad(1 / (1 + np.exp(np.clip(t - s[:, None], -60, 60))), ((0, 0), (1, 1)))
         above[:, 0] = 1
@@ -95,12 +104,10 @@ def fit(toxic: np.ndarray, rows: list[np.ndarray], rounds: int = 200, rate: floa
         inside = np.maximum(a - b, 1e-9)
         dw = np.bincount(col, (a + b - 1)[row], len(names)) / n
         dt = (np.bincount(grade, a * (1 - a) / inside, GRADES)[1:] - np.bincount(grade, b * (1 - b) / inside, GRADES)[:-1]) / n
-        g2 += dw * dw
-        t2 += dt * dt
-        step = rate / np.sqrt(g2)
-        w = w - step * dw
-        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
-        t = np.maximum.accumulate(t - rate / np.sqrt(t2) * dt + np.arange(GRADES - 1) * 1e-6)
+        gw, gt = 0.95 * gw + 0.05 * dw * dw, 0.95 * gt + 0.05 * dt * dt
+        seen, now = 1 - 0.95 ** (r + 1), rate * (1 - r / rounds)
+        w = np.maximum(w - now * (dw + penalty) / (np.sqrt(gw / seen) + 1e-6), 0)
+        t = np.maximum.accumulate(t - now * dt / (np.sqrt(gt / seen) + 1e-6) + np.arange(GRADES - 1) * 1e-6)
     return OrdinalModel({int(k): float(x) for k, x in zip(names, w, strict=True) if x}, t)
 
 
