@@ -51,7 +51,7 @@ def unescape_role(role: str) -> str:
 
 def assemble(roles: list[str], texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids and loss mask of each turn."""
-    bpe = byte_bpe(VOCABULARY, "<i4", True)
+    bpe = byte_bpe(VOCABULARY, "I", True)
     of = lambda xs: [np.frombuffer(x, "<i4") for x in bpe.encode(xs)]
     (newline,) = of(["\n"])
     out = []
@@ -97,7 +97,7 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = byte_bpe(VOCABULARY, "<i4", True).tokenizer
+        tokenizer = byte_bpe(VOCABULARY, "I", True).tokenizer
         names = [x.split(" ")[0] for x in schema.split(", ")]
         open_, done = None, []
         for batch in batches:

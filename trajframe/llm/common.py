@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,29 +45,54 @@ def utf8(col: str | Column) -> Column:
 class ChunkCache:
     """A worker's bounded memo from a piece of text to its encoding.
 
-    ``encode`` maps a list of pieces to their encodings. Pieces over ``longest`` characters are encoded but not kept,
-    and the memo starts afresh beyond ``entries``, so its memory is bounded whatever the texts hold. The result never
-    depends on what is cached.
+    ``encode`` maps a list of pieces to their encodings. Two generations of at most ``entries`` pieces are kept: when
+    the young one is full it becomes the old one, and what is met again moves back. Pieces over ``longest`` characters
+    are dropped with the next call, so memory is bounded whatever the texts hold. Results never depend on the memo.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], entries: int = 400_000, longest: int = 48):
+    def __init__(self, encode: Callable[[list[str]], Iterable], entries: int = 500_000, longest: int = 48):
         self.encode, self.entries, self.longest = encode, entries, longest
-        self.known: dict = {}
+        self.young: dict = {}
+        self.old: dict = {}
+        self.long: list[str] = []
 
     def seed(self, pairs: Iterable[tuple[str, object]]) -> None:
-        self.known.update(pairs)
+        self.young.update(pairs)
 
     def lookup(self, pieces: set[str]) -> Callable:
         """A function from each of ``pieces`` to its encoding."""
-        missing = list(pieces.difference(self.known))
-        if not missing:
-            return self.known.__getitem__
-        if len(self.known) > self.entries:
-            self.known = {}
-            missing = list(pieces)
-        got = dict(zip(missing, self.encode(missing), strict=True))
-        self.known.update((k, v) for k, v in got.items() if len(k) <= self.longest)
-        if all(len(k) <= self.longest for k in missing):
-            return self.known.__getitem__
-        known = self.known
-        return lambda k: got[k] if k in got else known[k]
+        for k in self.long:
+            del self.young[k]
+        self.long = []
+        if len(self.young) > self.entries:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = pieces.difference(young)
+        if old and missing:
+            again = [k for k in missing if k in old]
+            young.update((k, old[k]) for k in again)
+            missing.difference_update(again)
+        if missing:
+            new = list(missing)
+            young.update(zip(new, self.encode(new), strict=True))
+            self.long = [k for k in new if len(k) > self.longest]
+        return young.__getitem__
+
+
+def by_size(column: pa.Array, most_bytes: int = 8_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """(start, slice) of a column of texts in parts of about ``most_bytes``, a longer text alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        before = ends[at - 1] if at else 0
+        to = max(int(np.searchsorted(ends, before + most_bytes, side="right")), at + 1)
+        yield at, column.slice(at, to - at)
+        at = to
+
+
+def between_spaces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pieces between single spaces, each text's pieces as numbers of these, and where each text's begin."""
+    cut = pc.split_pattern(texts, " ")
+    flat = cut.flatten().dictionary_encode()
+    begin = np.cumsum(np.append(0, pc.list_value_length(cut).to_numpy(zero_copy_only=False)))
+    return flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False), begin

@@ -16,16 +16,18 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajframe.llm.common import ChunkCache, shared_dir, stored, tokenizer_path
+from trajframe.llm.common import ChunkCache, between_spaces, by_size, shared_dir, stored, tokenizer_path
 
 MOST_BITS = 16
 BLOCK_IDS = 262_144
@@ -35,58 +37,95 @@ CHECKPOINT = 256
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _RUNS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _WORD_THEN_MARKS = re.compile(r"( ?L+)(M+)?(\n)?(L+)?(M+)?".replace("L", "[A-Za-zÀ-ÖØ-öø-ÿ]").replace("M", r"[!-&(-/:-@\[-`{-~]"))
-_BEFORE_SPACE = [w + " " for w in WHITE]
+_BEFORE_SPACE = f"[{WHITE}] "
 
 
 def chunks(text: str) -> list[str]:
     """Cut a text where a byte-level BPE's own splitting never joins: before white space that follows something else.
 
-    Where every space stands alone (the usual text), the cheaper cut at each space is as safe.
+    The usual text, in which no space follows white space, may as safely be cut at each space.
     """
-    if any(w in text for w in _BEFORE_SPACE):
-        return _RUNS.findall(text)
-    first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
+    return _RUNS.findall(text)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes as: printable Latin-1 stands for itself, the rest follows from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [x for x in range(256) if x not in plain]
+    return {x: chr(x) for x in plain} | {x: chr(256 + k) for k, x in enumerate(rest)}
 
 
 class ByteBpe:
-    """Ids of texts as little-endian bytes, through worker memos of chunks and of the words within them."""
+    """Ids of texts as little-endian bytes, through worker memos of what lies between spaces and of the words within."""
 
-    def __init__(self, name: str, width: str = "<u4", ordinary: bool = False):
-        """ordinary: special tokens' strings in a text are ordinary text."""
+    def __init__(self, name: str, kind: str = "I", ordinary: bool = False):
+        """kind: array type code of the ids; ordinary: special tokens' strings in a text are ordinary text."""
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.width = Tokenizer.from_file(tokenizer_path(name)), width
+        self.tokenizer, self.kind = Tokenizer.from_file(tokenizer_path(name)), kind
         self.tokenizer.encode_special_tokens = ordinary
-        self.words = ChunkCache(self._library)
-        self.chunks = ChunkCache(self._by_word)
+        self.letters = _byte_letters()
+        self.words = ChunkCache(self._word_ids)
+        self.chunks = ChunkCache(self._by_word, 100_000)
+        self.after_space = ChunkCache(lambda pieces: self._by_word([" " + p for p in pieces]))
 
     def _library(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.width).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [array(self.kind, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Each is letters or marks alone, which the library's splitting keeps whole: its model encodes it directly."""
+        model, letters, kind = self.tokenizer.model.tokenize, self.letters, self.kind
+        return [array(kind, [t.id for t in model(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in words]
 
     def _by_word(self, pieces: list[str]) -> list[bytes]:
         """Letters, marks and a newline after them are always split, so that a new mixture needs no new encoding."""
-        cut = [[x for x in m.groups() if x] if (m := _WORD_THEN_MARKS.fullmatch(p)) and "<|" not in p else [p] for p in pieces]
-        of = self.words.lookup({x for c in cut for x in c})
-        return [b"".join(map(of, c)) for c in cut]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(t) if t else [] for t in texts]
+        match = _WORD_THEN_MARKS.fullmatch
+        cut = [m.groups("") if (m := match(p)) and "<|" not in p else None for p in pieces]
+        of = self.words.lookup({x for c in cut if c for x in c if x})
+        odd = iter(self._library([p for p, c in zip(pieces, cut, strict=True) if c is None]))
+        return [next(odd) if c is None else of(c[0]) if not (c[1] or c[2]) else b"".join([of(x) for x in c if x]) for c in cut]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(texts, _BEFORE_SPACE)
+        out = iter(self._usual(texts.filter(pc.invert(odd))))
+        cut = [chunks(t) for t in texts.filter(odd).to_pylist()]
         of = self.chunks.lookup(set().union(*cut))
-        return [b"".join(map(of, c)) for c in cut]
+        rest = (b"".join(map(of, c)) for c in cut)
+        return [next(rest) if x else next(out) for x in odd.to_pylist()]
+
+    def _usual(self, texts: pa.Array) -> list[bytes]:
+        """Distinct pieces are looked up once; the ids of all are then gathered by their numbers."""
+        if not len(texts):
+            return []
+        pieces, number, begin = between_spaces(texts)
+        heads = number[begin[:-1]]  # a text's first piece has no space before it
+        of = self.after_space.lookup(set(pieces))
+        ids = [of(p) for p in pieces]
+        first = {h: pieces[h] for h in np.unique(heads).tolist()}
+        of = self.chunks.lookup(set(first.values()) - {""})
+        at = {h: len(ids) + k for k, h in enumerate(first)}
+        ids += [of(p) if p else b"" for p in first.values()]
+        number = number.astype(np.int32)
+        number[begin[:-1]] = [at[h] for h in heads.tolist()]
+        size = np.array([len(x) for x in ids]) // array(self.kind).itemsize
+        lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), f"<u{array(self.kind).itemsize}")))
+        got = lists.take(pa.array(number)).flatten().to_numpy()
+        ends = np.cumsum(size[number])[begin[1:] - 1]
+        return [x.tobytes() for x in np.split(got, ends[:-1])]
 
 
 @cache
-def byte_bpe(name: str, width: str, ordinary: bool = False) -> ByteBpe:
+def byte_bpe(name: str, kind: str, ordinary: bool = False) -> ByteBpe:
     """One for each worker and vocabulary, so that its memos serve all of the worker's tasks."""
-    return ByteBpe(name, width, ordinary)
+    return ByteBpe(name, kind, ordinary)
 
 
 def id_blocks(docs: DataFrame, vocabulary: str, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:
     """(pid, block, base, doc_ids, lens, ids): blocks of whole documents in ascending doc_id order within ranges pid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, pid, end = byte_bpe(vocabulary, "<u2"), TaskContext.get().partitionId(), np.array([end_id], "<u2").tobytes()
+        bpe, pid, end = byte_bpe(vocabulary, "H"), TaskContext.get().partitionId(), np.array([end_id], "<u2").tobytes()
         block = base = 0
         names: list = []
         parts: list[bytes] = []
@@ -100,9 +139,8 @@ def id_blocks(docs: DataFrame, vocabulary: str, end_id: int, block_ids: int = BL
 
         schema = pa.schema([("pid", pa.int32()), ("block", pa.int32()), ("base", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("ids", pa.binary())])
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                for name, ids in zip(part.column(0).to_pylist(), bpe.encode(part.column(1).to_pylist()), strict=True):
+            for k, texts in by_size(batch.column(1)):
+                for name, ids in zip(batch.column(0).slice(k, len(texts)).to_pylist(), bpe.encode(texts), strict=True):
                     names.append(name)
                     parts.append(ids + end)
                     size += len(parts[-1]) // 2

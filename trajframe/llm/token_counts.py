@@ -15,12 +15,14 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajframe.llm.common import ChunkCache, tokenizer_path
+from trajframe.llm.common import ChunkCache, between_spaces, by_size, tokenizer_path
 
 TABLE_ENTRIES = 65_536
 #: A task reports pre-tokens that make up at least one in so many of its own.
@@ -72,10 +74,20 @@ class PieceLengths:
         of = self.lines.lookup({k for x in keys for k in x})
         return [sum(map(of, x)) + len(x) - 1 for x in keys]
 
-    def count(self, texts: list[str]) -> list[int]:
-        cut = [pre_tokens(t) for t in texts]
+    def count(self, texts: list[str] | pa.Array) -> list[int]:
+        """Texts with a run of spaces, a space at an end or a mark are cut one by one, all others in columns."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(texts, f"^ |  | $|{MARK}|^$")
+        usual = texts.filter(pc.invert(odd))
+        out = np.zeros(len(texts), np.int64)
+        if len(usual):
+            pieces, number, begin = between_spaces(usual)
+            of = self.whole.lookup(set(pieces))
+            out[~odd.to_numpy(zero_copy_only=False)] = np.add.reduceat(np.array([of(p) for p in pieces])[number], begin[:-1])
+        cut = [pre_tokens(t) for t in texts.filter(odd).to_pylist()]
         of = self.whole.lookup(set().union(*cut))
-        return [sum(map(of, x)) for x in cut]
+        out[odd.to_numpy(zero_copy_only=False)] = [sum(map(of, x)) for x in cut]
+        return out.tolist()
 
 
 _worker: dict[str, PieceLengths] = {}
@@ -97,14 +109,15 @@ def heavy_hitters(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total, floor = Counter(), 0, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                cut = pre_tokens(text)
-                total += len(cut)
-                seen.update(cut)
+            for _, texts in by_size(batch.column(0)):
+                # Runs of spaces are left to the second tier.
+                pieces, number, _ = between_spaces(texts)
+                total += len(number)
+                seen.update(dict(zip(pieces, np.bincount(number, minlength=len(pieces)).tolist(), strict=True)))
             if len(seen) > 500_000:  # lossy counting: what is rare so far cannot reach the share any more than by the floor
                 floor += 1
                 seen = Counter({k: n for k, n in seen.items() if n > floor})
-        top = [(k, n) for k, n in seen.items() if n * HEAVY_SHARE >= total and len(k) <= 48]
+        top = [(k, n) for k, n in seen.items() if n * HEAVY_SHARE >= total and len(k) <= 48 and MARK not in k]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -123,7 +136,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", limit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _lengths(vocabulary, table, key)
         for batch in batches:
-            n = lengths.count(batch.column(2).to_pylist())
+            n = [x for _, texts in by_size(batch.column(2)) for x in lengths.count(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce("text", F.lit(""))
