@@ -65,8 +65,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     found = stored(hits(docs, benchmark), "hits")
     items = benchmark.where("item_id is not null and text is not null").select("item_id", words("text").alias("item_words")).distinct()
+    # Joined by shuffles at every size: how many texts are hit grows with the corpus, so it is never broadcast.
     by_doc = found.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift")).alias("at"))  # bounded by one text's length and the benchmark
-    texts = docs.where("doc_id is not null").select("doc_id", "text").join(by_doc, "doc_id").select("doc_id", words("text").alias("doc_words"), "at")
+    texts = docs.where("doc_id is not null").select("doc_id", "text").join(by_doc.hint("merge"), "doc_id")
+    texts = texts.select("doc_id", words("text").alias("doc_words"), "at")
     # Only the words under an item travel on, not the text.
     laid = texts.select("doc_id", "doc_words", F.explode("at").alias("x")).select("doc_id", "doc_words", "x.item_id", "x.shift").join(items, "item_id")
     laid = laid.select("doc_id", "item_id", F.transform("item_words", lambda w, k: F.coalesce((F.col("shift") + k >= 0) & (F.get("doc_words", F.col("shift") + k) == w), F.lit(False)).cast("int")).alias("same"))
