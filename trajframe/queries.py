@@ -311,9 +311,9 @@ def w10_painter_order(spark, sf):
     return motion.painter_order(frames.real(spark, sf), ["case_id", "frame"], "depth", "actor_id").select("case_id", "frame", "actor_id", "order_index")
 
 
-@query(f"""with recursive {POSES}, s(run, frame, smooth) as (select run, frame, x from poses where frame = 0 union all select p.run, p.frame, s.smooth * 0.85e0 + p.x * 0.15e0 from s join poses p on p.run = s.run and p.frame = s.frame + 1) select run, frame, round(smooth, 3) as smooth from s""")
+@query(f"""with recursive {POSES}, s(run, frame, smooth) as (select run, frame, x from poses where frame = 0 union all select p.run, p.frame, s.smooth * 0.85e0 + p.x * 0.15e0 from s join poses p on p.run = s.run and p.frame = s.frame + 1) select run, frame, round(smooth, 9) as smooth from s""")
 def w8_smoothing(spark, sf):
-    return motion.smoothed(frames.poses(spark, sf), "run", "x").select("run", "frame", F.round("smooth", 3).alias("smooth"))
+    return motion.smoothed(frames.poses(spark, sf), "run", "x").select("run", "frame", F.round("smooth", 9).alias("smooth"))
 
 
 # Sweeps and data sets
