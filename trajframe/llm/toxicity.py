@@ -116,31 +116,35 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) -> Ord
     return fit(np.array([r.toxic for r in sample]), [np.frombuffer(r.features, np.int64) for r in sample])
 
 
-_memo: dict[int, dict[str, float]] = {}
+#: Words that a task remembers the weight of before it starts afresh.
+MEMO_WORDS = 150_000
 
 
-def _scores(model: OrdinalModel, key: int, texts: list[str | None]) -> np.ndarray:
-    """w.x of each text, through the worker's bounded memo of words."""
-    if key not in _memo or len(_memo[key]) > 500_000:
-        _memo.clear()
-        _memo[key] = {}
-    memo, of = _memo[key], model.weights
-    out = np.zeros(len(texts))
-    for k, text in enumerate(texts):
-        words = words_of(text or "")
-        for w in words.difference(memo):
-            memo[w] = sum(of.get(f, 0.0) for f in features(w)) if len(w) <= 100 else 0.0
-        out[k] = sum(map(memo.__getitem__, words))
-    return out
+def _scorer(model: OrdinalModel):
+    """w.x of each text, through a task's bounded memo of words."""
+    memo, of = {}, model.weights
+
+    def scores(texts: list[str | None]) -> np.ndarray:
+        out = np.zeros(len(texts))
+        for k, text in enumerate(texts):
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+            words = words_of(text or "")
+            for w in words.difference(memo):
+                memo[w] = sum(of.get(f, 0.0) for f in features(w)) if len(w) <= 100 else 0.0
+            out[k] = sum(map(memo.__getitem__, words))
+        return out
+
+    return scores
 
 
 def severity(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT) -> DataFrame:
     """(doc_id, expected_severity, grade, p_toxic, rejected) for every document, over its whole text."""
-    key = int(np.random.default_rng().integers(1 << 62))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scorer(model)
         for batch in batches:
-            above = model.above(_scores(model, key, batch.column(1).to_pylist()))
+            above = model.above(scores(batch.column(1).to_pylist()))
             each = np.diff(np.pad(above, ((0, 0), (1, 1)), constant_values=((0, 0), (1, 0))), axis=1) * -1
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above.sum(axis=1).round(6)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0].round(6)), pa.array(above[:, 0] >= reject_at)], ["doc_id", "expected_severity", "grade", "p_toxic", "rejected"])
 
@@ -149,11 +153,12 @@ def severity(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT)
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT) -> DataFrame:
     """The documents that the model does not reject, with all their columns."""
-    key, at = int(np.random.default_rng().integers(1 << 62)), docs.columns.index("text")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scorer(model)
         for batch in batches:
-            above = model.above(_scores(model, key, batch.column(at).to_pylist()))
+            above = model.above(scores(batch.column(at).to_pylist()))
             yield batch.filter(pa.array(above[:, 0] < reject_at))
 
     return docs.mapInArrow(run, docs.schema)
