@@ -14,7 +14,7 @@ def invariants(a: DataFrame, b: DataFrame, key: list[str], fields: list[str], gr
     right = b.select(*key, *[c(f).alias(f"b_{f}") for f in fields], F.lit(True).alias("in_b"))
     both = left.join(right, key, "full_outer")
     errors = {f: F.max(F.abs(c(f"a_{f}") - c(f"b_{f}"))) for f in fields}
-    out = both.groupBy(*group).agg(F.count_if(c("in_b").isNull()).alias("only_a"), F.count_if(c("in_a").isNull()).alias("only_b"), *[F.round(e, 6).alias(f"max_{f}") for f, e in errors.items()], F.coalesce(F.bool_and(F.greatest(*[F.abs(c(f"a_{f}") - c(f"b_{f}")) for f in fields]) <= tolerance), F.lit(True)).alias("close"))
+    out = both.groupBy(*group).agg(F.count_if(c("in_b").isNull()).alias("only_a"), F.count_if(c("in_a").isNull()).alias("only_b"), *[F.round(e, 6).alias(f"max_{f}") for f, e in errors.items()], F.coalesce(F.bool_and(F.greatest(F.lit(0.0), *[F.abs(c(f"a_{f}") - c(f"b_{f}")) for f in fields]) <= tolerance), F.lit(True)).alias("close"))
     return out.withColumn("verdict", F.when((c("only_a") == 0) & (c("only_b") == 0) & c("close"), "PASS").otherwise("FAIL")).drop("close")
 
 
