@@ -8,8 +8,9 @@ import pytest
 
 import __spark_entry__
 from trajframe import queries as core
-from trajframe.functions import angles, boxes, rules
-from trajframe.operators import checks, lookup, motion
+from trajframe.functions import angles, boxes, geometry, rules
+from trajframe.operators import checks, compare, lookup, motion
+from trajframe.plans import datasets
 from trajframe.sources import io
 
 SF = "/root/testdata/sf0.001"
@@ -95,5 +96,43 @@ def test_logs_and_results(spark, tmp_path):
     assert (r.x, r.y) == (2.5, None)
 
 
+def test_corner_box_edges(spark):
+    df = spark.createDataFrame([(0.0, -9.0), (0.0, 10.0), (500.0, 10.0), (0.0, 5000.0), (None, 10.0)], "x double, z double")
+    b = geometry.points_box(geometry.corner_points(df.x, df.z, df.z * 0.0, 4.0, 2.0, 1.5))
+    got = [tuple(r) for r in df.select(*b.values()).collect()]
+    nothing = (False, 0.0, 0.0, 0.0, 0.0)  # behind, beside the image, too small, unknown
+    assert [got[i] for i in (0, 2, 3, 4)] == [nothing] * 4
+    assert got[1] == (True, pytest.approx(560.0), pytest.approx(360 + 640 * 0.1 / 12), pytest.approx(720.0), pytest.approx(360 + 640 * 1.6 / 8))
+
+
+def test_road_contact_ends_and_null(spark):
+    df = spark.createDataFrame([(-1.0,), (15.0,), (17.5,), (45.0,), (99.0,), (None,)], "z double")
+    road = [(45.0, 255.0), (15.0, 370.0), (20.0, 330.0)]
+    assert [r[0] for r in df.select(geometry.road_contact(df.z, road)).collect()] == [370.0, 370.0, 350.0, 255.0, 255.0, None]
+
+
+def test_gallery_of_small_keys(spark):
+    rows = spark.createDataFrame([(1, 1, 5.0), (2, 1, 1.0), (2, 2, 1.0)] + [(3, i, float(i)) for i in range(9)], "key long, id long, err double")
+    got = {k: [] for k in (1, 2, 3)}
+    for r in sorted(datasets.gallery(rows, ["key"], "err", "id", 3).collect(), key=lambda r: (r.key, r.place)):
+        got[r.key].append((r.part, r.id))
+    assert got == {1: [("best", 1)], 2: [("best", 1), ("middle", 2)], 3: [("best", 0), ("middle", 4), ("worst", 8)]}
+
+
+def test_violations_and_reasons(spark):
+    rows = spark.createDataFrame([(1, 5.0), (2, None), (3, 50.0)], "case_id long, speed double")
+    got = checks.violations(rows, ["case_id"], {"slow": rows.speed < 10, "odd": rows.speed < 9}).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "odd"), (1, "slow")]
+    d = spark.createDataFrame([(1, "CULLED", ""), (2, "OOD", "b"), (2, "OOD", "a"), (2, "OOD", "b"), (2, "SUPPORTED", "")], "actor long, class string, reason string")
+    got = {r.actor: (r.active, r.reasons, r.supported_share) for r in compare.reasons_by_actor(d, ["actor"]).collect()}
+    assert got == {1: (1, "", 1.0), 2: (4, "a:1,b:2", 0.25)}
+
+
+def test_turn_without_duration(spark):
+    rows = spark.createDataFrame([(1, 0, 3.0, 90.0), (1, 1, 3.0, 90.0)], "k long, frame long, speed double, turn double")
+    got = motion.turning_ego(rows, ["k"], 0.0, 0.0).orderBy("frame").collect()
+    assert [(r.yaw, r.x) for r in got] == [(0.0, 0.0), (0.0, pytest.approx(0.1))]
+
+
 def test_entry_has_queries():
     assert set(core.oracle_sql()) <= set(__spark_entry__.queries())

@@ -66,3 +66,36 @@ def vehicle_box(x: Column, z: Column, width_m: Column, height_m: Column, margin:
 def horizon_scale(bottom: Column, horizon: float = HEIGHT / 2.0, height: float = HEIGHT, power: float = 1.4) -> Column:
     """Size from the image row that a box stands on."""
     return F.pow(F.greatest((bottom - horizon) / (height - horizon), F.lit(0.0)), F.lit(power))
+
+
+def road_contact(z: Column, points: list[tuple[float, float]]) -> Column:
+    """Image row where a vehicle at depth ``z`` meets the road: straight between (depth, row) points, held at both ends."""
+    points = sorted(points)
+    out = F.when(z <= points[0][0], points[0][1])
+    for (z0, y0), (z1, y1) in zip(points, points[1:]):
+        out = out.when(z <= z1, y0 + (y1 - y0) * (z - z0) / (z1 - z0))
+    return out.when(z.isNotNull(), points[-1][1])
+
+
+def corner_points(x: Column, z: Column, yaw: Column, length: float, width: float, height: float, nearest: float = 1e-4) -> Column:
+    """Array of the image points (u, v) of a standing box's eight corners; corners not beyond ``nearest`` are left out."""
+    cos, sin = _axes(yaw)
+    points = []
+    for ahead in (-length / 2, length / 2):
+        for right in (-width / 2, width / 2):
+            cx, cz = x + ahead * sin + right * cos, z + ahead * cos - right * sin
+            for up in (0.0, height):
+                point = F.struct((WIDTH / 2.0 + focal() * cx / cz).alias("u"), (HEIGHT / 2.0 + focal() * (MOUNT_UP - up) / cz).alias("v"))
+                points.append(F.when(cz > nearest, point))
+    return F.filter(F.array(*points), lambda p: p.isNotNull())
+
+
+def points_box(points: Column, width: int = WIDTH, height: int = HEIGHT, least: float = 2.0) -> dict[str, Column]:
+    """Clipped box around image points; zeros and not visible if it misses the image or is under ``least`` pixels wide or high."""
+    us, vs = F.transform(points, lambda p: p["u"]), F.transform(points, lambda p: p["v"])
+    x1, x2, y1, y2 = F.array_min(us), F.array_max(us), F.array_min(vs), F.array_max(vs)
+    within = lambda v, n: F.least(F.greatest(v, F.lit(0.0)), F.lit(n - 1.0))
+    meets = (x2 >= 0) & (x1 < width) & (y2 >= 0) & (y1 < height)
+    big = (within(x2, width) - within(x1, width) >= least) & (within(y2, height) - within(y1, height) >= least)
+    seen = F.coalesce(meets & big, F.lit(False))
+    return {"visible": seen} | {k: F.when(seen, within(v, n)).otherwise(0.0) for k, v, n in (("x1", x1, width), ("y1", y1, height), ("x2", x2, width), ("y2", y2, height))}

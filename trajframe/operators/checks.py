@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
@@ -44,3 +44,9 @@ def capture_score(rows: DataFrame, key: list[str]) -> DataFrame:
     spread = F.when(F.count(area) < 2, 1.0).otherwise(F.stddev_pop(area) / F.greatest(F.avg(area), F.lit(1.0)))
     score = F.when(seen == 0, -1e9).otherwise(100.0 * seen - 20.0 * F.count_if(c("visible") & c("edge")) - 40.0 * spread)
     return rows.groupBy(*key).agg(seen.alias("n_visible"), F.round(score, 4).alias("score"))
+
+
+def violations(rows: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame:
+    """(key, rule): a row for each rule that a spec breaks; a rule is true where it is broken, null counts as kept."""
+    broken = F.array(*[F.when(bad, F.lit(rule)) for rule, bad in rules.items()])
+    return rows.select(*key, F.explode(F.filter(broken, lambda r: r.isNotNull())).alias("rule"))

@@ -87,3 +87,16 @@ def worst_cases(per_case: DataFrame) -> DataFrame:
     """Per threshold and metric: the case with the largest error (to three places), the first on a tie."""
     long = per_case.where("n_frames > 0").unpivot(["case_id", "min_depth"], [f"mae_{p}" for p in PARTS], "metric", "value").withColumn("value", F.round("value", 3))
     return long.groupBy("min_depth", "metric").agg(F.min_by("case_id", F.struct(-F.col("value"), "case_id")).alias("case_id"), F.max("value").alias("value"))
+
+
+def reasons_by_actor(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Support by actor from (key, class, reason): counts, share supported of what is required, and reasons with their counts.
+
+    Rows are first counted by reason, so that a large actor is never gathered.
+    """
+    each = rows.groupBy(*key, "class", "reason").agg(F.count(F.lit(1)).alias("n"))
+    n = lambda k: F.coalesce(F.sum(F.when(F.col("class") == k, F.col("n"))), F.lit(0))
+    listed = F.array_sort(F.collect_list(F.when(F.col("class") == "OOD", F.format_string("%s:%d", "reason", "n"))))
+    out = each.groupBy(*key).agg(F.sum("n").alias("active"), n("SUPPORTED").alias("supported"), n("CULLED").alias("culled"), n("OOD").alias("ood"), F.array_join(listed, ",").alias("reasons"))
+    required = F.col("supported") + F.col("ood")
+    return out.withColumn("supported_share", F.when(required == 0, 1.0).otherwise(F.col("supported") / required))

@@ -101,3 +101,16 @@ def smoothed(rows: DataFrame, key: str, value: str, keep: float = 0.85) -> DataF
         return pdf.assign(smooth=list(accumulate(pdf[value], lambda s, x: s * keep + x * new)))[[key, "frame", "smooth"]]
 
     return rows.select(key, "frame", c(value).cast("double").alias(value)).groupBy(key).applyInPandas(run, f"{key} long, frame long, smooth double")
+
+
+def turning_ego(rows: DataFrame, key: list[str], turn_start_s: float, turn_s: float, fps: float = 30.0) -> DataFrame:
+    """Adds yaw, x, y of an ego that turns by ``turn`` degrees over ``turn_s`` seconds; rows hold key, frame, speed, turn.
+
+    The heading advances before the position. Its sum has a closed form, so that only the position needs a window.
+    """
+    first, last = F.bround(F.lit(turn_start_s * fps)), F.bround(F.lit((turn_start_s + turn_s) * fps))
+    turned = F.least(F.greatest(c("frame") - first, F.lit(0.0)), last - first)
+    rows = rows.withColumn("yaw", turned * c("turn") / (turn_s * fps) if turn_s > 0 else F.lit(0.0))
+    w = Window.partitionBy(*key).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    step = lambda part: F.sum(F.when(c("frame") > 0, c("speed") / fps * part(F.radians("yaw"))).otherwise(0.0)).over(w)
+    return rows.withColumns({"x": step(F.cos), "y": step(F.sin)})

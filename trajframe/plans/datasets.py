@@ -46,3 +46,19 @@ def bucket_errors(pairs: DataFrame, distance: Column, yaw: Column, errors: list[
     rows = pairs.withColumns({"distance_bin": near, "yaw_bin": turn})
     out = rows.groupingSets([[], [c("distance_bin")], [c("yaw_bin")]], c("distance_bin"), c("yaw_bin"))
     return out.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.abs(e)), 6).alias(f"mae_{e}") for e in errors])
+
+
+def gallery(rows: DataFrame, key: list[str], error: str, ordinal: str, pick: int) -> DataFrame:
+    """Up to ``pick`` rows a key to look at: a third each of the best, middle and worst by ``error``, with part and place.
+
+    A row of a small key may be picked more than once.
+    """
+    col = F.col
+    w = Window.partitionBy(*key)
+    ranked = rows.withColumns({"r": F.row_number().over(w.orderBy(error, ordinal)) - 1, "n": F.count(F.lit(1)).over(w).cast("int")})
+    ranked = ranked.withColumn("wanted", F.least(F.lit(pick), "n"))
+    ranked = ranked.withColumn("third", F.greatest(F.lit(1), F.floor(col("wanted") / 3))).withColumn("mid", F.greatest(F.lit(0), F.floor(col("n") / 2) - F.floor(col("wanted") / 6)))
+    starts = (("best", F.lit(0), 0), ("middle", col("mid"), 1), ("worst", col("n") - col("third"), 2))
+    parts = F.array(*[F.when((col("r") >= at) & (col("r") < at + col("third")), F.struct(F.lit(name).alias("part"), (col("r") - at + k * col("third")).cast("long").alias("place"))) for name, at, k in starts])
+    picked = ranked.withColumn("p", F.explode(F.filter(parts, lambda p: p.isNotNull())))
+    return picked.where("p.place < wanted").select(*rows.columns, "p.part", "p.place")

@@ -359,6 +359,62 @@ def o4_missing_frames(spark, sf):
     return r.join(s, ["case_id", "frame"], "left_anti").groupBy("case_id").agg(F.count(F.lit(1)).alias("n_missing"), F.min("frame").alias("first_missing"), F.array_join(F.slice(F.array_sort(F.collect_list("frame")), 1, 10), ",").alias("sample"))
 
 
+# Corner boxes, road contact, turns, spec rules, reasons, galleries
+
+
+_ROAD = [(45.0, 255.0), (30.0, 285.0), (20.0, 330.0), (15.0, 370.0)]
+
+
+@query(f"with {STATES} select k, line, round(case when z <= 15 then 370e0 when z <= 20 then 370e0 - 40e0 * (z - 15) / 5 when z <= 30 then 330e0 - 45e0 * (z - 20) / 10 when z <= 45 then 285e0 - 30e0 * (z - 30) / 15 else 255e0 end, 6) as bottom from states")
+def p_road_contact(spark, sf):
+    return frames.states(spark, sf).select("k", "line", *r6(bottom=geometry.road_contact(c("z"), _ROAD)))
+
+
+@query(f"""with {STATES}, n as (select *, row_number() over () as id from states), cr as (select id, k, line, x + f * sin(radians(yaw)) + r * cos(radians(yaw)) as cx, z + f * cos(radians(yaw)) - r * sin(radians(yaw)) as cz, 1.6e0 - up as cy from n, (values (-2.25e0), (2.25e0)) a(f), (values (-0.9e0), (0.9e0)) b(r), (values (0e0), (1.5e0)) d(up)),
+pt as (select id, k, line, case when cz > 1e-4 then 640e0 + 1280 / (2e0 * tan(radians(45e0))) * cx / cz end as u, case when cz > 1e-4 then 360e0 + 1280 / (2e0 * tan(radians(45e0))) * cy / cz end as v from cr),
+b as (select id, k, line, min(u) as u1, max(u) as u2, min(v) as v1, max(v) as v2 from pt group by id, k, line),
+cl as (select k, line, least(greatest(u1, 0), 1279) as x1, least(greatest(v1, 0), 719) as y1, least(greatest(u2, 0), 1279) as x2, least(greatest(v2, 0), 719) as y2, coalesce(u2 >= 0 and u1 < 1280 and v2 >= 0 and v1 < 720, false) as meets from b),
+s as (select *, meets and x2 - x1 >= 2 and y2 - y1 >= 2 as visible from cl)
+select k, line, visible, round(case when visible then x1 else 0e0 end, 5) as x1, round(case when visible then y1 else 0e0 end, 5) as y1, round(case when visible then x2 else 0e0 end, 5) as x2, round(case when visible then y2 else 0e0 end, 5) as y2 from s""")
+def p_corner_box(spark, sf):
+    s = frames.states(spark, sf).select("k", "line", geometry.corner_points(c("x"), c("z"), c("yaw"), 4.5, 1.8, 1.5).alias("points"))
+    b = geometry.points_box(c("points"))
+    return s.select("k", "line", b["visible"].alias("visible"), *[F.round(b[k], 5).alias(k) for k in ("x1", "y1", "x2", "y2")])
+
+
+@query("""with f as (select s_suppkey as k, unnest(range(0, 91)) as frame, 8e0 + s_suppkey % 5 as speed, case when s_suppkey % 2 = 0 then 90e0 else -90e0 end as turn from supplier), y as (select *, least(greatest(frame - 30, 0), 45) * turn / 45e0 as yaw from f)
+select k, frame, round(yaw, 6) as yaw, round(sum(case when frame > 0 then speed / 30e0 * cos(radians(yaw)) else 0e0 end) over w, 6) as x, round(sum(case when frame > 0 then speed / 30e0 * sin(radians(yaw)) else 0e0 end) over w, 6) as y from y window w as (partition by k order by frame)""")
+def w7_turning_ego(spark, sf):
+    s = table(spark, sf, "supplier").select(c("s_suppkey").alias("k"), (c("s_suppkey") % 5 + 8.0).alias("speed"), F.when(c("s_suppkey") % 2 == 0, 90.0).otherwise(-90.0).alias("turn"))
+    rows = s.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(90).cast("long"))))
+    return motion.turning_ego(rows, ["k"], 1.0, 1.5).select("k", "frame", *r6(yaw=c("yaw"), x=c("x"), y=c("y")))
+
+
+@query(f"""with {STATES}, d as (select k % 50 as case_id, line, case when z <= 1e-5 then 'CULLED' when x < -4.00001 or x > 4.00001 or z > 100.00001 then 'OOD' else 'SUPPORTED' end as class, concat_ws('+', case when x < -4.00001 then 'x_below_min' end, case when x > 4.00001 then 'x_above_max' end, case when z > 100.00001 then 'z_above_max' end) as reason from states),
+e as (select case_id, line, class, reason, count(*) as n from d group by all)
+select case_id, line, sum(n)::bigint as active, coalesce(sum(n) filter (where class = 'SUPPORTED'), 0)::bigint as supported, coalesce(sum(n) filter (where class = 'CULLED'), 0)::bigint as culled, coalesce(sum(n) filter (where class = 'OOD'), 0)::bigint as ood, coalesce(string_agg(reason || ':' || n, ',' order by reason || ':' || n) filter (where class = 'OOD'), '') as reasons,
+ round(case when coalesce(sum(n) filter (where class <> 'CULLED'), 0) = 0 then 1e0 else coalesce(sum(n) filter (where class = 'SUPPORTED'), 0)::double / sum(n) filter (where class <> 'CULLED') end, 6) as supported_share from e group by case_id, line""")
+def a4_reasons_by_actor(spark, sf):
+    d = frames.states(spark, sf).select((c("k") % 50).alias("case_id"), "line", rules.capability(c("x"), c("z")).alias("class"), rules.domain_reason(c("x"), c("z")).alias("reason"))
+    return compare.reasons_by_actor(d, ["case_id", "line"]).withColumn("supported_share", F.round("supported_share", 6))
+
+
+@query(f"""with {STATES}, e as (select k % 50 as case_id, k, line, abs(x) + abs(z - 20) as err from states), r as (select *, row_number() over (partition by case_id order by err, k * 10 + line) - 1 as r, count(*) over (partition by case_id) as n from e),
+t as (select *, least(12, n) as wanted, greatest(1, least(12, n) // 3) as third, greatest(0, n // 2 - least(12, n) // 6) as mid from r),
+p as (select *, 'best' as part, r as place from t where r < third union all select *, 'middle', r - mid + third from t where r >= mid and r < mid + third union all select *, 'worst', r - (n - third) + 2 * third from t where r >= n - third)
+select case_id, k, line, round(err, 6) as err, part, place::bigint as place from p where place < wanted""")
+def d7_gallery(spark, sf):
+    e = frames.states(spark, sf).select((c("k") % 50).alias("case_id"), "k", "line", (F.abs("x") + F.abs(c("z") - 20.0)).alias("err"), (c("k") * 10 + c("line")).alias("id"))
+    return datasets.gallery(e, ["case_id"], "err", "id", 12).select("case_id", "k", "line", F.round("err", 6).alias("err"), "part", "place")
+
+
+@query(f"""with {_SWEEP}, cs as (select *, ei * 4 + ti * 2 + di + 1 as case_index from base, (values (0, 5e0), (1, 9e0)) a(ei, ego_speed), (values (0, 1e0), (1, 2e0)) b(ti, cut_start_s), (values (0, 2e0), (1, 3e0)) d(di, cut_s))
+select base_id, case_index::bigint as case_index, 'cut_after_end' as rule from cs where cut_start_s + cut_s > 4.5 union all select base_id, case_index, 'ego_faster_than_actor' from cs where ego_speed >= speed union all select base_id, case_index, 'start_too_near' from cs where start_m < 12""")
+def f13_violations(spark, sf):
+    broken = {"cut_after_end": c("cut_start_s") + c("cut_s") > 4.5, "ego_faster_than_actor": c("ego_speed") >= c("speed"), "start_too_near": c("start_m") < 12}
+    return checks.violations(_cases(spark, sf), ["base_id", "case_index"], broken)
+
+
 # Streams, run over what is there
 
 
