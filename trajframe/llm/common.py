@@ -50,7 +50,7 @@ class ChunkCache:
     are dropped with the next call, so memory is bounded whatever the texts hold. Results never depend on the memo.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], entries: int = 300_000, longest: int = 48):
+    def __init__(self, encode: Callable[[list[str]], Iterable], entries: int = 200_000, longest: int = 48):
         self.encode, self.entries, self.longest = encode, entries, longest
         self.young: dict = {}
         self.old: dict = {}
@@ -79,7 +79,7 @@ class ChunkCache:
         return young.__getitem__
 
 
-def by_size(column: pa.Array, most_bytes: int = 6_000_000) -> Iterator[tuple[int, pa.Array]]:
+def by_size(column: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int, pa.Array]]:
     """(start, slice) of a column of texts in parts of about ``most_bytes``, a longer text alone."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0

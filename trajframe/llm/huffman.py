@@ -66,7 +66,7 @@ class ByteBpe:
         self.tokenizer.encode_special_tokens = ordinary
         self.letters = _byte_letters()
         self.words = ChunkCache(self._word_ids)
-        self.chunks = ChunkCache(self._by_word, 100_000)
+        self.chunks = ChunkCache(self._by_word, 50_000)
         self.after_space = ChunkCache(lambda pieces: self._by_word([" " + p for p in pieces]))
 
     def _library(self, pieces: list[str]) -> list[bytes]:
