@@ -9,8 +9,8 @@ import pytest
 import __spark_entry__
 from trajframe import queries as core
 from trajframe.functions import angles, boxes, geometry, rules
-from trajframe.operators import checks, compare, lookup, motion
-from trajframe.plans import datasets
+from trajframe.operators import checks, compare, lookup, maneuvers, motion
+from trajframe.plans import datasets, exports, metadata
 from trajframe.sources import io
 
 SF = "/root/testdata/sf0.001"
@@ -134,5 +134,58 @@ def test_turn_without_duration(spark):
     assert [(r.yaw, r.x) for r in got] == [(0.0, 0.0), (0.0, pytest.approx(0.1))]
 
 
+def test_keyframe_ends_and_faults(spark):
+    keys = spark.createDataFrame([(1, 1.0, 0.0, 0.0, 350.0), (1, 2.0, 10.0, 0.0, 10.0), (2, 0.0, 5.0, 5.0, 0.0), (3, -1.0, 0.0, 0.0, 0.0)], "run long, t_s double, x double, y double, yaw double")
+    spawns = spark.createDataFrame([(r, 0.0, 0.0, 0.0, 0.0) for r in (1, 2, 3, 4)], "run long, start_s double, x double, y double, yaw double")
+    faults = maneuvers.keyframe_faults(keys, spawns, "run").collect()
+    assert sorted(tuple(r) for r in faults) == [(2, "spawn_mismatch"), (3, "before_spawn"), (4, "no_keyframes")]
+    times = spark.createDataFrame([(1, t) for t in (-1.0, 0.0, 1.5, 2.0, 9.0)] + [(9, 0.0)], "run long, t_s double")
+    whole = maneuvers.with_spawn(keys.where("run = 1"), spawns.where("run = 1"), "run")
+    got = {r.t_s: (r.x, r.yaw, r.speed_mps) for r in maneuvers.keyframe_states(times, whole, "run", keys.run == -1).collect()}
+    assert got == {-1.0: (0.0, 0.0, 0.0), 0.0: (0.0, 0.0, 0.0), 1.5: (5.0, 0.0, 10.0), 2.0: (10.0, 10.0, 0.0), 9.0: (10.0, 10.0, 0.0)}
+
+
+def test_unknown_maneuver_and_missing_parameters(spark):
+    given = spark.createDataFrame([("spin", 1.0), (None, 1.0), ("cut_in", 9.0)], "maneuver string, t_s double")
+    rest = {"x0": 1.0, "y0": 3.0, "yaw0": 0.0, "speed": 2.0, "target_y": None, "target_x": None, "lane_y": None, "direction": None, "cut_start_s": None, "cut_s": None}
+    rows = given.selectExpr("*", *[f"cast({'null' if v is None else v} as double) as {k}" for k, v in rest.items()])
+    assert [(r.x, r.y, r.yaw) for r in maneuvers.rule_based(rows).collect()] == [(None, None, None), (None, None, None), (19.0, 0.0, 0.0)]
+
+
+def test_pair_box_reasons(spark):
+    df = spark.createDataFrame([(0.0, -9.0), (500.0, 10.0), (0.0, 10.0), (None, 10.0)], "x double, z double")
+    b = geometry.pair_box(geometry.corner_points(df.x, df.z, df.z * 0.0, 4.0, 2.0, 1.5, 0.05))
+    got = [tuple(r) for r in df.select(b["visible"], b["reason"], b["depth"]).collect()]
+    assert got == [(False, "bbox_behind_camera", None), (False, "bbox_outside_image", 10.0), (True, None, 10.0), (False, "bbox_behind_camera", None)]
+
+
+def test_exports_of_one_frame_and_of_none(spark):
+    rows = spark.createDataFrame([(1, "a", 3, 1.0, None, 0.0, 0.0)], "scenario_id long, actor_id string, frame long, x double, y double, yaw double, speed double")
+    for write, read in ((exports.execution_plan, exports.plan_frames), (exports.runtime_scenario, exports.runtime_frames)):
+        back = read(write(rows)).collect()
+        assert [(r.actor_id, r.frame, r.x, r.z) for r in back] == [("a", 3, None, 1.0)]
+        assert read(write(rows.limit(0))).count() == 0
+
+
+def test_far_behind_and_missing_keys(spark):
+    rows = spark.createDataFrame([(1, 0, -25.0), (1, 1, -15.0), (2, 0, None)], "run long, frame long, x double")
+    assert sorted(r.message for r in checks.far_behind(rows, ["run"]).collect()) == ["moves_far_behind", "starts_far_behind"]
+    docs = spark.createDataFrame([(1, "a", (None,)), (2, None, None)], "id long, name string, camera struct<fov:double>")
+    got = sorted(tuple(r) for r in checks.missing_keys(docs, ["id"], ["name", "camera.fov"]).collect())
+    assert got == [(1, "missing camera.fov"), (2, "missing camera.fov"), (2, "missing name")]
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    draw = lambda n: sorted(tuple(r) for r in datasets.sampled_scenarios(spark.range(0, 400, 1, n), "id", {"m": (2, 4)}, {"w": ["a", "b"]}).collect())
+    got = draw(1)
+    assert got == draw(7) and all(2 <= m < 4 for _, m, _ in got) and {w for *_, w in got} == {"a", "b"}
+
+
+def test_metadata_of_culled_and_unknown(spark):
+    rows = spark.createDataFrame([(1, 1, 0.0, 1.0, 0.0), (1, 2, None, 9.0, 0.0), (1, 3, 0.0, 9.0, 0.0), (1, 4, 0.0, 20.0, 0.0)], "scene long, actor long, x double, z double, yaw double")
+    got = {r.actor: (r.active, r.rendered, r.order_index) for r in metadata.frame_metadata(rows, ["scene"], ["actor"], 1.8, 1.5, 2.0).collect()}
+    assert got == {1: (False, False, None), 2: (True, False, None), 3: (True, True, 1), 4: (True, True, 0)}
+
+
 def test_entry_has_queries():
     assert set(core.oracle_sql()) <= set(__spark_entry__.queries())

@@ -78,14 +78,14 @@ def road_contact(z: Column, points: list[tuple[float, float]]) -> Column:
 
 
 def corner_points(x: Column, z: Column, yaw: Column, length: float, width: float, height: float, nearest: float = 1e-4) -> Column:
-    """Array of the image points (u, v) of a standing box's eight corners; corners not beyond ``nearest`` are left out."""
+    """Array of the image points (u, v) and depths d of a standing box's eight corners; corners not beyond ``nearest`` are left out."""
     cos, sin = _axes(yaw)
     points = []
     for ahead in (-length / 2, length / 2):
         for right in (-width / 2, width / 2):
             cx, cz = x + ahead * sin + right * cos, z + ahead * cos - right * sin
             for up in (0.0, height):
-                point = F.struct((WIDTH / 2.0 + focal() * cx / cz).alias("u"), (HEIGHT / 2.0 + focal() * (MOUNT_UP - up) / cz).alias("v"))
+                point = F.struct((WIDTH / 2.0 + focal() * cx / cz).alias("u"), (HEIGHT / 2.0 + focal() * (MOUNT_UP - up) / cz).alias("v"), cz.alias("d"))
                 points.append(F.when(cz > nearest, point))
     return F.filter(F.array(*points), lambda p: p.isNotNull())
 
@@ -99,3 +99,16 @@ def points_box(points: Column, width: int = WIDTH, height: int = HEIGHT, least:
     big = (within(x2, width) - within(x1, width) >= least) & (within(y2, height) - within(y1, height) >= least)
     seen = F.coalesce(meets & big, F.lit(False))
     return {"visible": seen} | {k: F.when(seen, within(v, n)).otherwise(0.0) for k, v, n in (("x1", x1, width), ("y1", y1, height), ("x2", x2, width), ("y2", y2, height))}
+
+
+def pair_box(points: Column, width: int = WIDTH, height: int = HEIGHT) -> dict[str, Column]:
+    """Box around corner points as recorders give it: the reason where it is not visible, and the mean depth of the corners; unknown corners count as unseen."""
+    points = F.filter(points, lambda p: p["u"].isNotNull() & p["v"].isNotNull())
+    us, vs = F.transform(points, lambda p: p["u"]), F.transform(points, lambda p: p["v"])
+    x1, y1 = F.greatest(F.array_min(us), F.lit(0.0)), F.greatest(F.array_min(vs), F.lit(0.0))
+    x2, y2 = F.least(F.array_max(us), F.lit(width - 1.0)), F.least(F.array_max(vs), F.lit(height - 1.0))
+    depth = F.try_divide(F.aggregate(points, F.lit(0.0), lambda a, p: a + p["d"]), F.size(points))
+    outside = (x2 <= 0) | (x1 >= width) | (y2 <= 0) | (y1 >= height)
+    reason = F.when(F.coalesce(F.size(points), F.lit(0)) < 2, "bbox_behind_camera").when(outside, "bbox_outside_image").when((x2 <= x1) | (y2 <= y1), "bbox_invalid")
+    boxed = {k: F.when(reason.isNull(), v) for k, v in (("x1", x1), ("y1", y1), ("x2", x2), ("y2", y2))}
+    return {"visible": reason.isNull(), "reason": reason, "depth": F.when(F.coalesce(reason, F.lit("")).isin("", "bbox_outside_image"), depth)} | boxed

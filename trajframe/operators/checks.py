@@ -50,3 +50,16 @@ def violations(rows: DataFrame, key: list[str], rules: dict[str, Column]) -> Dat
     """(key, rule): a row for each rule that a spec breaks; a rule is true where it is broken, null counts as kept."""
     broken = F.array(*[F.when(bad, F.lit(rule)) for rule, bad in rules.items()])
     return rows.select(*key, F.explode(F.filter(broken, lambda r: r.isNotNull())).alias("rule"))
+
+
+def far_behind(rows: DataFrame, key: list[str], x: str = "x", frame: str = "frame", start: float = -10.0, moving: float = -20.0) -> DataFrame:
+    """(key, frame, severity, message): actors that start under ``start`` metres, or come under ``moving`` later, warned of."""
+    first = Window.partitionBy(*key).orderBy(frame)
+    at = rows.select(*key, frame, x, F.row_number().over(first).alias("n"))
+    said = F.array(F.when((c("n") == 1) & (c(x) < start), F.lit("starts_far_behind")), F.when(c(x) < moving, F.lit("moves_far_behind")))
+    return at.select(*key, frame, F.lit("warning").alias("severity"), F.explode(F.filter(said, lambda m: m.isNotNull())).alias("message"))
+
+
+def missing_keys(documents: DataFrame, key: list[str], required: list[str]) -> DataFrame:
+    """(key, rule): required paths (dots into structs) that a parsed document lacks."""
+    return violations(documents, key, {f"missing {path}": c(path).isNull() for path in required})

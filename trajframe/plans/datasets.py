@@ -62,3 +62,11 @@ def gallery(rows: DataFrame, key: list[str], error: str, ordinal: str, pick: int
     parts = F.array(*[F.when((col("r") >= at) & (col("r") < at + col("third")), F.struct(F.lit(name).alias("part"), (col("r") - at + k * col("third")).cast("long").alias("place"))) for name, at, k in starts])
     picked = ranked.withColumn("p", F.explode(F.filter(parts, lambda p: p.isNotNull())))
     return picked.where("p.place < wanted").select(*rows.columns, "p.part", "p.place")
+
+
+def sampled_scenarios(ids: DataFrame, key: str, ranges: dict[str, tuple[float, float]], choices: dict[str, list[str]], seed: int = 1) -> DataFrame:
+    """Adds uniform values and choices that depend on the seed, the column's name and the id only, not on partitions."""
+    part = lambda name: F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.lit(name), c(key).cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    drawn = {n: F.lit(float(lo)) + part(n) * float(hi - lo) for n, (lo, hi) in ranges.items()}
+    picked = {n: F.get(F.array(*map(F.lit, of)), F.floor(part(n) * len(of)).cast("int")) for n, of in choices.items()}
+    return ids.withColumns(drawn | picked)

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajframe.functions import angles, boxes, geometry, rules
-from trajframe.operators import checks, compare, frames, lookup, motion, sweep
+from trajframe.operators import checks, compare, frames, lookup, maneuvers, motion, sweep
 from trajframe.operators.frames import c, table
-from trajframe.plans import datasets
+from trajframe.plans import datasets, exports, metadata
 from trajframe.streaming import jobs
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -415,6 +415,127 @@ def f13_violations(spark, sf):
     return checks.violations(_cases(spark, sf), ["base_id", "case_index"], broken)
 
 
+# Maneuvers, scripts, keyframes, exports, samples
+
+
+_MANEUVER = "case s_suppkey % 5 when 0 then 'static' when 1 then 'oncoming' when 2 then 'cut_in' when 3 then 'following' else 'crossing' end"
+_SCRIPT = f"script as (select s_suppkey as k, f.range as frame, f.range / 10e0 as t, {_MANEUVER} as m, 20e0 + s_suppkey % 30 as x0, 3.5e0 - s_nationkey % 2 * 7e0 as y0, 4e0 + s_suppkey % 7 as v, 1e0 + s_suppkey % 3 as start_s, 2e0 + s_suppkey % 2 as span_s from supplier, range(0, 81) f)"
+
+
+def _script(spark, sf):
+    kinds = ["static", "oncoming", "cut_in", "following", "crossing"]
+    s = table(spark, sf, "supplier").select(
+        c("s_suppkey").alias("k"), F.get(F.array(*map(F.lit, kinds)), (c("s_suppkey") % 5).cast("int")).alias("maneuver"), (c("s_suppkey") % 30 + 20.0).alias("x0"), (F.lit(3.5) - c("s_nationkey") % 2 * 7.0).alias("y0"),
+        (c("s_suppkey") % 7 + 4.0).alias("speed"), (c("s_suppkey") % 3 + 1.0).alias("start_s"), (c("s_suppkey") % 2 + 2.0).alias("span_s"),
+    )
+    return s.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(80).cast("long")))).withColumn("t_s", c("frame") / 10.0)
+
+
+@query(f"""with {_SCRIPT}, u as (select *, (t - start_s) / span_s as u from script), s as (select *, least(greatest(u, 0), 1) as a from u), d as (select *, -y0 as dy from s),
+st as (select k, frame, m, case m when 'static' then x0 when 'oncoming' then x0 - v * t when 'crossing' then x0 else x0 + v * t end as x, case m when 'cut_in' then y0 + dy * a * a * (3 - 2 * a) when 'crossing' then y0 - v * t else y0 end as y, case m when 'oncoming' then -v when 'cut_in' then v when 'following' then v else 0e0 end as vx, case m when 'cut_in' then dy * 6 * a * (1 - a) / span_s when 'crossing' then -v else 0e0 end as vy from d)
+select k, frame, round(x, 6) as x, round(y, 6) as y, round(case m when 'static' then 15e0 when 'oncoming' then 180e0 when 'cut_in' then degrees(atan2(vy, vx)) when 'crossing' then -90e0 else 0e0 end, 6) as yaw, round(sqrt(vx * vx + vy * vy), 6) as speed_mps from st""")
+def t5_rule_based(spark, sf):
+    none = {n: F.lit(None).cast("double") for n in ("target_y", "target_x", "lane_y", "direction")}
+    rows = _script(spark, sf).withColumns(none | {"yaw0": F.lit(15.0), "cut_start_s": c("start_s"), "cut_s": c("span_s")})
+    return maneuvers.rule_based(rows).select("k", "frame", *r6(x=c("x"), y=c("y"), yaw=c("yaw"), speed_mps=c("speed_mps")))
+
+
+@query(f"""with {_SCRIPT}, s as (select *, (t - start_s) / span_s as u, -y0 / 2 - y0 as dx from script), a as (select *, least(greatest(u, 0), 1) as a from s)
+select k, frame, round(case m when 'cut_in' then y0 + dx * a * a * (3 - 2 * a) when 'crossing' then y0 + dx * a else y0 end, 6) as x, round(case m when 'oncoming' then x0 - v * t when 'following' then x0 + v * t when 'cut_in' then x0 + v * t else x0 end, 6) as z, round(case when m = 'oncoming' then 180e0 when m = 'cut_in' and a > 0 and a < 1 then degrees(atan2(dx, v * span_s)) when m = 'crossing' then 90e0 * sign(dx) else 0e0 end, 6) as yaw from a""")
+def t6_recorded_states(spark, sf):
+    rows = _script(spark, sf).withColumns({"lane_x": c("y0"), "target_x": -c("y0") / 2, "start_m": c("x0")})
+    return maneuvers.recorded(rows).select("k", "frame", *r6(x=c("x"), z=c("z"), yaw=c("yaw")))
+
+
+_KEYS = POSES + """, keys_ as (select run, frame * 0.5e0 + (run % 3) * 0.25e0 as t, x, y, yaw from poses where frame % 4 = 0),
+first_ as (select run, min(t) as t, arg_min(x, t) as x, arg_min(y, t) as y, arg_min(yaw, t) as yaw from keys_ group by run)"""
+
+
+def _keys(spark, sf):
+    p = frames.poses(spark, sf)
+    keys = p.where("frame % 4 = 0").select("run", (c("frame") * 0.5 + c("run") % 3 * 0.25).alias("t_s"), "x", "y", "yaw")
+    spawns = p.select("run").distinct().withColumns({"start_s": F.lit(0.0), "x": F.lit(-5.0), "y": F.lit(0.0), "yaw": F.lit(170.0)})
+    return p, keys, spawns
+
+
+@query(f"""with {_KEYS}, all_ as (select * from keys_ union all select run, 0e0, -5e0, 0e0, 170e0 from first_ where t > 1e-9), k as (select *, lead(t) over w as t1, lead(x) over w as qx, lead(y) over w as qy, lead(yaw) over w as qyaw, row_number() over w as n from all_ window w as (partition by run order by t)), probe as (select run, frame * 0.4e0 - 1 as t from poses),
+m as (select p.run, p.t, k.t as t0, k.t1, k.x, k.y, k.yaw, k.qx, k.qy, k.qyaw, k.n from probe p asof join k on p.run = k.run and p.t >= k.t), b as (select p.run, p.t, k.t as t0, null::double as t1, k.x, k.y, k.yaw, k.qx, k.qy, k.qyaw, k.n from probe p join k on p.run = k.run and k.n = 1 and p.t < k.t), j as (select *, (t - t0) / (t1 - t0) as u from (from m union all from b)),
+s as (select *, t1 is null or (n = 1 and t <= t0) as still, case when run % 2 = 0 then u * u * (3 - 2 * u) else u end as a, (case when run % 2 = 0 then 6 * u * (1 - u) else 1 end) / (t1 - t0) as r from j)
+select run, round(t, 6) as t_s, round(case when still then x else x + (qx - x) * a end, 6) as x, round(case when still then y else y + (qy - y) * a end, 6) as y, round(case when still then {wrap('yaw')} else {wrap(f"yaw + {wrap('qyaw - yaw')} * a")} end, 5) as yaw, round(case when still then 0 else sqrt(power((qx - x) * r, 2) + power((qy - y) * r, 2)) end, 6) as speed_mps from s""")
+def t3_keyframe_states(spark, sf):
+    p, keys, spawns = _keys(spark, sf)
+    out = maneuvers.keyframe_states(p.select("run", (c("frame") * 0.4 - 1.0).alias("t_s")), maneuvers.with_spawn(keys, spawns, "run"), "run", c("run") % 2 == 0)
+    return out.select("run", *r6(t_s=c("t_s"), x=c("x"), y=c("y")), F.round("yaw", 5).alias("yaw"), *r6(speed_mps=c("speed_mps")))
+
+
+@query(f"with {_KEYS} select run, 'spawn_mismatch' as rule from first_ where t <= 1e-9 and (abs(x + 5) > 1e-6 or abs(y) > 1e-6 or abs({wrap('yaw - 170')}) > 1e-6)")
+def t3_keyframe_faults(spark, sf):
+    _, keys, spawns = _keys(spark, sf)
+    return maneuvers.keyframe_faults(keys, spawns, "run")
+
+
+@query("""with f as (select event_id % 200 as frame, event_id from events), s as (select event_id, frame, least(greatest((frame - 20) / 120e0, 0), 1) as u from f), h as (select event_id, frame, u * u * (3 - 2 * u) as s from s), w as (select *, round_even(40e0 + 160e0 * s, 0)::int as h, round_even(1280 * (0.5e0 + 0.1e0 * s), 0)::int as cx, round_even(720 * 0.8e0, 0)::int as b from h), x as (select *, greatest(round_even(h * 1.5e0, 0)::int, 1) as w from w)
+select event_id, case when frame between 20 and 140 then round_even(cx - w / 2e0, 0)::int end as x1, case when frame between 20 and 140 then b - h end as y1, case when frame between 20 and 140 then round_even(cx - w / 2e0, 0)::int + w end as x2, case when frame between 20 and 140 then b end as y2 from x""")
+def p41_sprite_schedule(spark, sf):
+    box = maneuvers.sprite_schedule(c("event_id") % 200, 20, 140, (40.0, 200.0), 1.5, (1280, 720), 0.5, 0.8, 0.1)
+    return table(spark, sf, "events").select("event_id", *[v.alias(k) for k, v in box.items()])
+
+
+@query(f"""with {STATES}, n as (select *, row_number() over () as id from states), cr as (select id, k, line, x + f * sin(radians(yaw)) + r * cos(radians(yaw)) as cx, z + f * cos(radians(yaw)) - r * sin(radians(yaw)) as cz, 1.6e0 - up as cy from n, (values (-2.25e0), (2.25e0)) a(f), (values (-0.9e0), (0.9e0)) b(r), (values (0e0), (1.5e0)) d(up)),
+pt as (select id, k, line, 640e0 + 640e0 * cx / cz as u, 360e0 + 640e0 * cy / cz as v, cz from cr where cz > 0.05e0), g as (select id, count(*) as n, greatest(min(u), 0) as x1, greatest(min(v), 0) as y1, least(max(u), 1279) as x2, least(max(v), 719) as y2, avg(cz) as depth from pt group by id),
+q as (select n.k, n.line, g.*, case when coalesce(g.n, 0) < 2 then 'bbox_behind_camera' when x2 <= 0 or x1 >= 1280 or y2 <= 0 or y1 >= 720 then 'bbox_outside_image' when x2 <= x1 or y2 <= y1 then 'bbox_invalid' end as reason from n left join g using (id))
+select k, line, coalesce(reason, '') as reason, round(case when reason is null then x1 end, 4) as x1, round(case when reason is null then y2 end, 4) as y2, round(case when coalesce(reason, '') in ('', 'bbox_outside_image') then depth end, 5) as depth from q""")
+def p19_pair_box(spark, sf):
+    s = frames.states(spark, sf).select("k", "line", geometry.corner_points(c("x"), c("z"), c("yaw"), 4.5, 1.8, 1.5, 0.05).alias("points"))
+    b = geometry.pair_box(c("points"))
+    return s.select("k", "line", F.coalesce(b["reason"], F.lit("")).alias("reason"), F.round(b["x1"], 4).alias("x1"), F.round(b["y2"], 4).alias("y2"), F.round(b["depth"], 5).alias("depth"))
+
+
+@query("""with p as (select user_id as run, row_number() over (partition by user_id order by ts, event_id) - 1 as frame, value - 40 as x from events) select run, frame, 'warning' as severity, 'starts_far_behind' as message from p where frame = 0 and x < -10 union all select run, frame, 'warning', 'moves_far_behind' from p where x < -20""")
+def f14_far_behind(spark, sf):
+    return checks.far_behind(frames.poses(spark, sf).select("run", "frame", (c("x") * 10.0 - 40.0).alias("x")), ["run"])
+
+
+@query("""select c_custkey, 'missing scenario_id' as rule from customer where c_custkey % 7 = 0 union all select c_custkey, 'missing camera.fov' from customer where c_nationkey % 5 = 0 or c_custkey % 11 = 0 union all select c_custkey, 'missing camera' from customer where c_custkey % 11 = 0""")
+def f16_missing_keys(spark, sf):
+    made = table(spark, sf, "customer").select("c_custkey", F.to_json(F.struct(F.when(c("c_custkey") % 7 != 0, c("c_name")).alias("scenario_id"), F.when(c("c_custkey") % 11 != 0, F.struct(F.lit(1280).alias("width"), F.when(c("c_nationkey") % 5 != 0, F.lit(90.0)).alias("fov"))).alias("camera"))).alias("doc"))
+    parsed = made.select("c_custkey", F.from_json("doc", "scenario_id string, camera struct<width:int,fov:double>").alias("d")).select("c_custkey", "d.*")
+    return checks.missing_keys(parsed, ["c_custkey"], ["scenario_id", "camera", "camera.fov"])
+
+
+def _plan_rows(spark, sf):
+    return frames.poses(spark, sf).select((c("run") % 20).alias("scenario_id"), c("run").cast("string").alias("actor_id"), "frame", "x", "y", "yaw", "speed")
+
+
+@query(f"with {POSES} select run % 20 as scenario_id, run::varchar as actor_id, frame, round(-y, 6) + 0e0 as x, round(x, 6) as z, round(-yaw, 6) + 0e0 as yaw, round(speed, 6) as speed from poses")
+def t10_execution_plan(spark, sf):
+    out = exports.plan_frames(exports.execution_plan(_plan_rows(spark, sf)))
+    return out.select("scenario_id", "actor_id", "frame", *r6(x=c("x") + 0.0, z=c("z"), yaw=c("yaw") + 0.0, speed=c("speed")))
+
+
+@query(f"with {POSES} select run % 20 as scenario_id, run::varchar as actor_id, frame, round(-y, 6) + 0e0 as x, round(x, 6) as z, round(-yaw, 6) + 0e0 as yaw from poses")
+def t10_runtime_scenario(spark, sf):
+    out = exports.runtime_frames(exports.runtime_scenario(_plan_rows(spark, sf)))
+    return out.select("scenario_id", "actor_id", "frame", *r6(x=c("x") + 0.0, z=c("z"), yaw=c("yaw") + 0.0))
+
+
+_DRAW = lambda name: f"(('0x' || substr(md5('7/{name}/' || o_orderkey), 1, 12))::bigint / 281474976710656e0)"
+
+
+@query(f"select o_orderkey, round(5e0 + {_DRAW('forward_m')} * 55e0, 6) as forward_m, round(-3e0 + {_DRAW('lateral_m')} * 6e0, 6) as lateral_m, (['clear', 'rain', 'dusk'])[floor({_DRAW('weather')} * 3)::int + 1] as weather from orders")
+def d4_sampled_scenarios(spark, sf):
+    out = datasets.sampled_scenarios(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", {"forward_m": (5, 60), "lateral_m": (-3, 3)}, {"weather": ["clear", "rain", "dusk"]}, 7)
+    return out.select("o_orderkey", *r6(forward_m=c("forward_m"), lateral_m=c("lateral_m")), "weather")
+
+
+@query(f"""with {STATES}, n as (select k % 50 as scene, k, line, x, z, yaw, z > 2 as active from states), b as (select *, case when active then 640e0 + 640e0 * x / z end as cx, case when active then 360e0 + 640e0 * 1.6e0 / z end as bottom, case when active then 640e0 * 1.8e0 / z end as w, case when active then 640e0 * 1.5e0 / z end as h, {mod('degrees(atan2(x, z)) - yaw')} as seen from n),
+v as (select *, coalesce(active and cx + w / 2 > -100 and cx - w / 2 < 1380 and bottom > -100 and bottom - h < 820, false) as rendered from b)
+select scene, k, line, active, rendered, case when rendered then ((ceil(round(seen, 6) / 15e0 - 0.5e0)::int % 24) * 15)::int end as sprite, round(case when rendered then cx end, 5) as cx, case when rendered then row_number() over (partition by scene, rendered order by z desc, k, line, x, yaw) - 1 end as order_index from v""")
+def t11_frame_metadata(spark, sf):
+    s = frames.states(spark, sf).withColumn("scene", c("k") % 50)
+    return metadata.frame_metadata(s, ["scene"], ["k", "line", "x", "yaw"], 1.8, 1.5, 2.0).select("scene", "k", "line", "active", "rendered", "sprite", F.round("cx", 5).alias("cx"), "order_index")
+
+
 # Streams, run over what is there
 
 
@@ -452,6 +573,14 @@ def st3_stream_match(spark, sf):
     return out.where("synth_ts is not null").withColumns({k: c(k).cast("timestamp_ntz") for k in ("real_ts", "synth_ts")})
 
 
+@query("""with f as (select user_id as run, value, row_number() over (partition by user_id order by ts, event_id) - 1 as frame from events), p as (select *, max(value) filter (where frame = 50) over (partition by run) + 30 as place from f)
+select run, count(*) as frames, case when count(*) > 50 then 50 else -1 end as started, count(*) filter (where frame between 50 and 150) as active, round(coalesce(max(place), 0), 6) as place, round(coalesce(arg_max(abs(place - value), frame) filter (where frame between 50 and 150), -1), 6) as distance from p group by 1""")
+def st5_stopped_track(spark, sf):
+    out = jobs.drained(spark, jobs.stopped_track(jobs.read_events(spark, sf)), "st5", _shared(spark), "update")
+    last = out.groupBy("run").agg(*[F.max_by(k, "frames").alias(k) for k in ("started", "active", "place", "distance")], F.max("frames").alias("frames"))
+    return last.withColumns({"place": F.round("place", 6), "distance": F.round("distance", 6)})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

@@ -57,6 +57,32 @@ def track_lifecycle(events: DataFrame, trigger: int = 50, duration: int = 100, c
     return rows.groupBy("run").applyInPandasWithState(_track(trigger, duration, closing, least), TRACK_OUT, TRACK_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+STOPPED_STATE = "frames long, started long, place double, active long, distance double"
+STOPPED_OUT = "run long, frames long, started long, place double, active long, distance double"
+
+
+def _stopped(trigger: int, duration: int, ahead: float):
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        frames, started, place, active, distance = state.get if state.exists else (0, -1, 0.0, 0, -1.0)
+        for pdf in batches:
+            for ego in pdf.sort_values(["ts", "event_id"])["value"]:
+                if started < 0 and frames >= trigger:
+                    started, place = frames, ego + ahead
+                if started >= 0 and frames - started <= duration:
+                    active, distance = active + 1, abs(place - ego)
+                frames += 1
+        state.update((frames, started, place, active, distance))
+        yield pd.DataFrame({"run": [key[0]], "frames": [frames], "started": [started], "place": [place], "active": [active], "distance": [distance]})
+
+    return step
+
+
+def stopped_track(events: DataFrame, trigger: int = 50, duration: int = 100, ahead: float = 30.0) -> DataFrame:
+    """State by run: an object placed ``ahead`` of the ego at frame ``trigger`` stays there; its distance is measured anew each frame."""
+    rows = events.select(c("user_id").alias("run"), "ts", "event_id", "value")
+    return rows.groupBy("run").applyInPandasWithState(_stopped(trigger, duration, ahead), STOPPED_OUT, STOPPED_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
 def drained(spark: SparkSession, stream: DataFrame, name: str, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return what it wrote: files for append, batches of updates for update."""
     out = f"{folder}/out"
