@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajframe.llm import decontaminate, huffman, mixing, simhash, toxicity
+from trajframe.llm import decontaminate, huffman, mixing, near_copies, toxicity
 from trajframe.llm.common import shared_dir
 
 
@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group stays whose five-word shingles are alike by 0.8 or more."""
+    return near_copies.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
