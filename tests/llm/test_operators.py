@@ -253,6 +253,34 @@ def test_decontamination_equals_brute_force(spark, real):
         assert max(sum(0 <= s + k < len(x) and x[s + k] == w[k] for k in range(len(w))) for s in range(-len(w), len(x))) >= 9
 
 
+def test_decontamination_masks_fit_between_all_substitutions():
+    for n, masks in decontaminate.MASKS.items():
+        most = n - -int(-n * decontaminate.SHARE // 1) if n >= decontaminate.EXACT_UNDER else 0
+        assert (n - most) / n >= decontaminate.SHARE and (n < decontaminate.EXACT_UNDER or (n - most - 1) / n < decontaminate.SHARE)
+        for other in itertools.combinations(range(n), most):
+            assert any(not {s + o for o in m} & set(other) for m in masks for s in range(n - m[-1])), (n, other)
+
+
+def test_decontamination_equals_brute_force_of_the_rule(spark):
+    g = np.random.default_rng(3)
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (1, 3, 7, 8, 9, 10, 11, 12, 13, 16, 20)}
+    docs = {}
+    for n, w in items.items():
+        few = min(n, 13)
+        for changes in range(5):
+            for at in list(itertools.combinations(range(few), min(changes, few)))[:: 1 + changes * changes * 2]:
+                x = [f"f{v}" for v in g.integers(0, 50, 6)] + [v if k not in at else "other" for k, v in enumerate(w[:few])] + ["tail"] * 5
+                docs[len(docs)] = x
+    def leaks(x, w):
+        n = min(len(w), 13)
+        need = n if n < 8 else 0.75 * n
+        return any(sum(0 <= s + k < len(x) and x[s + k] == w[k] for k in range(a, a + n)) >= need for s in range(-len(w), len(x)) for a in range(len(w) - n + 1))
+    expected = {(d, i) for d, x in docs.items() for i, w in items.items() if leaks(x, w)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    texts = spark.createDataFrame([(d, " ".join(x)) for d, x in docs.items()], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(texts, bench).collect()} == expected
+
+
 # 7
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"

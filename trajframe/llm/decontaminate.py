@@ -1,30 +1,42 @@
 """Benchmark decontamination by spaced seeds, in DataFrame operations only.
 
-A text is its words (letters and digits, without case). A seed is the hash of six words at fixed offsets; the words at
-the offsets in between are ignored, so a substitution there does not lose the hit. Two masks ignore different places:
+A text is its words (letters and digits, without case). A seed is the hash of the words at a mask's offsets; the words
+in between are ignored, so a substitution there does not lose the hit. The overlap counts where some stretch of
+``STRETCH`` words (the item's length, if shorter) has at least ``SHARE`` of its words equal; items of under
+``EXACT_UNDER`` words count where all of them are equal.
 
-    1 1 . 1 1 . 1 1          offsets 0 1 3 4 6 7
-    1 1 . . . 1 1 . 1 1      offsets 0 1 5 6 8 9
+The masks lose nothing: however the substitutions that ``SHARE`` allows lie in a stretch, some mask fits between them
+(a test enumerates them). Items shorter than a stretch have masks of their own, which texts are hashed by only where
+the benchmark has items of that length.
 
 Seeds of all texts are joined with those of the benchmark; each hit fixes an item and a shift, along which the item is
-laid over the text. The overlap counts where some stretch of ``STRETCH`` words (the item's length, if shorter) has at
-least ``SHARE`` of its words equal.
+laid over the text.
 
-Nulls: null texts and items have no words. Items of under eight words cannot be found. Rows without a doc_id have no
+Nulls: null texts and items have no words. Rows without a doc_id have no
 result of their own and are kept by :func:`drop_contaminated`. Repeated rows count once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajframe.llm.common import stored
 
-STRETCH, SHARE = 13, 0.75
+STRETCH, SHARE, EXACT_UNDER = 13, 0.75, 8
 #: Up to so many benchmark seeds are broadcast (two longs and two ints each); more are joined by shuffles.
 MOST_BROADCAST = 1_000_000
-_SPAN = (8, 10)
+#: Offsets of the masks by how many words a stretch has.
+MASKS: dict[int, tuple[tuple[int, ...], ...]] = {n: (tuple(range(n)),) for n in range(1, EXACT_UNDER)} | {
+    8: ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 5, 6)),
+    9: ((0, 1, 2, 4), (0, 2, 5, 6)),
+    10: ((0, 1, 2, 3), (0, 1, 2, 4)),
+    11: ((0, 1, 2, 4),),
+    12: ((0, 1, 2, 4), (0, 1, 6, 8)),
+    13: ((0, 1, 3, 4, 5, 6), (0, 1, 2, 4, 7, 8), (0, 1, 5, 7, 8, 9), (0, 1, 2, 5, 10, 11), (0, 1, 2, 3, 5, 7)),
+}
 
 
 def words(col: str) -> Column:
@@ -32,29 +44,30 @@ def words(col: str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"[\x00-/:-@\[-`{-\x7f]+"), lambda w: w != "")
 
 
-def seeds(rows: DataFrame, key: str, text: str) -> DataFrame:
+def seeds(rows: DataFrame, key: str, text: str, masks: list[tuple[int, ...]]) -> DataFrame:
     """(key, pos, seed): a row for each mask and start in each text."""
-    met = lambda x, y, gap: F.transform(x, lambda v, i: F.xxhash64(v, F.get(y, i + gap)))
     c = F.col
-    steps = rows.select(c(key), F.transform(words(text), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") >= _SPAN[0])
-    steps = steps.withColumn("pair", met(c("h"), c("h"), 1))
-    steps = steps.withColumn("near", met(c("pair"), c("pair"), 3)).withColumn("far", met(c("pair"), c("pair"), 5))
-    steps = steps.withColumn("near", met(c("near"), c("pair"), 6)).withColumn("far", met(c("far"), c("pair"), 8))
-    each = steps.select(key, F.size("h").alias("n"), F.posexplode(F.concat("near", "far")).alias("at", "seed"))
+    steps = rows.select(c(key), F.transform(words(text), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
+    # A mask's offsets as bits tell its seeds from those of other masks.
+    under = lambda m: lambda v, i: F.xxhash64(F.lit(sum(1 << o for o in m)), v, *[F.get(c("h"), i + o) for o in m[1:]])
+    by = [F.transform("h", under(m)) for m in masks]
+    each = steps.select(key, F.size("h").alias("n"), F.posexplode(F.concat(*by)).alias("at", "seed"))
+    each = each.select(key, "n", F.pmod("at", "n").alias("pos"), F.expr("at div n").cast("int").alias("mask"), "seed")
     # Starts too near the end would hash fewer words.
-    near = c("at") < c("n")
-    pos = F.when(near, c("at")).otherwise(c("at") - c("n"))
-    span = F.when(near, F.lit(_SPAN[0])).otherwise(F.lit(_SPAN[1]))
-    return each.where(pos + span <= c("n")).select(key, pos.alias("pos"), "seed")
+    span = F.get(F.array(*[F.lit(m[-1] + 1) for m in masks]), c("mask"))
+    return each.where(c("pos") + span <= c("n")).select(key, "pos", "seed")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, shift): where some seed of a text and of an item agree; shift is text minus item position."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    of_items = stored(seeds(items, "item_id", "text").withColumnRenamed("pos", "item_pos"), "item-seeds")
+    items = items.withColumn("wide", F.least(F.size(words("text")), F.lit(STRETCH))).where("wide > 0")
+    lengths = sorted(r.wide for r in items.select("wide").distinct().collect()) or [STRETCH]  # at most STRETCH rows
+    each = [seeds(items.where(F.col("wide") == n), "item_id", "text", list(MASKS[n])) for n in lengths]
+    of_items = stored(reduce(DataFrame.unionByName, each).withColumnRenamed("pos", "item_pos"), "item-seeds")
     if of_items.count() <= MOST_BROADCAST:
         of_items = F.broadcast(of_items)
-    of_docs = seeds(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", "text")
+    of_docs = seeds(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", "text", sorted({m for n in lengths for m in MASKS[n]}))
     return of_docs.join(of_items, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
 
 
@@ -76,7 +89,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     laid = laid.withColumn("wide", F.least(F.size("same"), F.lit(STRETCH)))
     starts = F.sequence(F.lit(1), F.size("same") - F.col("wide") + 1)
     laid = laid.withColumn("best", F.array_max(F.transform(starts, lambda s: total(F.slice("same", s, F.col("wide"))))) / F.col("wide"))
-    kept = laid.where(F.col("best") >= SHARE).select("doc_id", "item_id", total(F.col("same")).alias("n_equal"), "best")
+    kept = laid.where(F.col("best") >= F.when(F.col("wide") < EXACT_UNDER, 1.0).otherwise(SHARE)).select("doc_id", "item_id", total(F.col("same")).alias("n_equal"), "best")
     return kept.groupBy("doc_id", "item_id").agg(F.max("n_equal").cast("long").alias("n_equal"), F.round(F.max("best"), 6).alias("best_share"))
 
 
