@@ -326,6 +326,30 @@ def test_pii_disguises_map_back(text, kind, source):
     assert not base[kind] or all(text[a:b] not in source for a, b in base[kind]) or kind == "email"
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("mail john [at] example dot com now", "email", "john [at] example dot com"),
+        ("mail john dot smith at example dot com now", "email", "john dot smith at example dot com"),
+        ("mail john dot smith (at) example.com now", "email", "john dot smith (at) example.com"),
+        ("mail john at example (dot) co dot uk now", "email", "john at example (dot) co dot uk"),
+        ("mail jоhn dot ann at ехample [dot] com now", "email", "jоhn dot ann at ехample [dot] com"),
+        ("host one nine two dot one six eight dot one dot one up", "ip", "one nine two dot one six eight dot one dot one"),
+        ("host one nine two [dot] one six eight [dot] one dot one up", "ip", "one nine two [dot] one six eight [dot] one dot one"),
+        ("host 192 dot one six eight dot 1 dot 20 up", "ip", "192 dot one six eight dot 1 dot 20"),
+        ("call plus four nine dot one five one dot one two three dot four five", "phone", "plus four nine dot one five one dot one two three dot four five"),
+    ],
+)
+def test_pii_mixed_disguises_map_back(text, kind, source):
+    _, added = pii.find(text)
+    assert [text[a:b] for a, b in added[kind]] == [source]
+
+
+def test_pii_words_that_are_no_signs():
+    for text in ("meet me at example.com", "the dot at the end dot", "one two three", " dot at dot com"):
+        assert not any(pii.find(text)[1].values()), text
+
+
 def test_pii_query(docs, empty, texts):
     out = by_id(pii.find_pii(docs))
     for k, t in enumerate(texts):

@@ -1,9 +1,10 @@
 """Personal data in whole texts, plain and disguised, with offsets into the source.
 
-Plain identifiers are found by fixed patterns. For disguised ones a text passes through transducers: look-alike letters
-and full-width forms become ASCII one for one, spelled digits become digits, and ``(at)``, ``[dot]`` or `` at `` ...
-`` dot `` become signs. Each rewriting is recorded, so that what the same patterns find in the normalised text maps back
-to source characters. Added spans never replace or overlap plain ones of their kind.
+Plain identifiers are found by fixed patterns. For disguised ones a text passes through transducers,
+each on the output of the one before: look-alike letters and full-width forms become ASCII one for one, ``(at)`` and
+``[dot]`` become signs, spelled digits become digits (``dot`` between them a dot), and `` at `` ... `` dot `` become signs.
+Each rewriting is recorded, so that what the same patterns find in the last text maps back through all of them to source
+characters. Added spans never replace or overlap plain ones of their kind.
 
 Nulls: null text counts as empty. Offsets are code points, ends exclusive.
 """
@@ -29,11 +30,17 @@ SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 _LETTERS = str.maketrans(LOOK_ALIKE | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)})
 _ODD = re.compile("[" + "".join(LOOK_ALIKE) + "！-～]")
 _DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
-_SPELLED_RUN = re.compile(rf"(?i)\b(?:plus[ -]+)?{_DIGIT_WORD}(?:[ ,.-]{{1,3}}{_DIGIT_WORD}){{3,}}\b")
-_SPELLED_TOKEN = re.compile(rf"(?i)(plus)[ -]+|({_DIGIT_WORD})|[ ,.-]{{2,3}}|[,.]")
+_SPELLED_RUN = re.compile(rf"(?i)\b(?:plus[ -]+)?{_DIGIT_WORD}(?:(?: dot |[ ,.-]{{1,3}}){_DIGIT_WORD}){{3,}}\b")
+_SPELLED_TOKEN = re.compile(rf"(?i)(plus)[ -]+|({_DIGIT_WORD})|( dot )|[ ,.-]{{2,3}}|[,.]")
+#: Groups of spelled digits or of one to three digits with dots between; four of them are an address.
+_GROUP = rf"(?:{_DIGIT_WORD}(?:[ -]{_DIGIT_WORD})*|[0-9]{{1,3}})"
+_DOTTED_RUN = re.compile(rf"(?i)\b(plus[ -]+)?{_GROUP}(?:(?: dot |\.){_GROUP})+\b")
+_DOTTED_TOKEN = re.compile(rf"(?i)({_DIGIT_WORD})|( dot )|[ -]")
+_DOT = re.compile(r"(?i) dot |\.")
 _BRACKETED = re.compile(r"(?i) ?[\[({<] ?(at|@|dot|\.) ?[\])}>] ?")
-_BARE_EMAIL = re.compile(r"(?i)[A-Za-z0-9._%+-]+ (at) [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+")
-_BARE_DOTTED = re.compile(r"(?i)(?<![A-Za-z0-9])[0-9]{1,3}(?: dot [0-9]{1,3}){3}(?![0-9])|@[A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+")
+_AT = re.compile(r"(?i) at |@")
+_BARE_DOMAIN = re.compile(r"(?i)[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)+")
+_BARE_IP = re.compile(r"(?i)(?<![A-Za-z0-9])[0-9]{1,3}(?:(?: dot |\.)[0-9]{1,3}){3}(?![0-9])")
 _BARE_SIGN = re.compile(r"(?i) (at|dot) ")
 _HINT = re.compile(r"(?i) dot |[\[({<] ?(?:at|@|dot|\.) ?[\])}>]")
 
@@ -77,67 +84,114 @@ def identifiers(text: str) -> dict[str, list[Span]]:
     return found
 
 
-class Normalised:
-    """A text under rewritings, with a way back: pieces are (start in it, start in the source, source length, own length)."""
-
-    def __init__(self, text: str):
-        self.source_length = len(text)
-        self.text = text.translate(_LETTERS) if _ODD.search(text) else text
-        self.changed = [m.start() for m in _ODD.finditer(text)]
-        self.pieces: list[tuple[int, int, int, int]] = []
-        edits = self._edits()
-        if edits:
-            self._apply(edits)
-
-    def _edits(self) -> list[tuple[int, int, str]]:
-        """Replacements (start, end, new) on the one-for-one text, in order and apart from each other."""
-        t, out = self.text, []
-        for run in _SPELLED_RUN.finditer(t):
-            for m in _SPELLED_TOKEN.finditer(t, *run.span()):
-                out.append((*m.span(), "+" if m[1] else SPELLED[m[2].lower()] if m[2] else " "))
-        if _HINT.search(t):
-            sign = lambda m: "@" if m[1].lower() in ("at", "@") else "."
-            out += [(*m.span(), sign(m)) for m in _BRACKETED.finditer(t)]
-            for whole in (_BARE_EMAIL, _BARE_DOTTED):
-                for run in whole.finditer(t):
-                    out += [(*m.span(), sign(m)) for m in _BARE_SIGN.finditer(t, *run.span())]
-        out.sort()
-        kept, end = [], 0
-        for e in out:
-            if e[0] >= end:
-                kept.append(e)
-                end = e[1]
-        return kept
-
-    def _apply(self, edits: list[tuple[int, int, str]]) -> None:
-        parts, at, own = [], 0, 0
+Edit = tuple[int, int, str]
+
+
+def _sign(m: re.Match) -> str:
+    return "@" if m[1].lower() in ("at", "@") else "."
+
+
+def _bracketed(t: str) -> list[Edit]:
+    return [(*m.span(), _sign(m)) for m in _BRACKETED.finditer(t)]
+
+
+def _spelled(t: str) -> list[Edit]:
+    """Spelled digits; in addresses of four groups nothing stays between the digits of a group."""
+    out, taken = [], []
+    for run in _DOTTED_RUN.finditer(t):
+        if not run[1] and len(_DOT.findall(run[0])) == 3:
+            edits = [(*m.span(), SPELLED[m[1].lower()] if m[1] else "." if m[2] else "") for m in _DOTTED_TOKEN.finditer(t, *run.span())]
+            if any(new.isdigit() for *_, new in edits):
+                out += edits
+                taken.append(run.span())
+    for run in _SPELLED_RUN.finditer(t):
+        if not any(a < run.end() and run.start() < b for a, b in taken):
+            out += [(*m.span(), "+" if m[1] else SPELLED[m[2].lower()] if m[2] else "." if m[3] else " ") for m in _SPELLED_TOKEN.finditer(t, *run.span())]
+    return sorted(out)
+
+
+def _bare(t: str) -> list[Edit]:
+    """`` at `` and `` dot `` in what reads as an address; dots of the local part count as well.
+
+    A bare `` at `` is a sign only next to a bare `` dot ``: in "meet at example.com" it is a word.
+    """
+    out, end = [], 0
+    for m in _AT.finditer(t):
+        domain = _BARE_DOMAIN.match(t, m.end()) if m.start() >= end else None
+        start = m.start()
+        while domain:
+            at = start
+            while at > end and t[at - 1] in _LOCAL:
+                at -= 1
+            if at == start:
+                start = at + 5 if start < m.start() else start  # nothing stands before this dot
+                break
+            start = at
+            if at - 5 < end or t[at - 5 : at].lower() != " dot ":
+                break
+            start = at - 5
+        if domain and start < m.start():
+            signs = list(_BARE_SIGN.finditer(t, start, domain.end()))
+            if any(x[1].lower() == "dot" for x in signs):
+                out += [(*x.span(), _sign(x)) for x in signs]
+                end = domain.end()
+    taken = [e[0] for e in out]
+    for run in _BARE_IP.finditer(t):
+        k = bisect_right(taken, run.start() - 1)
+        if k == len(taken) or taken[k] >= run.end():
+            out += [(*m.span(), _sign(m)) for m in _BARE_SIGN.finditer(t, *run.span())]
+    return sorted(out)
+
+
+class Layer:
+    """A text under edits, with a way back: pieces are (start in it, start before, length before, own length)."""
+
+    def __init__(self, text: str, edits: list[Edit]):
+        self.pieces, parts, at, own = [], [], 0, 0
         for start, end, new in edits:
-            for piece, source in ((self.text[at:start], start - at), (new, end - start)):
-                self.pieces.append((own, at, source, len(piece)))
+            for piece, before in ((text[at:start], start - at), (new, end - start)):
+                self.pieces.append((own, at, before, len(piece)))
                 parts.append(piece)
-                own, at = own + len(piece), at + source
-            self.changed.append(start)
-        self.pieces.append((own, at, len(self.text) - at, len(self.text) - at))
-        parts.append(self.text[at:])
-        self.text = "".join(parts)
-        self.changed.sort()
+                own, at = own + len(piece), at + before
+        self.pieces.append((own, at, len(text) - at, len(text) - at))
+        self.text = "".join([*parts, text[at:]])
         self.starts = [p[0] for p in self.pieces]
 
     def back(self, span: Span) -> Span:
-        """Source characters of a span; a rewritten piece counts whole."""
-        if not self.pieces:
-            return span
+        """Characters before the edits of a span; a rewritten piece counts whole."""
         ends = []
         for at, last in ((span[0], False), (span[1] - 1, True)):
-            own, source, n, size = self.pieces[bisect_right(self.starts, at) - 1]
-            ends.append(source + (at - own) + last if n == size else source + n * last)
+            own, before, n, size = self.pieces[bisect_right(self.starts, at) - 1]
+            ends.append(before + (at - own) + last if n == size else before + n * last)
         return ends[0], ends[1]
 
 
+class Normalised:
+    """A text under all rewritings, one after the other; ``changed`` are the source characters where one begins."""
+
+    def __init__(self, text: str):
+        self.text = text.translate(_LETTERS) if _ODD.search(text) else text
+        self.changed = [m.start() for m in _ODD.finditer(text)]
+        self.layers: list[Layer] = []
+        for stage in (_bracketed, _spelled, _bare):
+            edits = stage(self.text)
+            if edits:
+                self.changed += [self.back((start, end))[0] for start, end, _ in edits]
+                self.layers.append(Layer(self.text, edits))
+                self.text = self.layers[-1].text
+        self.changed.sort()
+
+    def back(self, span: Span) -> Span:
+        """Source characters of a span."""
+        for layer in reversed(self.layers):
+            span = layer.back(span)
+        return span
+
+
 def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """Plain spans and added ones, by kind."""
     base, added = identifiers(text), {k: [] for k in KINDS}
-    if not (_HINT.search(text) or (not text.isascii() and _ODD.search(text)) or _SPELLED_RUN.search(text)):
+    if not (_HINT.search(text) or (not text.isascii() and _ODD.search(text)) or _SPELLED_RUN.search(text) or any(len(_DOT.findall(m[0])) == 3 for m in _DOTTED_RUN.finditer(text))):
         return base, added
     norm = Normalised(text)
     for kind, spans in identifiers(norm.text).items():
