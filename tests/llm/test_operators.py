@@ -96,6 +96,26 @@ def test_toxicity_odd_rows(spark, docs, empty, texts):
     assert toxicity.severity(empty, model).count() == 0
 
 
+@pytest.mark.parametrize("marks", ["!" * 100, "!" * 5000])
+def test_toxicity_counts_long_words(spark, marks):
+    model = toxicity.OrdinalModel({f: 5.0 for f in toxicity.features("idiot")}, np.array([1.0, 2.0, 3.0]))
+    docs = frame(spark, ["you idiot", "you idiot" + marks, "you fine" + marks, "you " + "idiot" + "x" * 200])
+    out = by_id(toxicity.severity(docs, model))
+    assert out[0].rejected and out[1].p_toxic == out[0].p_toxic and not out[2].rejected
+    assert out[3].rejected == (model.weights[toxicity.features("idiotx")[1]] > 1)
+    assert {r.doc_id for r in toxicity.drop_toxic(docs, model).collect()} == {2}
+
+
+def test_toxicity_held_out_with_one_or_two_terms(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = by_id(toxicity.severity(docs, toxicity.train(docs, labels.where("pmod(xxhash64(doc_id), 4) > 0"))))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    held = [r.doc_id for r in labels.where("pmod(xxhash64(doc_id), 4) = 0 and toxic = 1").collect()]
+    few = [out[d].rejected for d in held if 1 <= len(re.findall("idiot|moron|trash|clown|scum|worthless|pathetic|loser", texts[d].lower())) <= 2]
+    print("held-out toxic documents with one or two terms:", len(few), "rejected:", sum(few))
+    assert not few or sum(few) >= 0.8 * len(few)
+
+
 # 2
 
 

@@ -116,8 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) -> Ord
     return fit(np.array([r.toxic for r in sample]), [np.frombuffer(r.features, np.int64) for r in sample])
 
 
-#: Words that a task remembers the weight of before it starts afresh.
-MEMO_WORDS = 150_000
+#: Words that a task remembers the weight of before it starts afresh; longer ones count as any other and are not remembered.
+MEMO_WORDS, LONGEST_REMEMBERED = 150_000, 100
 
 
 def _scorer(model: OrdinalModel):
@@ -130,9 +130,14 @@ def _scorer(model: OrdinalModel):
             if len(memo) > MEMO_WORDS:
                 memo.clear()
             words = words_of(text or "")
+            long = []
             for w in words.difference(memo):
-                memo[w] = sum(of.get(f, 0.0) for f in features(w)) if len(w) <= 100 else 0.0
+                memo[w] = sum(of.get(f, 0.0) for f in features(w))
+                if len(w) > LONGEST_REMEMBERED:
+                    long.append(w)
             out[k] = sum(map(memo.__getitem__, words))
+            for w in long:
+                del memo[w]
         return out
 
     return scores
