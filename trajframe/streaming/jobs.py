@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,23 +31,33 @@ def matched(real: DataFrame, synth: DataFrame, late: str = "2 hours") -> DataFra
     return a.join(b, (c("user_id") == c("s_user")) & (c("event_id") == c("s_event")) & (c("synth_ts") >= c("real_ts")) & (c("synth_ts") <= c("real_ts") + F.expr("interval 1 hour")), "left_outer").drop("s_user", "s_event")
 
 
-TRACK_STATE = "frames long, active long, started long, closest double"
+#: What a run keeps: how many frames it has, and its earliest ones in order, as many as its results look at.
+EARLIEST_STATE = "frames long, ts array<long>, ids array<long>, vals array<double>"
 TRACK_OUT = "run long, frames long, active long, started long, closest double"
 
 
+def _earliest(batches: Iterator[pd.DataFrame], state: GroupState, most: int) -> tuple[int, list[float]]:
+    """(frames, values of the earliest ``most`` frames): the same however a run is cut into chunks and triggers."""
+    frames, *held = state.get if state.exists else (0, [], [], [])
+    ts, ids, values = (np.array(x, t) for x, t in zip(held, ("int64", "int64", "float64"), strict=True))
+    for pdf in batches:
+        frames += len(pdf)
+        when = pdf["ts"].astype("int64").where(pdf["ts"].notna(), np.iinfo("int64").max)
+        ts, ids, values = (np.concatenate([x, y.to_numpy(x.dtype)]) for x, y in ((ts, when), (ids, pdf["event_id"]), (values, pdf["value"])))
+        order = np.lexsort((ids, ts))[:most]
+        ts, ids, values = ts[order], ids[order], values[order]
+    state.update((frames, ts.tolist(), ids.tolist(), values.tolist()))
+    return frames, values.tolist()
+
+
 def _track(trigger: int, duration: int, closing: float, least: float):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frames, active, started, closest = state.get if state.exists else (0, 0, -1, 1e9)
-        for pdf in batches:
-            for distance in pdf.sort_values(["ts", "event_id"])["value"]:
-                if started < 0 and frames >= trigger:
-                    started = frames
-                if started >= 0 and frames - started <= duration:
-                    active += 1
-                    closest = min(closest, max(least, distance - closing * (frames - started)))
-                frames += 1
-        state.update((frames, active, started, closest))
-        yield pd.DataFrame({"run": [key[0]], "frames": [frames], "active": [active], "started": [started], "closest": [closest]})
+        frames, values = _earliest(batches, state, trigger + duration + 1)
+        closest = 1e9
+        for k, distance in enumerate(values[trigger:]):
+            closest = min(closest, max(least, distance - closing * k))
+        active = len(values[trigger:])
+        yield pd.DataFrame({"run": [key[0]], "frames": [frames], "active": [active], "started": [trigger if active else -1], "closest": [closest]})
 
     return step
 
@@ -54,25 +65,19 @@ def _track(trigger: int, duration: int, closing: float, least: float):
 def track_lifecycle(events: DataFrame, trigger: int = 50, duration: int = 100, closing: float = 0.2, least: float = 4.0) -> DataFrame:
     """State by run: a track starts at frame ``trigger``, lasts ``duration`` frames and closes in; one row an update."""
     rows = events.select(c("user_id").alias("run"), "ts", "event_id", "value")
-    return rows.groupBy("run").applyInPandasWithState(_track(trigger, duration, closing, least), TRACK_OUT, TRACK_STATE, "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("run").applyInPandasWithState(_track(trigger, duration, closing, least), TRACK_OUT, EARLIEST_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-STOPPED_STATE = "frames long, started long, place double, active long, distance double"
 STOPPED_OUT = "run long, frames long, started long, place double, active long, distance double"
 
 
 def _stopped(trigger: int, duration: int, ahead: float):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frames, started, place, active, distance = state.get if state.exists else (0, -1, 0.0, 0, -1.0)
-        for pdf in batches:
-            for ego in pdf.sort_values(["ts", "event_id"])["value"]:
-                if started < 0 and frames >= trigger:
-                    started, place = frames, ego + ahead
-                if started >= 0 and frames - started <= duration:
-                    active, distance = active + 1, abs(place - ego)
-                frames += 1
-        state.update((frames, started, place, active, distance))
-        yield pd.DataFrame({"run": [key[0]], "frames": [frames], "started": [started], "place": [place], "active": [active], "distance": [distance]})
+        frames, values = _earliest(batches, state, trigger + duration + 1)
+        seen = values[trigger:]
+        place = seen[0] + ahead if seen else 0.0
+        distance = abs(place - seen[-1]) if seen else -1.0
+        yield pd.DataFrame({"run": [key[0]], "frames": [frames], "started": [trigger if seen else -1], "place": [place], "active": [len(seen)], "distance": [distance]})
 
     return step
 
@@ -80,7 +85,7 @@ def _stopped(trigger: int, duration: int, ahead: float):
 def stopped_track(events: DataFrame, trigger: int = 50, duration: int = 100, ahead: float = 30.0) -> DataFrame:
     """State by run: an object placed ``ahead`` of the ego at frame ``trigger`` stays there; its distance is measured anew each frame."""
     rows = events.select(c("user_id").alias("run"), "ts", "event_id", "value")
-    return rows.groupBy("run").applyInPandasWithState(_stopped(trigger, duration, ahead), STOPPED_OUT, STOPPED_STATE, "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("run").applyInPandasWithState(_stopped(trigger, duration, ahead), STOPPED_OUT, EARLIEST_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def drained(spark: SparkSession, stream: DataFrame, name: str, folder: str, mode: str = "append") -> DataFrame:
