@@ -27,6 +27,8 @@ SEED = 20_240_601
 REPETITION = 2.0
 #: Documents in a block, about.
 BLOCK = 1024
+#: Blocks of a source are summed in so many bits' ranges of their order before one range of them is ordered.
+RANGE_BITS = 12
 #: Up to so many sources' rows are broadcast to the documents; more are joined by a shuffle.
 MOST_BROADCAST = 100_000
 #: Exponents tried in one pass over the sources: each pass is four levels of the bisection.
@@ -110,8 +112,13 @@ def passes_of(docs: DataFrame, repetition: float | None = REPETITION, entropy: f
     lay = lay.select("source", "passes", "rest", _block(F.col("n_blocks")).alias("block"), _doc_order(F.col("passes")).alias("h"), "n")
     lay = stored(lay, "lay")
     blocks = lay.groupBy("source", "passes", "rest", "block").agg(F.sum("n").alias("n")).withColumn("order", _block_order(F.col("passes")))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = blocks.withColumn("before", before).where("before < rest and before + n >= rest")
+    # A source's blocks are summed by the first bits of their order, so that no task orders more than a range of them.
+    blocks = stored(blocks.withColumn("range", F.shiftright("order", 64 - RANGE_BITS)), "mix-blocks")
+    before = lambda *order: F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = blocks.groupBy("source", "rest", "range").agg(F.sum("n").alias("n")).withColumn("before", before("range"))
+    ranges = ranges.where("before < rest and before + n >= rest").select("source", F.col("range").alias("cut_range"), F.col("before").alias("before_range"))
+    inner = _with_small(blocks, ranges, size).where("range = cut_range").withColumn("before", F.col("before_range") + before("order", "block"))
+    cut = inner.where("before < rest and before + n >= rest")
     cut = stored(cut.select("source", "block", F.col("order").alias("cut_block"), (F.col("rest") - F.col("before")).alias("left")), "cuts")
     inside = _with_small(lay.select("source", "block", "h", "n"), cut.withColumnRenamed("block", "at_block"), size).where("block = at_block")
     order = Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)  # one block's documents
@@ -124,14 +131,16 @@ def passes_of(docs: DataFrame, repetition: float | None = REPETITION, entropy: f
 def mix(docs: DataFrame, repetition: float | None = REPETITION, entropy: float | None = None, budget: float | None = None) -> DataFrame:
     """Every appearance of a document in the mix: its columns, mix_weight, mix_epoch, mix_block and mix_order.
 
-    Columns of these four names that ``docs`` has are replaced. Sorting a source's rows by (mix_epoch, mix_block, mix_order) gives its block permutations.
+    Columns of these four names that ``docs`` has are replaced; any other name may occur. Sorting a source's rows by
+    (mix_epoch, mix_block, mix_order) gives its block permutations.
     """
     docs = docs.drop("mix_weight", "mix_epoch", "mix_block", "mix_order")
     plan, size = passes_of(docs, repetition, entropy, budget)
-    plan = plan.select("source", *[F.col(c).alias(f"mix_{c}") for c in ("weight", "passes", "n_blocks", "cut_block", "cut_doc")])
-    rows = _with_small(docs, plan, size).withColumn("mix_at", _block(F.col("mix_n_blocks")))
-    at = _block_order(F.col("mix_passes"), "mix_at")
-    extra = (at < F.col("mix_cut_block")) | ((at == F.col("mix_cut_block")) & (_doc_order(F.col("mix_passes")) <= F.col("mix_cut_doc")))
-    copies = F.col("mix_passes") + F.coalesce(extra, F.lit(False)).cast("int")
+    # The document's own columns travel in one struct, so that none clashes with those worked out here.
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", F.col("text"))
+    rows = _with_small(rows, plan, size).withColumn("at", _block(F.col("n_blocks")))
+    at = _block_order(F.col("passes"), "at")
+    extra = (at < F.col("cut_block")) | ((at == F.col("cut_block")) & (_doc_order(F.col("passes")) <= F.col("cut_doc")))
+    copies = F.col("passes") + F.coalesce(extra, F.lit(False)).cast("int")
     rows = rows.withColumn("mix_epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
-    return rows.select(*docs.columns, "mix_weight", "mix_epoch", _block_order(F.col("mix_epoch"), "mix_at").alias("mix_block"), _doc_order(F.col("mix_epoch")).alias("mix_order"))
+    return rows.select(*[F.col("doc")[n].alias(n) for n in docs.columns], F.col("weight").alias("mix_weight"), "mix_epoch", _block_order(F.col("mix_epoch"), "at").alias("mix_block"), _doc_order(F.col("mix_epoch")).alias("mix_order"))
