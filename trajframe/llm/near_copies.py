@@ -1,9 +1,10 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies: SimHash ball hashing and min-hash bands find candidates, exact Jaccard similarity of word shingles decides.
 
 Two texts are linked where at least ``NUM / DEN`` of their distinct five-word shingles are shared, and one document of
-each group of linked texts stays. At that similarity 64-bit SimHashes differ in ten bits on average, and balls that wide
-around parts of the word would make nearly all pairs candidates; so candidates are texts that agree on the five minima
-of one of ``BANDS`` bands of min-hashes. A pair just at 0.8 misses all bands with a probability of 7 in 100,000, a
+each group of linked texts stays. Candidates are texts whose SimHashes of five-word shingles meet by :mod:`simhash`'s
+balls. At a similarity of 0.8, though, 64-bit SimHashes differ in ten bits on average, and balls that wide would make
+nearly all pairs candidates; so texts that agree on the five minima of one of ``BANDS`` bands of min-hashes are
+candidates too. A pair just at 0.8 misses all bands with a probability of 7 in 100,000, a
 closer one more rarely. Every candidate is then verified on whole shingle sets, natively.
 
 As in :mod:`simhash`, texts are first linked with the smallest of each band's bucket, and then pairs in a bucket that
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajframe.llm.common import stored, utf8
-from trajframe.llm.simhash import HASH_SEED, smallest_reachable
+from trajframe.llm.simhash import HASH_SEED, first_of_groups, majority_bits, smallest_reachable, star_links
 
 SHINGLE, NUM, DEN = 5, 4, 5
 BANDS, ROWS = 24, 5
@@ -64,19 +65,20 @@ def _set_id(found: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, bands): what names the shingle set of every text, and its band keys."""
+    """(doc_id, fp, sim, bands): what names the shingle set of every text, its SimHash, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixers = _mixers()
         for batch in batches:
-            fps, keys = [], []
+            fps, sims, keys = [], [], []
             for x in batch.column(1):
                 found = shingles(x.as_buffer().to_pybytes())
                 fps.append(_set_id(found))
+                sims.append(majority_bits(found))
                 keys.append(bands(found, mixers))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sims, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "sim", "bands"])
 
-    return docs.select(c("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(run, "doc_id long, fp long, bands array<long>")
+    return docs.select(c("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(run, "doc_id long, fp long, sim long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -103,13 +105,24 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return shared.where(DEN * c("shared") >= NUM * (c("n") - c("shared"))).select("a", "b")
 
 
+def ball_candidates(sets: DataFrame) -> DataFrame:
+    """(a, b), a > b: sets (fp, sim) with one SimHash, or whose SimHashes meet in a ball, through one set for each SimHash."""
+    least = stored(sets.groupBy("sim").agg(F.min("fp").alias("low")), "sims")
+    same = sets.join(least, "sim").where("fp > low").select(c("fp").alias("a"), c("low").alias("b"))
+    met = star_links(least.select(c("sim").alias("fp")))
+    of = lambda end: least.select(c("sim").alias(end), c("low").alias(f"low_{end}"))
+    near = met.join(of("a"), "a").join(of("b"), "b").select(F.greatest("low_a", "low_b").alias("a"), F.least("low_a", "low_b").alias("b"))
+    return same.union(near)
+
+
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for every document: the smallest doc_id of its group."""
     marks = stored(signatures(docs), "signatures")
-    sets = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands")), "sets")
+    sets = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.first("sim").alias("sim"), F.first("bands").alias("bands")), "sets")
     keys = stored(sets.select("fp", F.explode("bands").alias("key")), "band-keys")
     buckets = keys.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("high")).where("b < high")
-    stars = stored(keys.join(buckets.hint("merge"), "key").where("fp > b").select(c("fp").alias("a"), "b").distinct(), "stars")
+    banded = keys.join(buckets.hint("merge"), "key").where("fp > b").select(c("fp").alias("a"), "b")
+    stars = stored(banded.union(ball_candidates(sets)).distinct(), "stars")
     labels = stored(smallest_reachable(sets, verified(docs, sets, stars)), "star-labels")
     labelled = keys.join(labels.hint("merge"), "fp")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
@@ -132,6 +145,4 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Rows that repeat both doc_id and text count once; rows without a doc_id stay as they are.
     """
     groups = near_copy_groups(docs.where("doc_id is not null"))
-    kept = groups.where("doc_id = component_id").select(c("doc_id").alias("kept_doc_id")).distinct()
-    once = docs.join(kept, docs["doc_id"] == c("kept_doc_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(docs.where("doc_id is null"))
+    return first_of_groups(docs, groups)

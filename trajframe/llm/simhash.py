@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from trajframe.llm.common import stored, utf8
 
 HASH_SEED = 42
+#: Half-word keys with more fingerprints are split further.
+HOT_KEY = 256
 
 
 def fingerprint_of(text: bytes, shingle: int = 3) -> int:
@@ -38,10 +40,14 @@ def fingerprint_of(text: bytes, shingle: int = 3) -> int:
         hashes = [digest(b" ".join(words), HASH_SEED)]
     else:
         hashes = [digest(b" ".join(x), HASH_SEED) for x in zip(*(words[i:] for i in range(shingle)), strict=False)]
+    return majority_bits(np.array(hashes, np.uint64))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed number."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
-        part = np.array(hashes[at : at + 65_536], np.uint64).view(np.uint8)
-        ones += np.unpackbits(part, bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(hashes[at : at + 65_536].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
     bits = np.packbits(ones * 2 > len(hashes), bitorder="little")
     return int(bits.view(np.int64)[0])
 
@@ -86,9 +92,18 @@ def cross_links(labels: DataFrame) -> DataFrame:
     both = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), half(p).alias("half")) for p in (0, 1)]))
     exact = labels.select(F.col("fp").alias("fp2"), F.col("label").alias("label2"), both.alias("h")).select("fp2", "label2", F.col("h.part").alias("part"), F.col("h.half").alias("key"))
     ball = labels.select("fp", "label", both.alias("h")).select("fp", "label", F.col("h.part").alias("part"), F.explode(_variants("h.half", 32)).alias("key"))
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= 3
-    pairs = ball.join(exact.hint("merge"), ["part", "key"]).where((F.col("label") > F.col("label2")) & close)
-    return pairs.select(F.col("label").alias("a"), F.col("label2").alias("b")).distinct()
+    # Halves that many fingerprints share are split by what the other half has: within three bits of each other, one of
+    # its two quarters differs in at most one bit.
+    hot = stored(exact.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KEY).select("part", "key"), "hot-halves")
+    quarter = lambda fp, q: F.when(F.col("part") == 0, F.shiftrightunsigned(fp, 32 + 16 * q)).otherwise(F.shiftrightunsigned(fp, 16 * q)).bitwiseAND(F.lit(0xFFFF))
+    quarters = lambda fp: F.explode(F.array(*[F.struct(F.lit(q).alias("at"), quarter(fp, q).alias("bits")) for q in (0, 1)])).alias("q")
+    close = (F.col("label") > F.col("label2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= 3)
+    cold = lambda side: side.join(hot, ["part", "key"], "left_anti")
+    split = lambda side, fp: side.join(hot, ["part", "key"], "left_semi").select("*", quarters(fp))
+    few = cold(ball).join(cold(exact).hint("merge"), ["part", "key"]).where(close)
+    near = split(ball, "fp").select("fp", "label", "part", "key", F.col("q.at").alias("at"), F.explode(_variants("q.bits", 16)).alias("bits"))
+    many = near.join(split(exact, "fp2").select("fp2", "label2", "part", "key", F.col("q.at").alias("at"), F.col("q.bits").alias("bits")).hint("merge"), ["part", "key", "at", "bits"]).where(close)
+    return few.select(F.col("label").alias("a"), F.col("label2").alias("b")).union(many.select("label", "label2")).distinct()
 
 
 def smallest_reachable(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -116,6 +131,13 @@ def smallest_reachable(nodes: DataFrame, links: DataFrame, most_rounds: int = 60
     return nodes.select("fp").join(root, F.col("fp") == F.col("a"), "left").select("fp", F.coalesce("root", "fp").alias("label"))
 
 
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents that are the smallest doc_id of their group in ``groups`` (doc_id, component_id), with all their columns."""
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    once = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(docs.where("doc_id is null"))
+
+
 def near_duplicate_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every document: its group under links of three bits or fewer."""
     fps = stored(fingerprints(docs, shingle), "fingerprints")
@@ -135,6 +157,4 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     Rows that repeat both doc_id and text count once; rows without a doc_id stay as they are.
     """
     groups = near_duplicate_groups(docs.where("doc_id is not null"), shingle)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    once = docs.join(kept, docs["doc_id"] == F.col("kept_doc_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(docs.where("doc_id is null"))
+    return first_of_groups(docs, groups)
