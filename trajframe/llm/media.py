@@ -5,7 +5,8 @@ the cost follows the pixels read, not the ratio), and kept as an NPY tile with a
 become images losslessly: their UTF-8 bytes, filled with 255 to a positive multiple of 576, are the samples of a 24
 pixels wide grey Netpbm image.
 
-Nulls: null text or media: an empty text's payload, or a null row of results. Equal bytes give equal results.
+Nulls: null text is an empty text's payload, null media a null row of results. Malformed media give nulls and a reason.
+Equal bytes give equal results; repeated rows and ids give a row each.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if not m or int(m[4]) != 255:
         raise ValueError("not a binary 8-bit PGM or PPM")
     w, h, c = int(m[2]), int(m[3]), 1 if m[1] == b"5" else 3
+    if not w or not h:
+        raise ValueError("an image without pixels")
     return np.frombuffer(data, np.uint8, h * w * c, m.end()).reshape(h, w, c)
 
 
@@ -57,6 +60,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     at, (w, h, _, depth, packing) = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<iiHHI", data, 18)
     if data[:2] != b"BM" or depth != 24 or packing:
         raise ValueError("not an uncompressed 24-bit BMP")
+    if w <= 0 or not h:
+        raise ValueError("an image without pixels")
     stride = (w * 3 + 3) // 4 * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(h), at).reshape(abs(h), stride)[:, : w * 3].reshape(abs(h), w, 3)
     return (rows[::-1] if h > 0 else rows)[:, :, ::-1]
@@ -119,16 +124,25 @@ def documents_to_media(docs: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Every row of ``media`` (any columns and a binary ``media``) with its NPY tile, difference hash and digests."""
-    added = "height int, width int, npy binary, dhash string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
-    empty = [None] * 9
+    """Every row of ``media`` (a binary ``media`` and any columns) with its NPY tile, difference hash and digests.
+
+    Columns of these names that ``media`` has are replaced. Media that cannot be decoded have a reason in media_fault,
+    their own digest, and nulls for the rest.
+    """
+    added = "height int, width int, npy binary, dhash string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media_fault string"
+    empty = [None] * 10
+    media = media.drop(*[x.split(" ")[0] for x in added.split(", ")])
 
     def of(data: bytes | None) -> list:
         if data is None:
             return empty
-        image = decode(data)
+        own = [len(data), hashlib.sha256(data).hexdigest()]
+        try:
+            image = decode(data)
+        except (ValueError, struct.error) as fault:
+            return [None] * 7 + [*own, str(fault)]
         payload = image.tobytes()
-        return [image.shape[0], image.shape[1], npy_tile(image), f"{difference_hash(image):016x}", len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest()]
+        return [image.shape[0], image.shape[1], npy_tile(image), f"{difference_hash(image):016x}", len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *own, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -145,6 +159,6 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def store_and_read_back(docs: DataFrame) -> DataFrame:
-    """Write every document as media to the shared folder and return the features of what is read back."""
-    read = media_features(stored(documents_to_media(docs), "media"))
+    """Write every document as media, and its NPY tile and features, to the shared folder; return what is read back of both."""
+    read = stored(media_features(stored(documents_to_media(docs), "media")), "tiles")
     return read.withColumn("feature", F.concat_ws(":", "dhash", F.sha2("npy", 256))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
