@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -96,6 +97,40 @@ def test_toxicity_odd_rows(spark, docs, empty, texts):
     assert toxicity.severity(empty, model).count() == 0
 
 
+def test_toxicity_scores_equal_brute_force(spark):
+    g = np.random.default_rng(5)
+    words = ["idiot", "idiots", "IDIOT!", "fine", "day", "x" * 150, "idiotic" * 40, "a", "", "naïve", "clown,", "clowns"]
+    texts = [None, "", " "] + [" ".join(g.choice(words, g.integers(0, 30))) for _ in range(200)]
+    texts += texts[5:30]  # repeated rows and ties
+    weights = {f: 0.3 + k % 5 for k, w in enumerate(["idiot", "clown", "x" * 150, "naïve"]) for f in toxicity.features(w)}
+    model = toxicity.OrdinalModel(weights, np.array([1.0, 2.5, 4.0]))
+    out = by_id(toxicity.severity(frame(spark, texts).repartition(3), model))
+    for k, t in enumerate(texts):
+        s = sum(weights.get(f, 0.0) for w in set((t or "").lower().split()) for f in toxicity.features(w))
+        above = 1 / (1 + np.exp(np.clip(model.thresholds - s, -60, 60)))
+        each = -np.diff([1, *above, 0])
+        assert out[k].expected_severity == pytest.approx(above.sum(), abs=2e-6) and out[k].p_toxic == pytest.approx(above[0], abs=2e-6)
+        assert out[k].grade == each.argmax() and out[k].rejected == (above[0] >= 0.5)
+
+
+def test_toxicity_counts_features_in_spark(spark):
+    docs = frame(spark, ["nasty words here"] * 8 + ["plain words here"] * 8 + [None, ""])
+    labels = spark.createDataFrame([(k, 1, int(k < 8)) for k in range(18)], "doc_id long, quality int, toxic int")
+    told = toxicity.telling_features(toxicity.labelled_sample(docs, labels))
+    assert set(toxicity.features("nasty")) == set(told)
+    assert len(toxicity.telling_features(toxicity.labelled_sample(docs, labels), 2)) == 2
+
+
+def test_memo_is_bounded_and_right():
+    from trajframe.llm.common import PieceMemo
+
+    g, memo = np.random.default_rng(1), PieceMemo(lambda x: pa.array([len(v) for v in x.to_pylist()], pa.int64()), pa.int64(), 20_000)
+    for _ in range(60):
+        pieces = pa.array(sorted({"p" * int(n) for n in g.integers(0, 400, 60)}))
+        assert memo.lookup(pieces).to_pylist() == [len(x) for x in pieces.to_pylist()]
+        assert memo.keys.nbytes + memo.values.nbytes <= 20_000
+
+
 @pytest.mark.parametrize("marks", ["!" * 100, "!" * 5000])
 def test_toxicity_counts_long_words(spark, marks):
     model = toxicity.OrdinalModel({f: 5.0 for f in toxicity.features("idiot")}, np.array([1.0, 2.0, 3.0]))
@@ -153,30 +188,71 @@ def test_escape_is_reversible():
 # 3
 
 
-def test_lm_windows_and_counts(docs, texts):
-    assert lm.windows(b"").tolist() == []
-    a, b = lm.windows("aB".encode()).tolist()
-    assert (a, b) == ((2 << 10) | 1, (1 << 15) | 2)
-    expected = Counter()
-    for t in texts:
-        expected.update(lm.windows((t or "").encode()).tolist())
-    assert {r.code: r.n for r in lm.window_counts(docs).collect()} == expected
-
-
-def test_lm_learns_and_scores(docs, empty, texts):
-    network = lm.train(docs)
-    table, out = network.table(), by_id(lm.score(docs, network))
-    assert np.exp(table.reshape(-1, 32)[:2000].astype(float)).sum(axis=1) == pytest.approx(1, abs=0.01)
-    for k in (0, 5, 20):
-        codes = lm.windows((texts[k] or "").encode())
-        assert out[k].logp_sum == pytest.approx(table[codes].sum(dtype=float), abs=1e-3)
-    prose = np.mean([out[k].logp_mean for k in range(len(ODD), len(texts))])
-    assert prose > -2.3 > np.log(1 / 32)
-    shuffled = "".join(np.random.default_rng(1).permutation(list(texts[60])))
-    assert table[lm.windows(shuffled.encode())].mean(dtype=float) < table[lm.windows(texts[60].encode())].mean(dtype=float) - 0.5
+def test_lm_windows_reach_over_both_sides():
+    w = lm.windows(np.array([5, 6, 7, 8], np.int32), np.array([0, 1, 1, 4]))
+    pad = lm.CLASSES
+    assert [x.tolist() for x in w] == [[pad, pad, pad, 6], [pad, pad, 6, 7], [pad, 7, 8, pad], [pad, 8, pad, pad]]
+
+
+def test_lm_gradient_is_the_slope():
+    g = np.random.default_rng(0)
+    context, target = [g.integers(0, lm.CLASSES + 1, 60) for _ in range(4)], g.integers(0, lm.CLASSES, 60).astype(np.int32)
+    net = lm.WindowNetwork()
+    net.p = {k: x.astype(np.float64) + g.normal(0, 0.1, x.shape) for k, x in net.p.items()}
+    slope, touched = net.gradient(context, target)
+    assert touched["e"].sum() == 240 and touched["v"].sum() == 60
+    for k, at in (("e", (1, int(context[1][3]), 5)), ("b", (0, 2)), ("u", (0, 3, 4)), ("v", (int(target[0]) // 32, 7, int(target[0]) % 32))):
+        loss = []
+        for step in (1e-3, -1e-3):
+            net.p[k][at] += step
+            loss.append(-net.log_probability(context, target).mean(dtype=float))
+            net.p[k][at] -= step
+        assert (loss[0] - loss[1]) / 2e-3 == pytest.approx(slope[k][at], rel=0.02, abs=2e-5)
+
+
+def test_lm_counts_trains_and_scores_as_brute_force(docs, empty, texts):
+    network, counts = lm.train(docs)
+    split = [[w for w in re.split(r"[ \t-\r]+", t or "") if w] for t in texts]
+    hash_of = lambda w: xxhash.xxh64_intdigest(w) - (1 << 64 if xxhash.xxh64_intdigest(w) >> 63 else 0)
+    expected = Counter(hash_of(w) for x in split for w in x)
+    assert {r.token: r.n for r in counts.collect()} == expected
+    in_class = Counter()
+    for h, n in expected.items():
+        in_class[h % lm.CLASSES] += n
+    p = {k: x.astype(float) for k, x in network.p.items()}
+
+    def logp(words):
+        classes = [hash_of(w) % lm.CLASSES for w in words]
+        out = 0.0
+        for k, w in enumerate(words):
+            beside = [classes[j] if 0 <= j < len(classes) else lm.CLASSES for j in (k - 2, k - 1, k + 1, k + 2)]
+            h = np.append(np.tanh(sum(p["e"][q][x] for q, x in enumerate(beside)) + p["b"][0]), 1)
+            group, member = divmod(classes[k], lm.MEMBERS)
+            for z, at in ((h @ p["u"][0], group), (h @ p["v"][group], member)):
+                out += z[at] - np.log(np.exp(z).sum())
+            out += np.log(expected[hash_of(w)] / in_class[classes[k]])
+        return out
+
+    for most in (lm.MOST_FREQUENT, 50):  # all shares broadcast; most of them joined
+        out = by_id(lm.score(docs, network, counts, most))
+        for k in (0, 1, 3, 6, 7, 14, 20, 30):
+            assert out[k].n_tokens == len(split[k]) and out[k].logp_sum == pytest.approx(logp(split[k]), rel=1e-3, abs=0.05), k
+            assert (out[k].logp_mean is None) == (not split[k])
     assert lm.train_and_score(empty).count() == 0
 
 
+def test_lm_learns_and_tells_repeated_documents_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mean = lambda network, counts: lm.score(docs, network, counts).selectExpr("sum(logp_sum) / sum(n_tokens)").first()[0]
+    network, counts = lm.train(docs)
+    assert mean(network, counts) > mean(lm.WindowNetwork(), counts) + 0.3
+    twice = docs.where("doc_id % 50 = 0 and length(text) > 400").withColumn("doc_id", docs.doc_id + 10_000_000)
+    once, both = (by_id(lm.train_and_score(d)) for d in (docs, docs.union(twice)))
+    ids = [r.doc_id - 10_000_000 for r in twice.collect()]
+    gain = [both[k].logp_mean - once[k].logp_mean for k in ids]
+    assert np.mean(np.array(gain) > 0) > 0.9
+
+
 # 4
 
 
@@ -213,6 +289,17 @@ def test_media_round_trip(docs, empty, texts):
     assert media.store_and_read_back(empty).count() == 0
 
 
+def test_media_malformed_and_clashing_columns(spark):
+    good = media.encode_netpbm(np.arange(12, dtype=np.uint8).reshape(3, 4, 1))
+    bad = [b"", b"BM", b"BM" + b"\0" * 60, b"P5\n4 4\n255\n12", b"P5\n0 4\n255\n", b"text"]
+    df = spark.createDataFrame([(k, "mine", 7, bytearray(x)) for k, x in enumerate([good, *bad])] + [(9, None, 7, None)], "id int, npy string, height int, media binary")
+    rows = {r.id: r for r in media.media_features(df).collect()}
+    assert rows[0].height == 3 and rows[0].media_fault is None and bytes(rows[0].npy[:6]) == b"\x93NUMPY"
+    for k, x in enumerate(bad, 1):
+        assert rows[k].media_fault and rows[k].npy is None and rows[k].media_bytes == len(x)
+    assert rows[9].media_fault is None and rows[9].media_bytes is None and len(rows[9]) == 11
+
+
 def test_media_codecs_and_resize(spark):
     g = np.random.default_rng(0)
     for h, w in ((1, 1), (7, 5), (30, 41)):
@@ -423,8 +510,8 @@ def test_chunks_are_safe_for_random_spacing():
     g = np.random.default_rng(4)
     pool = [" ", " ", " ", "\n", "\t", " ", "a", "The", "'s", ",", ".", "é", "12", "<|endoftext|>", "漢", "%%%"]
     many = ["".join(g.choice(pool, g.integers(0, 14))) for _ in range(6000)]
-    got = huffman.ByteBpe("byte_bpe_50k.json").encode(many)
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in t.encode_batch(many, add_special_tokens=False)]
+    got = huffman.ByteBpe("byte_bpe_50k.json", pa.uint32()).encode(many)
+    assert got.to_pylist() == [x.ids for x in t.encode_batch(many, add_special_tokens=False)]
 
 
 # 9
@@ -453,6 +540,29 @@ def test_mixing_meets_weights(spark):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_mixing_keeps_clashing_columns_and_repeated_rows(spark):
+    names = ("mix_source", "mix_passes", "mix_n_blocks", "mix_cut_block", "mix_at", "at", "passes", "doc", "n", "weight", "block", "order", "range")
+    docs = spark.createDataFrame([(k % 40 if k % 11 else None, "a b c" if k % 7 else None, "x" if k % 10 else None, *[7] * len(names)) for k in range(200)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mixing.mix(docs)
+    assert out.columns == [*docs.columns, "mix_weight", "mix_epoch", "mix_block", "mix_order"]
+    rows = out.collect()
+    assert all(r[n] == 7 for r in rows for n in names)
+    first = Counter((r.doc_id, r.text, r.source) for r in rows if r.mix_epoch == 0)
+    assert first == Counter((r.doc_id, r.text, r.source) for r in docs.collect())
+
+
+def test_mixing_partial_pass_is_a_prefix_of_the_permutation(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 5), "x" if k < 900 else "y") for k in range(1200)], "doc_id long, text string, source string")
+    out = [r for r in mixing.mix(docs, repetition=1.6).collect() if r.source == "y"]
+    again = {r.doc_id for r in out if r.mix_epoch == 1}
+    from pyspark.sql import functions as F
+
+    rows = docs.where("source = 'y'").withColumn("at", mixing._block(F.lit(75))).select("doc_id", "text", mixing._block_order(F.lit(1), "at").alias("b"), mixing._doc_order(F.lit(1)).alias("d")).collect()
+    order = [r.doc_id for r in sorted(rows, key=lambda r: (r.b, r.d))]
+    assert 0 < len(again) < 300 and set(order[: len(again)]) == again
+
+
 def test_mixing_entropy_and_budget(spark):
     docs = spark.createDataFrame([(k, "a b c", "x" if k % 10 else "y") for k in range(1000)], "doc_id long, text string, source string")
     totals = mixing.source_totals(docs)
@@ -505,6 +615,21 @@ def test_simhash_groups(spark, texts, empty):
     assert simhash.near_duplicate_groups(empty).count() == 0
 
 
+def test_simhash_odd_ids_and_columns(spark):
+    rows = [(1, "one two three four"), (1, "one two three four"), (2, "one two three four"), (None, "one two three four"), (None, None), (3, None), (4, ""), (1, "nothing alike here at all")]
+    docs = spark.createDataFrame([(i, t, 5, 6) for i, t in rows], "doc_id long, text string, kept_doc_id long, component_id int")
+    out = simhash.near_duplicate_groups(docs)
+    assert out.count() == len(rows)
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted([(-1, ""), (-1, "one two three four"), (1, "nothing alike here at all"), (1, "one two three four"), (3, "")])
+
+
+def test_simhash_splits_hot_halves(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_KEY", 3)
+    test_simhash_links_every_distance_up_to_three(spark)
+
+
 def test_simhash_links_every_distance_up_to_three(spark):
     g = np.random.default_rng(8)
     base = [int(x) for x in g.integers(0, 2**63, 40)]

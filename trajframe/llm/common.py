@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a new local one where it is unset (local mode, tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``, or a new local one where it is unset in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,41 +44,35 @@ def utf8(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")
 
 
-class ChunkCache:
-    """A worker's bounded memo from a piece of text to its encoding.
+class PieceMemo:
+    """A worker's memo from pieces of text to values, in Arrow columns.
 
-    ``encode`` maps a list of pieces to their encodings. Two generations of at most ``entries`` pieces are kept: when
-    the young one is full it becomes the old one, and what is met again moves back. Pieces over ``longest`` characters
-    are dropped with the next call, so memory is bounded whatever the texts hold. Results never depend on the memo.
+    ``encode`` maps a string array of distinct pieces to an array of values. Columns take a few bytes an entry more than
+    the text itself, and are looked up by one vectorised join a call. Keys and values together are held to
+    ``most_bytes``: beyond it only what the last call used stays, and nothing if even that is too much, so memory is
+    bounded whatever the texts hold. Results never depend on the memo.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], entries: int = 200_000, longest: int = 48):
-        self.encode, self.entries, self.longest = encode, entries, longest
-        self.young: dict = {}
-        self.old: dict = {}
-        self.long: list[str] = []
-
-    def seed(self, pairs: Iterable[tuple[str, object]]) -> None:
-        self.young.update(pairs)
-
-    def lookup(self, pieces: set[str]) -> Callable:
-        """A function from each of ``pieces`` to its encoding."""
-        for k in self.long:
-            del self.young[k]
-        self.long = []
-        if len(self.young) > self.entries:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = pieces.difference(young)
-        if old and missing:
-            again = [k for k in missing if k in old]
-            young.update((k, old[k]) for k in again)
-            missing.difference_update(again)
-        if missing:
-            new = list(missing)
-            young.update(zip(new, self.encode(new), strict=True))
-            self.long = [k for k in new if len(k) > self.longest]
-        return young.__getitem__
+    def __init__(self, encode: Callable[[pa.Array], pa.Array], kind: pa.DataType, most_bytes: int = 24_000_000):
+        self.encode, self.most_bytes = encode, most_bytes
+        self.keys, self.values = pa.array([], pa.string()), pa.array([], kind)
+
+    def seed(self, keys: pa.Array, values: pa.Array) -> None:
+        self.keys, self.values = keys, values
+
+    def lookup(self, pieces: pa.Array) -> pa.Array:
+        """The value of each of the distinct ``pieces``."""
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.keys), -1).to_numpy().copy()
+        new = at < 0
+        if new.any():
+            fresh = pieces.filter(pa.array(new))
+            at[new] = len(self.keys) + np.arange(len(fresh))
+            self.keys, self.values = pa.concat_arrays([self.keys, fresh]), pa.concat_arrays([self.values, self.encode(fresh)])
+        out = self.values.take(pa.array(at))
+        if self.keys.nbytes + self.values.nbytes > self.most_bytes:
+            keep = len(pieces) if pieces.nbytes + out.nbytes <= self.most_bytes // 2 else 0
+            self.keys, self.values = pieces.slice(0, keep), out.slice(0, keep)
+        return out
 
 
 def by_size(column: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int, pa.Array]]:
@@ -90,9 +86,13 @@ def by_size(column: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int
         at = to
 
 
-def between_spaces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def between_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct pieces between single spaces, each text's pieces as numbers of these, and where each text's begin."""
-    cut = pc.split_pattern(texts, " ")
+    return numbered(pc.split_pattern(texts, " "))
+
+
+def numbered(cut: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Lists of pieces as (distinct pieces, the number of each piece in order, where each list begins)."""
     flat = cut.flatten().dictionary_encode()
     begin = np.cumsum(np.append(0, pc.list_value_length(cut).to_numpy(zero_copy_only=False)))
-    return flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False), begin
+    return flat.dictionary, flat.indices.to_numpy(zero_copy_only=False), begin

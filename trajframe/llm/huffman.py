@@ -1,12 +1,13 @@
 """Token ids as canonical, length-limited Huffman blocks.
 
-Texts are dealt by ranges of ``doc_id`` and encoded in ascending order. Ids are counted over all documents, code
-lengths of at most 16 bits come from those counts by package-merge, and each block of whole documents is packed on its
+Texts are encoded where they lie, and their ids dealt by ranges of ``doc_id`` in ascending order. Ids are counted over
+all documents, code lengths of at most 16 bits come from those counts by package-merge, and each block of whole documents is packed on its
 own, with the bit offset of every 256th id. Blocks decode independently: all checkpoints advance together, one table
 lookup an id.
 
-A file set is a folder with two Parquet tables: ``codebook`` (id, n, bits) and ``blocks`` (start, n_ids, doc_ids,
-lens, offsets, payload, crc32), where start is the number of ids before the block over all documents.
+A file set is a folder with three Parquet tables: ``codebook`` (id, n, bits), ``ranges`` (pid, start: ids before the
+range over all documents) and ``blocks`` (pid, base: ids before the block in its range, n_ids, doc_ids, lens, offsets,
+payload, crc32).
 
 Nulls: null text is empty (only the end id); null doc_ids come first. Repeated ids are ordered by their text's hash.
 """
@@ -16,9 +17,9 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +28,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajframe.llm.common import ChunkCache, between_spaces, by_size, shared_dir, stored, tokenizer_path
+from trajframe.llm.common import PieceMemo, between_spaces, by_size, numbered, shared_dir, stored, tokenizer_path
 
 MOST_BITS = 16
 BLOCK_IDS = 262_144
 CHECKPOINT = 256
+BLOCK_COLUMNS = ["pid", "base", "n_ids", "doc_ids", "lens", "offsets", "payload", "crc32"]
 
 #: Characters with Unicode's White_Space property (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _RUNS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-_WORD_THEN_MARKS = re.compile(r"( ?L+)(M+)?(\n)?(L+)?(M+)?".replace("L", "[A-Za-zÀ-ÖØ-öø-ÿ]").replace("M", r"[!-&(-/:-@\[-`{-~]"))
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_MARKS = r"[!-&(-/:-@\[-`{-~]*"
+_WORD_THEN_MARKS = f"^(?P<a>{_LETTERS})(?P<b>{_MARKS})(?P<c>\n?)(?P<d>{_LETTERS[:-1]}*)(?P<e>{_MARKS})$"
 _BEFORE_SPACE = f"[{WHITE}] "
 
 
@@ -48,7 +52,7 @@ def chunks(text: str) -> list[str]:
     return _RUNS.findall(text)
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letters that byte-level vocabularies write bytes as: printable Latin-1 stands for itself, the rest follows from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [x for x in range(256) if x not in plain]
@@ -56,116 +60,145 @@ def _byte_letters() -> dict[int, str]:
 
 
 class ByteBpe:
-    """Ids of texts as little-endian bytes, through worker memos of what lies between spaces and of the words within."""
+    """Ids of texts as Arrow lists, through worker memos of what lies between spaces and of the words within.
 
-    def __init__(self, name: str, kind: str = "I", ordinary: bool = False):
-        """kind: array type code of the ids; ordinary: special tokens' strings in a text are ordinary text."""
+    Letters, marks and a newline after them are always split, so that a new mixture needs no new encoding. Words that
+    the memos lack are encoded together, joined by spaces or newlines, which splitting keeps apart; the ids of these
+    then tell the words apart again.
+    """
+
+    def __init__(self, name: str, kind: pa.DataType, ordinary: bool = False):
+        """kind: type of an id; ordinary: special tokens' strings in a text are ordinary text."""
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(tokenizer_path(name)), kind
         self.tokenizer.encode_special_tokens = ordinary
-        self.letters = _byte_letters()
-        self.words = ChunkCache(self._word_ids)
-        self.chunks = ChunkCache(self._by_word, 50_000)
-        self.after_space = ChunkCache(lambda pieces: self._by_word([" " + p for p in pieces]))
-
-    def _library(self, pieces: list[str]) -> list[bytes]:
-        return [array(self.kind, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """Each is letters or marks alone, which the library's splitting keeps whole: its model encodes it directly."""
-        model, letters, kind = self.tokenizer.model.tokenize, self.letters, self.kind
-        return [array(kind, [t.id for t in model(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in words]
-
-    def _by_word(self, pieces: list[str]) -> list[bytes]:
-        """Letters, marks and a newline after them are always split, so that a new mixture needs no new encoding."""
-        match = _WORD_THEN_MARKS.fullmatch
-        cut = [m.groups("") if (m := match(p)) and "<|" not in p else None for p in pieces]
-        of = self.words.lookup({x for c in cut if c for x in c if x})
-        odd = iter(self._library([p for p, c in zip(pieces, cut, strict=True) if c is None]))
-        return [next(odd) if c is None else of(c[0]) if not (c[1] or c[2]) else b"".join([of(x) for x in c if x]) for c in cut]
-
-    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        names = self.tokenizer.get_vocab()
+        first = np.array([x[:1] for x in sorted(names, key=names.get)])
+        space, newline = (byte_letters()[ord(x)] for x in " \n")
+        self.begins = {" ": first == space, "\n": np.arange(len(first)) == names[newline]}
+        self.pieces = PieceMemo(self._after_space, pa.list_(kind))
+        self.words = PieceMemo(self._words, pa.list_(kind), 12_000_000)
+        self.chunks = PieceMemo(self._apart, pa.list_(kind), 4_000_000)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.array([len(x) for x in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), self.kind.to_pandas_dtype(), int(size.sum())), np.append(0, np.cumsum(size))
+
+    def _lists(self, ids: np.ndarray, begin: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, self.kind))
+
+    def _apart(self, pieces: pa.Array) -> pa.Array:
+        """Each piece by itself."""
+        return self._lists(*self._library(pieces.to_pylist()))
+
+    def _together(self, words: pa.Array, before: str) -> pa.Array:
+        """Each word of letters alone with ``before`` in front of it; a newline's id is left out."""
+        words = words.to_pylist()
+        ids, _ = self._library([before + before.join(words[k : k + 1024]) for k in range(0, len(words), 1024)])
+        starts = self.begins[before][ids]
+        begin = np.append(np.flatnonzero(starts), len(ids))
+        if len(begin) != len(words) + 1:
+            raise ValueError("the vocabulary doesn't keep words apart")
+        return self._lists(ids, begin) if before == " " else self._lists(ids[~starts], begin - np.arange(len(begin)))
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Words with or without a space before them, marks, and newlines."""
+        spaced = pc.match_substring_regex(words, f"^ {_LETTERS}$")
+        bare = pc.match_substring_regex(words, f"^{_LETTERS}$")
+        rest = pc.invert(pc.or_(spaced, bare))
+        kinds = pa.array(np.select([x.to_numpy(zero_copy_only=False) for x in (spaced, bare)], [0, 1], 2))
+        both = [self._together(pc.utf8_slice_codeunits(words.filter(spaced), 1), " "), self._together(words.filter(bare), "\n"), self._apart(words.filter(rest))]
+        return pa.concat_arrays(both).take(in_turn(kinds))
+
+    def _after_space(self, pieces: pa.Array) -> pa.Array:
+        """Each piece with a space before it."""
+        cut = pc.extract_regex(pieces, _WORD_THEN_MARKS)
+        odd = pc.or_(pc.is_null(cut), pc.match_substring(pieces, "<|"))
+        parts = [x.fill_null("") for x in cut.filter(pc.invert(odd)).flatten()]
+        parts[0] = pc.binary_join_element_wise(pa.scalar(" "), parts[0], "")
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        number = coded.indices.to_numpy().reshape(len(parts), -1).T
+        there = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)[number] if number.size else number.astype(bool)
+        usual = self._gathered(self.words.lookup(coded.dictionary.filter(pc.not_equal(coded.dictionary, ""))), _without(coded.dictionary)[number[there]], np.append(0, np.cumsum(there.sum(axis=1))), None)
+        return pa.concat_arrays([usual, self._apart(pc.binary_join_element_wise(pa.scalar(""), pieces.filter(odd), " "))]).take(in_turn(odd))
+
+    def encode(self, texts: list[str] | pa.Array, end: int | None = None) -> pa.Array:
+        """A list of ids for each text, with ``end`` after them if given."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         odd = pc.match_substring_regex(texts, _BEFORE_SPACE)
-        out = iter(self._usual(texts.filter(pc.invert(odd))))
-        cut = [chunks(t) for t in texts.filter(odd).to_pylist()]
-        of = self.chunks.lookup(set().union(*cut))
-        rest = (b"".join(map(of, c)) for c in cut)
-        return [next(rest) if x else next(out) for x in odd.to_pylist()]
-
-    def _usual(self, texts: pa.Array) -> list[bytes]:
-        """Distinct pieces are looked up once; the ids of all are then gathered by their numbers."""
-        if not len(texts):
-            return []
+        usual = self._gathered(*self._usual(texts.filter(pc.invert(odd))), end)
+        if not pc.any(odd).as_py():
+            return usual
+        pieces, number, begin = numbered(pa.array([chunks(t) for t in texts.filter(odd).to_pylist()], pa.list_(pa.string())))
+        return pa.concat_arrays([usual, self._gathered(self.chunks.lookup(pieces), number, begin, end)]).take(in_turn(odd))
+
+    def _usual(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, each text's pieces as numbers of these, and where each text's begin."""
         pieces, number, begin = between_spaces(texts)
-        heads = number[begin[:-1]]  # a text's first piece has no space before it
-        of = self.after_space.lookup(set(pieces))
-        ids = [of(p) for p in pieces]
-        first = {h: pieces[h] for h in np.unique(heads).tolist()}
-        of = self.chunks.lookup(set(first.values()) - {""})
-        at = {h: len(ids) + k for k, h in enumerate(first)}
-        ids += [of(p) if p else b"" for p in first.values()]
-        number = number.astype(np.int32)
-        number[begin[:-1]] = [at[h] for h in heads.tolist()]
-        size = np.array([len(x) for x in ids]) // array(self.kind).itemsize
-        lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), f"<u{array(self.kind).itemsize}")))
-        got = lists.take(pa.array(number)).flatten().to_numpy()
-        ends = np.cumsum(size[number])[begin[1:] - 1]
-        return [x.tobytes() for x in np.split(got, ends[:-1])]
+        heads, at = np.unique(number[begin[:-1]], return_inverse=True)  # a text's first piece has no space before it
+        ids = pa.concat_arrays([self.pieces.lookup(pieces), self._apart(pieces.take(pa.array(heads)))])
+        number = number.copy()
+        number[begin[:-1]] = len(pieces) + at
+        return ids, number, begin
+
+    def _gathered(self, ids: pa.Array, number: np.ndarray, begin: np.ndarray, end: int | None) -> pa.Array:
+        if end is not None:
+            number, begin = np.insert(number, begin[1:], len(ids)), begin + np.arange(len(begin))
+            ids = pa.concat_arrays([ids, pa.array([[end]], ids.type)])
+        upto = np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy()[number]))
+        return pa.ListArray.from_arrays(pa.array(upto[begin], pa.int32()), ids.take(pa.array(number)).flatten())
+
+
+def _without(words: pa.Array, left_out: str = "") -> np.ndarray:
+    """The numbers of ``words`` once ``left_out`` is gone from them."""
+    return np.cumsum(pc.not_equal(words, left_out).to_numpy(zero_copy_only=False)) - 1
+
+
+def in_turn(kind: pa.Array) -> pa.Array:
+    """Where each row stands once rows are put together by kind (a flag or a small number)."""
+    out = np.empty(len(kind), np.int64)
+    out[np.argsort(kind.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(kind))
+    return pa.array(out)
 
 
 @cache
-def byte_bpe(name: str, kind: str, ordinary: bool = False) -> ByteBpe:
-    """One for each worker and vocabulary, so that its memos serve all of the worker's tasks."""
+def byte_bpe(name: str, kind: pa.DataType, ordinary: bool = False) -> ByteBpe:
+    """One for each worker and vocabulary, so that its memo serves all of the worker's tasks."""
     return ByteBpe(name, kind, ordinary)
 
 
-def id_blocks(docs: DataFrame, vocabulary: str, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """(pid, block, base, doc_ids, lens, ids): blocks of whole documents in ascending doc_id order within ranges pid."""
+def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """(doc_id, h, ids): every text's ids and the end id, as little-endian 16-bit numbers; h orders texts of one doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, pid, end = byte_bpe(vocabulary, "H"), TaskContext.get().partitionId(), np.array([end_id], "<u2").tobytes()
-        block = base = 0
-        names: list = []
-        parts: list[bytes] = []
-        size = 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal block, base, names, parts, size
-            row = {"pid": pid, "block": block, "base": base, "doc_ids": names, "lens": [len(p) // 2 for p in parts], "ids": b"".join(parts)}
-            block, base, names, parts, size = block + 1, base + size, [], [], 0
-            return pa.RecordBatch.from_pylist([row], schema=schema)
-
-        schema = pa.schema([("pid", pa.int32()), ("block", pa.int32()), ("base", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("ids", pa.binary())])
+        bpe = byte_bpe(vocabulary, pa.uint16())
         for batch in batches:
-            for k, texts in by_size(batch.column(1)):
-                for name, ids in zip(batch.column(0).slice(k, len(texts)).to_pylist(), bpe.encode(texts), strict=True):
-                    names.append(name)
-                    parts.append(ids + end)
-                    size += len(parts[-1]) // 2
-                    if size >= block_ids:
-                        yield close()
-        if names:
-            yield close()
+            for k, texts in by_size(batch.column(2)):
+                ids = bpe.encode(texts, end_id)
+                flat = ids.flatten().to_numpy().astype("<u2", copy=False)
+                offsets = np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy())) * 2
+                raw = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(texts)), batch.column(1).slice(k, len(texts)), raw], ["doc_id", "h", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
-    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
-    return ranged.select("doc_id", "text").mapInArrow(run, "pid int, block int, base long, doc_ids array<long>, lens array<int>, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, h long, ids binary")
 
 
-def id_counts(blocks: DataFrame) -> DataFrame:
-    """(id, n) over all blocks."""
+def id_counts(rows: DataFrame) -> DataFrame:
+    """(id, n) over all rows' ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(65_536, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                n += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=65_536)
-        ids = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(n[ids])], ["id", "n"])
+            ids = batch.column(0)
+            ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, ids.offset * 4)
+            n += np.bincount(np.frombuffer(ids.buffers()[2], "<u2", (ends[-1] - ends[0]) // 2, ends[0]), minlength=65_536)
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n[found])], ["id", "n"])
 
-    return blocks.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return rows.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
@@ -245,50 +278,67 @@ def unpack(payload: bytes, offsets: np.ndarray, n: int, table: tuple[np.ndarray,
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, block_ids: int = BLOCK_IDS) -> None:
-    """Encode every document and write the file set at ``path`` (vocabularies of up to 65,536 ids)."""
+    """Encode every document and write the file set at ``path`` (vocabularies of up to 65,536 ids).
+
+    Texts are encoded where they lie; only their ids, two bytes each, are dealt into ranges.
+    """
     spark = docs.sparkSession
-    blocks = stored(id_blocks(docs, vocabulary, end_id, block_ids), "ids")
-    found = id_counts(blocks).orderBy("id").collect()  # at most one row an id of the vocabulary
+    rows = stored(encoded(docs, vocabulary, end_id), "ids")
+    found = id_counts(rows).orderBy("id").collect()  # at most one row an id of the vocabulary
     bits = np.zeros(65_536, np.uint8)
     if found:
         bits[[r.id for r in found]] = code_lengths(np.array([r.n for r in found]))
-    totals = blocks.groupBy("pid").agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).orderBy("pid").collect()  # one row a task
-    before, base = {}, 0
-    for r in totals:
-        before[r.pid], base = base, base + r.n
     spark.createDataFrame([(r.id, r.n, int(bits[r.id])) for r in found], "id int, n long, bits int").coalesce(1).write.parquet(f"{path}/codebook")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = canonical_codes(bits)
+        codes, pid = canonical_codes(bits), TaskContext.get().partitionId()
+        base, names, parts, size = 0, [], [], 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal base, names, parts, size
+            ids = np.frombuffer(b"".join(parts), "<u2")
+            payload, offsets = pack(ids, bits, codes)
+            lens = [len(p) // 2 for p in parts]
+            row = [[pid], [base], [len(ids)], [names], [lens], [offsets.astype("<u4").tobytes()], [payload], [zlib.crc32(payload)]]
+            base, names, parts, size = base + size, [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(row, kinds, strict=True)], BLOCK_COLUMNS)
+
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
         for batch in batches:
-            for row in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[row].as_buffer(), "<u2")
-                payload, offsets = pack(ids, bits, codes)
-                start = before[batch.column("pid")[row].as_py()] + batch.column("base")[row].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([start]), pa.array([len(ids)]), batch.column("doc_ids").slice(row, 1), batch.column("lens").slice(row, 1), pa.array([offsets.astype("<u4").tobytes()]), pa.array([payload]), pa.array([zlib.crc32(payload)])],
-                    ["start", "n_ids", "doc_ids", "lens", "offsets", "payload", "crc32"],
-                )
+            for name, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                names.append(name)
+                parts.append(ids.as_buffer().to_pybytes())
+                size += len(parts[-1]) // 2
+                if size >= block_ids:
+                    yield close()
+        if names:
+            yield close()
 
-    blocks.mapInArrow(run, "start long, n_ids long, doc_ids array<long>, lens array<int>, offsets binary, payload binary, crc32 long").write.parquet(f"{path}/blocks")
+    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
+    ranged.select("doc_id", "ids").mapInArrow(run, "pid int, base long, n_ids long, doc_ids array<long>, lens array<int>, offsets binary, payload binary, crc32 long").write.parquet(f"{path}/blocks")
+    totals = spark.read.parquet(f"{path}/blocks").groupBy("pid").agg(F.sum("n_ids").alias("n")).orderBy("pid").collect()  # one row a range
+    before = np.cumsum([0] + [r.n for r in totals]).tolist()
+    spark.createDataFrame([(r.pid, n) for r, n in zip(totals, before, strict=False)], "pid int, start long").coalesce(1).write.parquet(f"{path}/ranges")
 
 
 def _decoded(spark: SparkSession, path: str, per_document, kind: pa.DataType, schema: str) -> DataFrame:
     bits = np.zeros(65_536, np.uint8)
     for r in spark.read.parquet(f"{path}/codebook").collect():  # at most one row an id of the vocabulary
         bits[r.id] = r.bits
+    before = dict(spark.read.parquet(f"{path}/ranges").collect())  # one row a range
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(bits)
         for batch in batches:
             for row in batch.to_pylist():
                 if zlib.crc32(row["payload"]) != row["crc32"]:
-                    raise ValueError(f"block at {row['start']} is damaged")
+                    raise ValueError(f"block {row['base']} of range {row['pid']} is damaged")
+                start = before[row["pid"]] + row["base"]
                 ids = unpack(row["payload"], np.frombuffer(row["offsets"], "<u4"), row["n_ids"], table).astype("<u4")
                 at = 0
                 out = []
                 for name, n in zip(row["doc_ids"], row["lens"], strict=True):
-                    out.append((name, row["start"] + at, n, per_document(ids[at : at + n])))
+                    out.append((name, start + at, n, per_document(ids[at : at + n])))
                     at += n
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], kind)], schema.replace(",", "").split(" ")[::2])

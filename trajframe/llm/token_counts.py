@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajframe.llm.common import ChunkCache, between_spaces, by_size, tokenizer_path
+from trajframe.llm.common import PieceMemo, between_spaces, by_size, numbered, tokenizer_path
 
 TABLE_ENTRIES = 65_536
 #: A task reports pre-tokens that make up at least one in so many of its own.
@@ -59,34 +59,36 @@ class PieceLengths:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(name))
         if not splits_at_marks(self.sp):
             raise ValueError(f"{name}: pieces cross word marks, so counts by pre-token would be wrong")
-        self.lines = ChunkCache(self._plain)
-        self.whole = ChunkCache(self._by_line)
+        self.lines = PieceMemo(self._plain, pa.int64(), 12_000_000)
+        self.whole = PieceMemo(self._by_line, pa.int64())
 
-    def _plain(self, keys: list[str]) -> list[int]:
+    def _plain(self, keys: pa.Array) -> pa.Array:
         """A key is a line start (mark before it) or, after a newline, a later line without a mark."""
+        keys = keys.to_pylist()
         got = self.sp.encode(keys, num_threads=1)
         # The library gives nothing for an empty text, where inside a text the mark stands alone; "\n..." brings two pieces of its own.
-        return [len(ids) - 2 if k[:1] == "\n" else max(len(ids), 1) for k, ids in zip(keys, got, strict=True)]
-
-    def _by_line(self, pieces: list[str]) -> list[int]:
-        cut = [p.split("\n") for p in pieces]
-        keys = [[x[0], *("\n" + y for y in x[1:])] for x in cut]
-        of = self.lines.lookup({k for x in keys for k in x})
-        return [sum(map(of, x)) + len(x) - 1 for x in keys]
+        return pa.array([len(ids) - 2 if k[:1] == "\n" else max(len(ids), 1) for k, ids in zip(keys, got, strict=True)], pa.int64())
+
+    def _by_line(self, pieces: pa.Array) -> pa.Array:
+        cut = pc.split_pattern(pieces, "\n")
+        size = pc.list_value_length(cut).to_numpy().astype(np.int64)
+        begin = np.cumsum(size) - size
+        later = np.ones(int(size.sum()), bool)
+        later[begin] = False
+        flat = cut.flatten()
+        keys = pc.if_else(pa.array(later), pc.binary_join_element_wise(pa.scalar("\n"), flat, ""), flat).dictionary_encode()
+        lengths = self.lines.lookup(keys.dictionary).to_numpy()[keys.indices.to_numpy()]
+        return pa.array(np.add.reduceat(lengths, begin) + size - 1 if len(size) else lengths)
 
     def count(self, texts: list[str] | pa.Array) -> list[int]:
         """Texts with a run of spaces, a space at an end or a mark are cut one by one, all others in columns."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         odd = pc.match_substring_regex(texts, f"^ |  | $|{MARK}|^$")
-        usual = texts.filter(pc.invert(odd))
         out = np.zeros(len(texts), np.int64)
-        if len(usual):
-            pieces, number, begin = between_spaces(usual)
-            of = self.whole.lookup(set(pieces))
-            out[~odd.to_numpy(zero_copy_only=False)] = np.add.reduceat(np.array([of(p) for p in pieces])[number], begin[:-1])
-        cut = [pre_tokens(t) for t in texts.filter(odd).to_pylist()]
-        of = self.whole.lookup(set().union(*cut))
-        out[odd.to_numpy(zero_copy_only=False)] = [sum(map(of, x)) for x in cut]
+        for some, cut in ((pc.invert(odd), lambda x: between_spaces(x)), (odd, lambda x: numbered(pa.array([pre_tokens(t) for t in x.to_pylist()], pa.list_(pa.string()))))):
+            pieces, number, begin = cut(texts.filter(some))
+            upto = np.append(0, np.cumsum(self.whole.lookup(pieces).to_numpy()[number]))
+            out[some.to_numpy(zero_copy_only=False)] = np.diff(upto[begin])
         return out.tolist()
 
 
@@ -99,7 +101,8 @@ def _lengths(name: str, table: Broadcast, key: str) -> PieceLengths:
         _worker.clear()
         _worker[key] = PieceLengths(name)
         pieces, lengths = table.value
-        _worker[key].whole.seed(zip(pieces.split(MARK), lengths, strict=True) if lengths else ())
+        if lengths:
+            _worker[key].whole.seed(pa.array(pieces.split(MARK)), pa.array(lengths, pa.int64()))
     return _worker[key]
 
 
@@ -113,7 +116,7 @@ def heavy_hitters(docs: DataFrame) -> DataFrame:
                 # Runs of spaces are left to the second tier.
                 pieces, number, _ = between_spaces(texts)
                 total += len(number)
-                seen.update(dict(zip(pieces, np.bincount(number, minlength=len(pieces)).tolist(), strict=True)))
+                seen.update(dict(zip(pieces.to_pylist(), np.bincount(number, minlength=len(pieces)).tolist(), strict=True)))
             if len(seen) > 500_000:  # lossy counting: what is rare so far cannot reach the share any more than by the floor
                 floor += 1
                 seen = Counter({k: n for k, n in seen.items() if n > floor})
@@ -126,7 +129,7 @@ def heavy_hitters(docs: DataFrame) -> DataFrame:
 def frequent_table(docs: DataFrame, vocabulary: str) -> Broadcast:
     """The first tier: (pieces joined by marks, which none holds, and lengths) of the most frequent pre-tokens, at most ``TABLE_ENTRIES``."""
     top = [r.piece for r in heavy_hitters(docs).orderBy(F.desc("n"), "piece").limit(TABLE_ENTRIES).select("piece").collect()]
-    return docs.sparkSession.sparkContext.broadcast((MARK.join(top), PieceLengths(vocabulary)._by_line(top) if top else []))
+    return docs.sparkSession.sparkContext.broadcast((MARK.join(top), PieceLengths(vocabulary)._by_line(pa.array(top)).to_pylist() if top else []))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", limit: int = 4096) -> DataFrame:

@@ -4,7 +4,8 @@ Features of a text are its distinct words and their beginnings. Severity has fou
 clean; texts labelled toxic are graded 1 to 3 by thirds of how many features they have that set toxic texts apart.
 One weight vector is shared by the three thresholds: P(grade > k) = sigmoid(w.x - t_k). Weights
 are not negative, so that no amount of harmless text outweighs what is toxic. It is fitted with an L1 penalty on a
-bounded sample of labelled rows (``MOST_PER_CLASS`` of each class, by hash of doc_id) and applied to all documents.
+bounded sample of labelled rows (``MOST_PER_CLASS`` of each class, by hash of doc_id) and applied to all documents; the
+sample's features are counted by Spark, and the driver gets only the at most ``MOST_FEATURES`` telling ones.
 The outputs are the expected severity, the likeliest grade, and whether P(grade > 0) reaches ``REJECT_AT``.
 
 Nulls: null text counts as empty; labels without doc_id or toxic are left out; of repeated labels a toxic one wins.
@@ -15,15 +16,20 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajframe.llm.common import PieceMemo, by_size, numbered, stored
+
 MOST_PER_CLASS = 4000
+#: Features that the model may have: the most telling ones.
+MOST_FEATURES = 16_384
 REJECT_AT = 0.5
 #: Features enter the model if they favour toxic texts and chance explains them with a probability under exp(-SCREEN) over all features together.
 SCREEN = 1.0
@@ -40,8 +46,15 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh64_intdigest(x) >> 1 for x in names]
 
 
-def words_of(text: str) -> set[str]:
-    return set(text.lower().split())
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Lower-case words between white space: the distinct ones, each text's words as numbers of these, where each text's begin."""
+    return numbered(pc.utf8_split_whitespace(pc.utf8_lower(texts)))
+
+
+def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All words' features in one array, and where each word's begin."""
+    found = [features(w) for w in words]
+    return np.array([f for x in found for f in x], np.int64), np.append(0, np.cumsum([len(x) for x in found])).astype(np.int64)
 
 
 @dataclass
@@ -57,7 +70,7 @@ class OrdinalModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) -> DataFrame:
-    """(toxic, features): sorted hashes of at most ``most`` labelled documents of each class."""
+    """(doc_id, toxic, features): distinct feature hashes of at most ``most`` labelled documents of each class."""
     truth = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
     ranked = [truth.where(F.col("toxic") == c).orderBy(F.xxhash64("label_id"), "label_id").limit(most) for c in (0, 1)]
     chosen = ranked[0].union(ranked[1])
@@ -66,35 +79,47 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(np.array([f for w in words_of(t) for f in features(w)], np.int64)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["toxic", "features"])
-
-    return texts.select(F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "toxic int, features binary")
+            for k, part in by_size(batch.column(2)):
+                words, number, begin = words_of(part)
+                flat, at = features_of(words.to_pylist())
+                found = [np.unique(np.concatenate([flat[at[w] : at[w + 1]] for w in np.unique(number[i:j])] or [flat[:0]])) for i, j in zip(begin, begin[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(part)), batch.column(1).slice(k, len(part)), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "toxic", "features"])
+
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, toxic int, features array<long>")
+
+
+def telling_features(sample: DataFrame, most: int = MOST_FEATURES) -> list[int]:
+    """The at most ``most`` features that favour toxic texts beyond chance, by counts that stay distributed."""
+    n, bad = sample.agg(F.count(F.lit(1)), F.sum((F.col("toxic") > 0).cast("long"))).first()
+    if not bad or bad == n:
+        return []
+    each = sample.select((F.col("toxic") > 0).cast("long").alias("bad"), F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("k")).where("n >= 3")
+    each = stored(each, "feature-counts")
+    tried, share = each.count(), F.lit(bad / n)
+    # How unlikely a feature's share of toxic texts is by chance: -log of Chernoff's bound, against all features tried.
+    part = lambda x, of: x * F.log(F.greatest(x.cast("double"), F.lit(1e-12)) / F.greatest(of, F.lit(1e-12)))
+    of, k = F.col("n"), F.col("k")
+    chance = part(k, of * share) + part(of - k, of * (1 - share))
+    told = each.where((chance > math.log(max(tried, 1)) + SCREEN) & (k > of * share)).orderBy(F.desc(F.round(chance, 6)), "feature").limit(most)
+    return sorted(r.feature for r in told.select("feature").collect())
 
 
 def fit(toxic: np.ndarray, rows: list[np.ndarray], rounds: int = 300, rate: float = 0.08, penalty: float = 2e-5) -> OrdinalModel:
-    """Grade the sample and fit the model by proximal descent with steps scaled to each gradient's size."""
-    thresholds = np.linspace(1.0, 3.0, GRADES - 1)
+    """Grade a sample by its ``rows`` of features, as far as these favour toxic texts, and fit the model by proximal descent with steps scaled to each gradient's size."""
+    t = np.linspace(1.0, 3.0, GRADES - 1)
     if len(set(toxic.tolist())) < 2:
         return OrdinalModel({}, np.full(GRADES - 1, 30.0))
     names, col = np.unique(np.concatenate(rows), return_inverse=True)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    many = np.bincount(col, minlength=len(names)) >= 3
-    keep = many[col]
-    names, col, row = names[many], (np.cumsum(many) - 1)[col[keep]], row[keep]
+    told = np.bincount(col, (toxic > 0)[row], len(names)) > np.bincount(col, minlength=len(names)) * (toxic > 0).mean()
+    names, col, row = names[told], (np.cumsum(told) - 1)[col[told[col]]], row[told[col]]
     bad = toxic > 0
-    k, n = np.bincount(col, bad[row], len(names)), np.bincount(col, minlength=len(names))
-    # How unlikely a feature's share of toxic texts is by chance: -log of Chernoff's bound, against all features tried.
-    part = lambda x, of: x * np.log(np.maximum(x, 1e-12) / np.maximum(of, 1e-12))
-    chance = part(k, n * bad.mean()) + part(n - k, n * (1 - bad.mean()))
-    told = (chance > math.log(max(len(names), 1)) + SCREEN) & (k > n * bad.mean())
-    keep = told[col]
-    names, col, row = names[told], (np.cumsum(told) - 1)[col[keep]], row[keep]
     load = np.bincount(row, minlength=len(rows))
     cuts = np.quantile(load[bad], [1 / 3, 2 / 3])
     grade = np.where(bad, 1 + np.searchsorted(cuts, load, side="left"), 0)
 
-    w, t, n = np.zeros(len(names)), thresholds.copy(), len(rows)
+    w, n = np.zeros(len(names)), len(rows)
     gw, gt = np.zeros(len(w)), np.zeros(len(t))
     for r in range(rounds):
         s = np.bincount(row, w[col], n)
@@ -112,33 +137,38 @@ def fit(toxic: np.ndarray, rows: list[np.ndarray], rounds: int = 300, rate: floa
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) -> OrdinalModel:
-    sample = labelled_sample(docs, labels, most).collect()  # at most 2 x most rows
-    return fit(np.array([r.toxic for r in sample]), [np.frombuffer(r.features, np.int64) for r in sample])
-
-
-#: Words that a task remembers the weight of before it starts afresh; longer ones count as any other and are not remembered.
-MEMO_WORDS, LONGEST_REMEMBERED = 150_000, 100
-
-
-def _scorer(model: OrdinalModel):
-    """w.x of each text, through a task's bounded memo of words."""
-    memo, of = {}, model.weights
-
-    def scores(texts: list[str | None]) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for k, text in enumerate(texts):
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            words = words_of(text or "")
-            long = []
-            for w in words.difference(memo):
-                memo[w] = sum(of.get(f, 0.0) for f in features(w))
-                if len(w) > LONGEST_REMEMBERED:
-                    long.append(w)
-            out[k] = sum(map(memo.__getitem__, words))
-            for w in long:
-                del memo[w]
-        return out
+    sample = stored(labelled_sample(docs, labels, most), "labelled")
+    names = np.array(telling_features(sample), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.intersect1d(x.values.to_numpy(), names, assume_unique=True).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "toxic", "told"])
+
+    # At most 2 x most rows, each with its telling features alone.
+    rows = sample.mapInArrow(run, "doc_id long, toxic int, told binary").orderBy("doc_id", "toxic").collect()
+    return fit(np.array([r.toxic for r in rows]), [np.frombuffer(r.told, np.int64) for r in rows])
+
+
+def _scorer(model: OrdinalModel) -> Callable[[pa.Array], np.ndarray]:
+    """w.x of each text: the weights of its distinct words together, through a task's memo of words."""
+    of = model.weights
+
+    def weights(words: pa.Array) -> pa.Array:
+        return pa.array([sum(of.get(f, 0.0) for f in features(w)) for w in words.to_pylist()], pa.float64())
+
+    memo = PieceMemo(weights, pa.float64())
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        out = []
+        for _, part in by_size(pc.fill_null(texts, "")):
+            words, number, begin = words_of(part)
+            weight = memo.lookup(words).to_numpy()
+            text = np.repeat(np.arange(len(part)), np.diff(begin))
+            met = weight[number] > 0
+            once = np.unique(text[met] * len(words) + number[met]) if met.any() else np.zeros(0, np.int64)
+            out.append(np.bincount(once // max(len(words), 1), weight[once % max(len(words), 1)], len(part)))
+        return np.concatenate(out) if out else np.zeros(0)
 
     return scores
 
@@ -149,7 +179,7 @@ def severity(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _scorer(model)
         for batch in batches:
-            above = model.above(scores(batch.column(1).to_pylist()))
+            above = model.above(scores(batch.column(1)))
             each = np.diff(np.pad(above, ((0, 0), (1, 1)), constant_values=((0, 0), (1, 0))), axis=1) * -1
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above.sum(axis=1).round(6)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0].round(6)), pa.array(above[:, 0] >= reject_at)], ["doc_id", "expected_severity", "grade", "p_toxic", "rejected"])
 
@@ -163,7 +193,7 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_A
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _scorer(model)
         for batch in batches:
-            above = model.above(scores(batch.column(at).to_pylist()))
+            above = model.above(scores(batch.column(at)))
             yield batch.filter(pa.array(above[:, 0] < reject_at))
 
     return docs.mapInArrow(run, docs.schema)
