@@ -7,15 +7,17 @@ nearly all pairs candidates; so texts that agree on the five minima of one of ``
 candidates too. A pair just at 0.8 misses all bands with a probability of 7 in 100,000, a
 closer one more rarely. Every candidate is then verified on whole shingle sets, natively.
 
-As in :mod:`simhash`, texts are first linked with the smallest of each band's bucket, and then pairs in a bucket that
-are still in different groups are compared one by one: a large group of near copies is not squared, and no link between
-groups is lost.
+As in :mod:`simhash`, texts are first linked with one centre of each band's bucket, the one whose buckets are largest.
+Of pairs in a bucket that are still in different groups, those are compared one by one whose sizes and shingles that
+occur in several groups leave a similarity of 0.8 possible. These bounds are exact, so no link between groups is lost,
+and they leave few pairs of a large group of near copies.
 
 Nulls: null text counts as empty, and empty texts are copies of each other. Texts of up to five words are one shingle.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,15 +98,56 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.select("want", "text").mapInArrow(run, "want long, fp long, found array<long>").where("want = fp").select("fp", "found").dropDuplicates(["fp"])
 
 
-def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) that share enough shingles; ``sets`` is (fp, first_doc)."""
-    ends = pairs.select(c("a").alias("fp")).union(pairs.select("b")).distinct()
-    found = stored(shingle_sets(docs, sets.select("fp", "first_doc").join(ends, "fp")), "shingle-sets")
+def sets_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """(fp, found): the stored shingle sets of the ``wanted`` (fp); ``sets`` is (fp, first_doc)."""
+    return stored(shingle_sets(docs, sets.select("fp", "first_doc").join(wanted.select("fp").distinct(), "fp")), name)
+
+
+def verified(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) that share enough shingles of the sets ``found`` (fp, found)."""
     both = pairs.join(found.select(c("fp").alias("a"), c("found").alias("of_a")), "a").join(found.select(c("fp").alias("b"), c("found").alias("of_b")), "b")
     shared = both.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("n"), F.size(F.array_intersect("of_a", "of_b")).alias("shared"))
     return shared.where(DEN * c("shared") >= NUM * (c("n") - c("shared"))).select("a", "b")
 
 
+def centres(keys: DataFrame) -> DataFrame:
+    """(key, centre): of each bucket the set whose buckets are largest together, as a common original's are."""
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(keys.join(sizes.hint("merge"), "key").select("key", "fp", "n"), "shared-keys")
+    weight = shared.groupBy("fp").agg(F.sum("n").alias("weight"))
+    return shared.join(weight.hint("merge"), "fp").groupBy("key").agg(F.max(F.struct("weight", "fp")).alias("c")).select("key", c("c.fp").alias("centre"))
+
+
+def contested(found: DataFrame, live: DataFrame) -> DataFrame:
+    """(fp, label, n, m) of the ``live`` (fp, label) sets that may still be alike with one of another label.
+
+    n is a set's size and m how many of its shingles sets of other labels have too, which bounds what it can share with
+    any of them: those with m below 0.8 n are alike with none.
+    """
+    each = stored(found.join(live.select("fp", "label"), "fp").select("fp", "label", F.explode("found").alias("x")), "shingles-apart")
+    both = each.groupBy("x").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("x")
+    m = each.join(both.hint("merge"), "x").groupBy("fp").agg(F.count(F.lit(1)).cast("int").alias("m"))
+    n = live.select("fp", "label").join(found.select("fp", F.size("found").alias("n")), "fp")
+    return n.join(m, "fp").where(DEN * c("m") >= NUM * c("n")).select("fp", "label", "n", "m")
+
+
+def possible_pairs(apart: DataFrame, live: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``live`` sets of different labels that share a bucket of ``apart`` and may be alike, each once.
+
+    A pair shares at most the lesser m, so its sizes cannot be far from each other; buckets are split by size.
+    """
+    step = math.log(1.05)
+    bin_of = lambda x, slack: F.floor((F.log(x) + slack) / step).cast("int")
+    rows = stored(apart.select("key", "at", "fp", "bands").join(live, "fp"), "apart-live")
+    least, most = bin_of(c("n") * NUM / DEN, -1e-9), bin_of(F.least(c("n") * DEN / NUM, c("m") * (NUM + DEN) / NUM - c("n")), 1e-9)
+    one = rows.withColumn("size", F.explode(F.when(most >= least, F.sequence(least, most))))
+    other = rows.select("key", bin_of(c("n"), 0).alias("size"), *[c(x).alias(f"{x}2") for x in ("fp", "label", "n", "m", "bands")])
+    shared = F.least("m", "m2")
+    may = (c("fp") > c("fp2")) & (c("label") != c("label2")) & (DEN * shared >= NUM * (c("n") + c("n2") - shared))
+    first = ~F.arrays_overlap(F.slice("bands", F.lit(1), c("at")), F.slice("bands2", F.lit(1), c("at")))
+    return one.join(other.hint("merge"), ["key", "size"]).where(may & first).select(c("fp").alias("a"), c("fp2").alias("b"))
+
+
 def ball_candidates(sets: DataFrame) -> DataFrame:
     """(a, b), a > b: sets (fp, sim) with one SimHash, or whose SimHashes meet in a ball, through one set for each SimHash."""
     least = stored(sets.groupBy("sim").agg(F.min("fp").alias("low")), "sims")
@@ -119,18 +162,19 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for every document: the smallest doc_id of its group."""
     marks = stored(signatures(docs), "signatures")
     sets = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.first("sim").alias("sim"), F.first("bands").alias("bands")), "sets")
-    keys = stored(sets.select("fp", F.explode("bands").alias("key")), "band-keys")
-    buckets = keys.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("high")).where("b < high")
-    banded = keys.join(buckets.hint("merge"), "key").where("fp > b").select(c("fp").alias("a"), "b")
+    keys = stored(sets.select("fp", F.posexplode("bands").alias("at", "key")), "band-keys")
+    banded = keys.join(centres(keys).hint("merge"), "key").where("fp <> centre").select(F.greatest("fp", "centre").alias("a"), F.least("fp", "centre").alias("b"))
     stars = stored(banded.union(ball_candidates(sets)).distinct(), "stars")
-    labels = stored(smallest_reachable(sets, verified(docs, sets, stars)), "star-labels")
+    ends = stars.select(c("a").alias("fp")).union(stars.select("b"))
+    labels = stored(smallest_reachable(sets, verified(sets_of(docs, sets, ends, "star-sets"), stars)), "star-labels")
     labelled = keys.join(labels.hint("merge"), "fp")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    apart = stored(labelled.join(mixed.hint("merge"), "key", "left_semi"), "apart")
-    other = apart.select("key", c("fp").alias("fp2"), c("label").alias("label2"))
-    pairs = apart.join(other.hint("merge"), "key").where("fp > fp2 and label <> label2").select(c("fp").alias("a"), c("fp2").alias("b")).distinct()
-    pairs = stored(pairs.join(stars, ["a", "b"], "left_anti"), "cross")
-    links = verified(docs, sets, pairs)
+    apart = stored(labelled.join(mixed.hint("merge"), "key", "left_semi").join(sets.select("fp", "bands"), "fp"), "apart")
+    live = apart.select("fp", "label").distinct()
+    found = sets_of(docs, sets, live, "apart-sets")
+    for _ in range(2):  # what the first round takes out may leave others alone
+        live = stored(contested(found, live), "live")
+    links = verified(found, possible_pairs(apart, live))
     of = lambda end: labels.select(c("fp").alias(end), c("label").alias(f"label_{end}"))
     links = links.join(of("a"), "a").join(of("b"), "b").select(c("label_a").alias("a"), c("label_b").alias("b")).distinct()
     merged = smallest_reachable(labels.select(c("label").alias("fp")).distinct(), links)
