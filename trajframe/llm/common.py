@@ -53,7 +53,7 @@ class PieceMemo:
     bounded whatever the texts hold. Results never depend on the memo.
     """
 
-    def __init__(self, encode: Callable[[pa.Array], pa.Array], kind: pa.DataType, most_bytes: int = 24_000_000):
+    def __init__(self, encode: Callable[[pa.Array], pa.Array], kind: pa.DataType, most_bytes: int = 16_000_000):
         self.encode, self.most_bytes = encode, most_bytes
         self.keys, self.values = pa.array([], pa.string()), pa.array([], kind)
 
@@ -76,7 +76,7 @@ class PieceMemo:
 
 
 def by_size(column: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int, pa.Array]]:
-    """(start, slice) of a column of texts in parts of about ``most_bytes``, a longer text alone."""
+    """(start, slice) of a column of texts or bytes in parts of about ``most_bytes``, a longer text alone."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(column):
@@ -84,6 +84,7 @@ def by_size(column: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int
         to = max(int(np.searchsorted(ends, before + most_bytes, side="right")), at + 1)
         yield at, column.slice(at, to - at)
         at = to
+        pa.default_memory_pool().release_unused()  # a worker is reused by other stages
 
 
 def between_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

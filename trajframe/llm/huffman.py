@@ -78,7 +78,7 @@ class ByteBpe:
         space, newline = (byte_letters()[ord(x)] for x in " \n")
         self.begins = {" ": first == space, "\n": np.arange(len(first)) == names[newline]}
         self.pieces = PieceMemo(self._after_space, pa.list_(kind))
-        self.words = PieceMemo(self._words, pa.list_(kind), 12_000_000)
+        self.words = PieceMemo(self._words, pa.list_(kind), 8_000_000)
         self.chunks = PieceMemo(self._apart, pa.list_(kind), 4_000_000)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajframe.llm.common import stored, utf8
+from trajframe.llm.common import by_size, stored, utf8
 from trajframe.llm.simhash import HASH_SEED, first_of_groups, majority_bits, smallest_reachable, star_links
 
 SHINGLE, NUM, DEN = 5, 4, 5
@@ -72,13 +72,14 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixers = _mixers()
         for batch in batches:
-            fps, sims, keys = [], [], []
-            for x in batch.column(1):
-                found = shingles(x.as_buffer().to_pybytes())
-                fps.append(_set_id(found))
-                sims.append(majority_bits(found))
-                keys.append(bands(found, mixers))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sims, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "sim", "bands"])
+            for k, part in by_size(batch.column(1)):
+                fps, sims, keys = [], [], []
+                for x in part:
+                    found = shingles(x.as_buffer().to_pybytes())
+                    fps.append(_set_id(found))
+                    sims.append(majority_bits(found))
+                    keys.append(bands(found, mixers))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(part)), pa.array(fps, pa.int64()), pa.array(sims, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "sim", "bands"])
 
     return docs.select(c("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(run, "doc_id long, fp long, sim long, bands array<long>")
 
@@ -88,11 +89,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):  # sets are larger than texts' share of a batch
-                part = batch.slice(at, 256)
-                sets = [shingles(x.as_buffer().to_pybytes()) for x in part.column(1)]
+            for k, part in by_size(batch.column(1), 1_000_000):  # sets are larger than texts
+                sets = [shingles(x.as_buffer().to_pybytes()) for x in part]
                 ids = pa.array([_set_id(x) for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["want", "fp", "found"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(part)), ids, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["want", "fp", "found"])
 
     texts = docs.select("doc_id", utf8("text").alias("text")).join(wanted.select(c("fp").alias("want"), "first_doc"), c("doc_id") == c("first_doc"))
     return texts.select("want", "text").mapInArrow(run, "want long, fp long, found array<long>").where("want = fp").select("fp", "found").dropDuplicates(["fp"])
