@@ -14,7 +14,10 @@ def invariants(a: DataFrame, b: DataFrame, key: list[str], fields: list[str], gr
     right = b.select(*key, *[c(f).alias(f"b_{f}") for f in fields], F.lit(True).alias("in_b"))
     both = left.join(right, key, "full_outer")
     errors = {f: F.max(F.abs(c(f"a_{f}") - c(f"b_{f}"))) for f in fields}
-    out = both.groupBy(*group).agg(F.count_if(c("in_b").isNull()).alias("only_a"), F.count_if(c("in_a").isNull()).alias("only_b"), *[F.round(e, 6).alias(f"max_{f}") for f, e in errors.items()], F.coalesce(F.bool_and(F.greatest(F.lit(0.0), *[F.abs(c(f"a_{f}") - c(f"b_{f}")) for f in fields]) <= tolerance), F.lit(True)).alias("close"))
+    near = F.lit(True)
+    for f in fields:  # a value that one side alone lacks is a disagreement
+        near = near & F.coalesce(F.abs(c(f"a_{f}") - c(f"b_{f}")) <= tolerance, c(f"a_{f}").isNull() & c(f"b_{f}").isNull())
+    out = both.groupBy(*group).agg(F.count_if(c("in_b").isNull()).alias("only_a"), F.count_if(c("in_a").isNull()).alias("only_b"), *[F.round(e, 6).alias(f"max_{f}") for f, e in errors.items()], F.coalesce(F.bool_and(F.when(c("in_a") & c("in_b"), near)), F.lit(True)).alias("close"))
     return out.withColumn("verdict", F.when((c("only_a") == 0) & (c("only_b") == 0) & c("close"), "PASS").otherwise("FAIL")).drop("close")
 
 
@@ -40,7 +43,7 @@ def normaliser(rows: DataFrame, features: list[str]) -> DataFrame:
 def capture_score(rows: DataFrame, key: list[str]) -> DataFrame:
     """Score of capture candidates from visible, edge and area: steady, whole views score high; unseen ones -1e9."""
     seen = F.count_if("visible")
-    area = F.when(c("visible"), c("area"))
+    area = F.when(c("visible") & (c("area") > 0), c("area"))
     spread = F.when(F.count(area) < 2, 1.0).otherwise(F.stddev_pop(area) / F.greatest(F.avg(area), F.lit(1.0)))
     score = F.when(seen == 0, -1e9).otherwise(100.0 * seen - 20.0 * F.count_if(c("visible") & c("edge")) - 40.0 * spread)
     return rows.groupBy(*key).agg(seen.alias("n_visible"), F.round(score, 4).alias("score"))

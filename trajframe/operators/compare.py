@@ -67,9 +67,9 @@ def domain_split(grid: DataFrame, x: Column, z: Column) -> DataFrame:
 
 def by_threshold(real: DataFrame, synth: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     """Per case and depth threshold: frames counted and mean absolute errors, in one pass over one comparison."""
-    rows = with_errors(comparison_grid(real, synth)).where("counted")
+    rows = with_errors(comparison_grid(real, synth))  # uncounted rows too, so that a case without any is still seen
     spread = rows.withColumn("min_depth", F.explode(F.array(*map(F.lit, thresholds))))
-    deep = finite(F.col("real_depth")) >= F.col("min_depth")
+    deep = F.col("counted") & (finite(F.col("real_depth")) >= F.col("min_depth"))
     return spread.groupBy("case_id", "min_depth").agg(F.count_if(deep).alias("n_frames"), *[F.avg(F.when(deep, F.abs(f"err_{p}"))).alias(f"mae_{p}") for p in PARTS])
 
 

@@ -37,6 +37,14 @@ def build_grid(labels: DataFrame, axes: dict[str, Axis], values: list[str]) -> D
     return labels.select(*[v.alias(k) for k, v in cell.items()], "visible", *values).groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.avg(c("visible").cast("double")).alias("visible"), *[F.avg(v).alias(v) for v in values])
 
 
+def dense_grid(labels: DataFrame, axes: list[str], values: list[str], ordinal: Column) -> DataFrame:
+    """Every cell of the product of the labels' own axis values: the label of the highest ordinal, or not visible and null."""
+    last = labels.groupBy(*axes).agg(F.max_by(F.struct("visible", *values), ordinal).alias("at"))
+    # An axis has as many values as the grid has cells along it.
+    product = reduce(lambda a, b: a.crossJoin(b), [labels.select(a).distinct() for a in axes])
+    return product.join(last, axes, "left").select(*axes, F.coalesce("at.visible", F.lit(False)).alias("visible"), *[c(f"at.{v}").alias(v) for v in values])
+
+
 def missing_cells(grid: DataFrame, axes: dict[str, Axis]) -> DataFrame:
     """Cells of the full product that no label reached."""
     spark = grid.sparkSession

@@ -40,7 +40,7 @@ def pchip_slopes(rows: DataFrame, key: list[str], at: str, value: str) -> DataFr
     rows = rows.withColumns({"h1": h1, "h0": h0}).withColumns({"d1": (F.lead(value).over(w) - c(value)) / c("h1"), "d0": (c(value) - F.lag(value).over(w)) / c("h0")})
     rows = rows.withColumns({"h2": F.lead("h1").over(w), "d2": F.lead("d1").over(w), "hb": F.lag("h0").over(w), "db": F.lag("d0").over(w)})
     w1, w2 = 2 * c("h1") + c("h0"), c("h1") + 2 * c("h0")
-    inner = F.when(c("d0") * c("d1") > 0, (w1 + w2) / (F.try_divide(w1, c("d0")) + F.try_divide(w2, c("d1")))).otherwise(0.0)
+    inner = F.when((F.abs("d0") > 1e-9) & (F.abs("d1") > 1e-9) & (c("d0") * c("d1") > 0), (w1 + w2) / (F.try_divide(w1, c("d0")) + F.try_divide(w2, c("d1")))).otherwise(0.0)
 
     def end(h: str, d: str, hn: str, dn: str) -> Column:
         s = F.try_divide((2 * c(h) + c(hn)) * c(d) - c(h) * c(dn), c(h) + c(hn))

@@ -83,3 +83,10 @@ def capability_report(frames: DataFrame, min_depth: float = 0.0) -> DataFrame:
         F.round(F.min("z"), 6).alias("min_z"), F.round(F.max("z"), 6).alias("max_z"), first("CULLED").alias("first_culled"), first("OOD").alias("first_ood"),
         F.when(n("OOD") == 0, "SUPPORTED").otherwise("OUTSIDE").alias("status"),
     )
+
+
+def capability_of_cases(cases: DataFrame, duration_s: float = 8.0, fps: int = 30) -> DataFrame:
+    """The report of every case; cut-ins that no arc length allows have the status INFEASIBLE and no frames."""
+    report = capability_report(cut_in_frames(cases, duration_s, fps))
+    out = cases.select("case_id").join(report, "case_id", "left")
+    return out.withColumn("status", F.coalesce("status", F.lit("INFEASIBLE")))

@@ -184,7 +184,7 @@ def a3_domain_split(spark, sf):
     return compare.domain_split(grid, (c("real_cx") - 640) / 100, c("real_depth") - 5)
 
 
-_PER_CASE = GRID + ", t(min_depth) as (values (15e0), (20e0), (25e0), (30e0)), pc as (select case_id, min_depth, count(*) filter (where depth >= min_depth) as n_frames, " + ", ".join(f"avg(abs({p})) filter (where depth >= min_depth) as mae_{p}" for p in compare.PARTS) + " from grid, t where rv and sv group by all)"
+_PER_CASE = GRID + ", t(min_depth) as (values (15e0), (20e0), (25e0), (30e0)), pc as (select case_id, min_depth, count(*) filter (where rv and sv and depth >= min_depth) as n_frames, " + ", ".join(f"avg(abs({p})) filter (where rv and sv and depth >= min_depth) as mae_{p}" for p in compare.PARTS) + " from grid, t group by all)"
 
 
 @query(f"""with {_PER_CASE} select min_depth, count(*) as n_cases, count(*) filter (where n_frames > 0) as n_with, sum(n_frames)::bigint as n_frames, {", ".join(f"round(avg(mae_{p}), 6) as macro_{p}, round(min(mae_{p}), 6) as min_{p}, round(max(mae_{p}), 6) as max_{p}, round(sum(mae_{p} * n_frames) filter (where n_frames > 0) / sum(n_frames) filter (where mae_{p} is not null and n_frames > 0), 6) as weighted_{p}" for p in compare.PARTS)} from pc group by 1""")
@@ -339,7 +339,7 @@ m as (select f.case_id, f.frame, case when f.since <= 0 then f.start_m + f.speed
 k as (select case_id, frame, x - ego_x - 1.5 as z, case when x - ego_x - 1.5 <= 1e-5 then 'CULLED' when y < -4.00001 or y > 4.00001 or x - ego_x - 1.5 > 100.00001 then 'OOD' else 'SUPPORTED' end as class from m)
 select case_id, count(*) as active, count(*) filter (where class <> 'CULLED') as required, count(*) filter (where class = 'SUPPORTED') as supported, count(*) filter (where class = 'CULLED') as culled, count(*) filter (where class = 'OOD') as ood, round(case when count(*) filter (where class <> 'CULLED') = 0 then 1 else count(*) filter (where class = 'SUPPORTED') / count(*) filter (where class <> 'CULLED') end, 6) as supported_fraction, round(min(z), 6) as min_z, round(max(z), 6) as max_z, min(frame) filter (where class = 'CULLED') as first_culled, min(frame) filter (where class = 'OOD') as first_ood, case when count(*) filter (where class = 'OOD') = 0 then 'SUPPORTED' else 'OUTSIDE' end as status from k group by 1""")
 def t7_cut_in_capability(spark, sf):
-    return sweep.capability_report(sweep.cut_in_frames(_cases(spark, sf)))
+    return sweep.capability_of_cases(_cases(spark, sf))
 
 
 @query(f"""with {REAL}, v as (select *, greatest(cx - w / 2, 0) as x1, greatest(bottom - h, 0) as y1, least(cx + w / 2, 1279) as x2, least(bottom, 719) as y2 from real_ where visible and w between 8 and 1200 and h between 8 and 700), c as (select *, least(greatest(x1, 0), 1279) as xa from v where x2 - x1 between 8 and 1200 and y2 - y1 between 8 and 700), d as (select *, max(frame) over p as mf, first_value(depth) over (partition by case_id, actor_id order by frame) as d0 from c window p as (partition by case_id, actor_id))
@@ -458,14 +458,15 @@ def _keys(spark, sf):
     return p, keys, spawns
 
 
+# Times and keys lie on decimal grids, where exact halves occur; a shift below any digit keeps rounding from tipping either way.
 @query(f"""with {_KEYS}, all_ as (select * from keys_ union all select run, 0e0, -5e0, 0e0, 170e0 from first_ where t > 1e-9), k as (select *, lead(t) over w as t1, lead(x) over w as qx, lead(y) over w as qy, lead(yaw) over w as qyaw, row_number() over w as n from all_ window w as (partition by run order by t)), probe as (select run, frame * 0.4e0 - 1 as t from poses),
 m as (select p.run, p.t, k.t as t0, k.t1, k.x, k.y, k.yaw, k.qx, k.qy, k.qyaw, k.n from probe p asof join k on p.run = k.run and p.t >= k.t), b as (select p.run, p.t, k.t as t0, null::double as t1, k.x, k.y, k.yaw, k.qx, k.qy, k.qyaw, k.n from probe p join k on p.run = k.run and k.n = 1 and p.t < k.t), j as (select *, (t - t0) / (t1 - t0) as u from (from m union all from b)),
 s as (select *, t1 is null or (n = 1 and t <= t0) as still, case when run % 2 = 0 then u * u * (3 - 2 * u) else u end as a, (case when run % 2 = 0 then 6 * u * (1 - u) else 1 end) / (t1 - t0) as r from j)
-select run, round(t, 6) as t_s, round(case when still then x else x + (qx - x) * a end, 6) as x, round(case when still then y else y + (qy - y) * a end, 6) as y, round(case when still then {wrap('yaw')} else {wrap(f"yaw + {wrap('qyaw - yaw')} * a")} end, 5) as yaw, round(case when still then 0 else sqrt(power((qx - x) * r, 2) + power((qy - y) * r, 2)) end, 6) as speed_mps from s""")
+select run, round(t + 3.7137e-11, 6) as t_s, round(case when still then x else x + (qx - x) * a end + 3.7137e-11, 6) as x, round(case when still then y else y + (qy - y) * a end + 3.7137e-11, 6) as y, round(case when still then {wrap('yaw')} else {wrap(f"yaw + {wrap('qyaw - yaw')} * a")} end + 3.7137e-11, 6) as yaw, round(case when still then 0 else sqrt(power((qx - x) * r, 2) + power((qy - y) * r, 2)) end + 3.7137e-11, 6) as speed_mps from s""")
 def t3_keyframe_states(spark, sf):
     p, keys, spawns = _keys(spark, sf)
     out = maneuvers.keyframe_states(p.select("run", (c("frame") * 0.4 - 1.0).alias("t_s")), maneuvers.with_spawn(keys, spawns, "run"), "run", c("run") % 2 == 0)
-    return out.select("run", *r6(t_s=c("t_s"), x=c("x"), y=c("y")), F.round("yaw", 5).alias("yaw"), *r6(speed_mps=c("speed_mps")))
+    return out.select("run", *[F.round(c(k) + 3.7137e-11, 6).alias(k) for k in ("t_s", "x", "y", "yaw", "speed_mps")])
 
 
 @query(f"with {_KEYS} select run, 'spawn_mismatch' as rule from first_ where t <= 1e-9 and (abs(x + 5) > 1e-6 or abs(y) > 1e-6 or abs({wrap('yaw - 170')}) > 1e-6)")
@@ -582,8 +583,12 @@ def st5_stopped_track(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_Q)
+    from trajframe import runtime_queries
+
+    return _Q | runtime_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from trajframe import runtime_queries
+
+    return _SQL | runtime_queries.oracle_sql()

@@ -98,8 +98,31 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.select(*[finite(c(k)).alias(k) if t in ("double", "float") else c(k) for k, t in rows.dtypes]).write.option("ignoreNullFields", False).json(path)
 
 
-def write_grid(grid: DataFrame, path: str) -> None:
-    grid.repartitionByRange("zi", "xi", "yi").sortWithinPartitions("zi", "xi", "yi").write.parquet(path)
+def write_grid(grid: DataFrame, path: str, axes: list[str] | None = None) -> None:
+    """Cells in the order of their axes, and one row that describes them beside them."""
+    axes = axes or ["zi", "xi", "yawi"]
+    grid.repartitionByRange(*axes).sortWithinPartitions(*axes).write.parquet(f"{path}/cells")
+    seen = F.count_if(c("visible") > 0) if dict(grid.dtypes)["visible"] != "boolean" else F.count_if("visible")
+    grid.agg(F.count(F.lit(1)).alias("n"), seen.alias("n_visible"), *[F.count_distinct(a).alias(f"n_{a}") for a in axes]).write.parquet(f"{path}/metadata")
+
+
+def read_grid_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/metadata")
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Cases of a manifest: one a line, or in a list under ``cases``."""
+    found = spark.read.json(path)
+    return found.select(F.explode("cases").alias("x")).select("x.*") if "cases" in found.columns else found
+
+
+def write_box_labels(rows: DataFrame, path: str) -> None:
+    """Training labels as CSV with a header; what is not finite is left empty."""
+    rows.select(*[finite(c(k)).alias(k) if t in ("double", "float") else c(k) for k, t in rows.dtypes]).write.option("header", True).csv(path)
+
+
+def read_box_labels(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.option("header", True).schema(schema).csv(path)
 
 
 def write_by_case(rows: DataFrame, path: str) -> None:
