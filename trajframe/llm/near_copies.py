@@ -138,12 +138,13 @@ def possible_pairs(apart: DataFrame, live: DataFrame) -> DataFrame:
     """
     step = math.log(1.05)
     bin_of = lambda x, slack: F.floor((F.log(x) + slack) / step).cast("int")
-    rows = stored(apart.select("key", "at", "fp", "bands").join(live, "fp"), "apart-live")
+    rows = stored(apart.select("key", "at", "fp", "bands", "centre").join(live, "fp"), "apart-live")
     least, most = bin_of(c("n") * NUM / DEN, -1e-9), bin_of(F.least(c("n") * DEN / NUM, c("m") * (NUM + DEN) / NUM - c("n")), 1e-9)
     one = rows.withColumn("size", F.explode(F.when(most >= least, F.sequence(least, most))))
     other = rows.select("key", bin_of(c("n"), 0).alias("size"), *[c(x).alias(f"{x}2") for x in ("fp", "label", "n", "m", "bands")])
     shared = F.least("m", "m2")
-    may = (c("fp") > c("fp2")) & (c("label") != c("label2")) & (DEN * shared >= NUM * (c("n") + c("n2") - shared))
+    met = c("centre").isin(c("fp"), c("fp2"))  # has been compared
+    may = ~met & (c("fp") > c("fp2")) & (c("label") != c("label2")) & (DEN * shared >= NUM * (c("n") + c("n2") - shared))
     first = ~F.arrays_overlap(F.slice("bands", F.lit(1), c("at")), F.slice("bands2", F.lit(1), c("at")))
     return one.join(other.hint("merge"), ["key", "size"]).where(may & first).select(c("fp").alias("a"), c("fp2").alias("b"))
 
@@ -163,16 +164,17 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     marks = stored(signatures(docs), "signatures")
     sets = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.first("sim").alias("sim"), F.first("bands").alias("bands")), "sets")
     keys = stored(sets.select("fp", F.posexplode("bands").alias("at", "key")), "band-keys")
-    banded = keys.join(centres(keys).hint("merge"), "key").where("fp <> centre").select(F.greatest("fp", "centre").alias("a"), F.least("fp", "centre").alias("b"))
+    middle = stored(centres(keys), "centres")
+    banded = keys.join(middle.hint("merge"), "key").where("fp <> centre").select(F.greatest("fp", "centre").alias("a"), F.least("fp", "centre").alias("b"))
     stars = stored(banded.union(ball_candidates(sets)).distinct(), "stars")
     ends = stars.select(c("a").alias("fp")).union(stars.select("b"))
     labels = stored(smallest_reachable(sets, verified(sets_of(docs, sets, ends, "star-sets"), stars)), "star-labels")
     labelled = keys.join(labels.hint("merge"), "fp")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    apart = stored(labelled.join(mixed.hint("merge"), "key", "left_semi").join(sets.select("fp", "bands"), "fp"), "apart")
+    apart = stored(labelled.join(mixed.hint("merge"), "key", "left_semi").join(middle, "key").join(sets.select("fp", "bands"), "fp"), "apart")
     live = apart.select("fp", "label").distinct()
     found = sets_of(docs, sets, live, "apart-sets")
-    for _ in range(2):  # what the first round takes out may leave others alone
+    for _ in range(3):  # what one round takes out may leave others alone
         live = stored(contested(found, live), "live")
     links = verified(found, possible_pairs(apart, live))
     of = lambda end: labels.select(c("fp").alias(end), c("label").alias(f"label_{end}"))
