@@ -4,6 +4,7 @@ import itertools
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 
 from trajframe.llm import near_copies
 
@@ -68,3 +69,30 @@ def test_recall_of_changed_words_and_chains(spark):
     kept = {r.doc_id for r in near_copies.drop_near_copies(docs).collect()}
     assert kept == roots(sets, links)
     assert near_copies.drop_near_copies(docs.where("false")).count() == 0
+
+
+def test_large_group_on_both_sides_of_the_threshold(spark):
+    """Copies of one text with changes of their own: exact groups, and few pairs are left to compare."""
+    g = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(200)]
+    texts = [base]
+    for n in range(240):
+        other = list(base)
+        for k in g.choice(200, g.integers(1, 12), replace=False):
+            other[k] = f"y{n}z{k}"
+        texts.append(other[: 200 - int(g.integers(0, 30))])
+    sets = {d: sets_of(" ".join(x)) for d, x in enumerate(texts)}
+    pairs = list(itertools.combinations(sets, 2))
+    want = {(a, b) for a, b in pairs if alike(sets[a], sets[b])}
+    docs = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.drop_near_copies(docs).collect()} == roots(sets, want)
+    # The pair search by itself: each text its own group.
+    marks = near_copies.stored(near_copies.signatures(docs), "marks")
+    live = marks.select("fp", F.col("fp").alias("label"))
+    found = near_copies.sets_of(docs, marks.select("fp", F.col("doc_id").alias("first_doc")), live, "found")
+    rows = near_copies.possible_pairs(near_copies.contested(found, live))
+    of = {r.fp: r.doc_id for r in marks.collect()}
+    tried = {tuple(sorted((of[r.a], of[r.b]))) for r in rows.collect()}
+    assert want <= tried
+    assert {tuple(sorted((of[r.a], of[r.b]))) for r in near_copies.verified(found, rows).collect()} == want
+    print("pairs:", len(pairs), "alike:", len(want), "compared:", len(tried))

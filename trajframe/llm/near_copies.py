@@ -8,16 +8,16 @@ candidates too. A pair just at 0.8 misses all bands with a probability of 7 in 1
 closer one more rarely. Every candidate is then verified on whole shingle sets, natively.
 
 As in :mod:`simhash`, texts are first linked with one centre of each band's bucket, the one whose buckets are largest.
-Of pairs in a bucket that are still in different groups, those are compared one by one whose sizes and shingles that
-occur in several groups leave a similarity of 0.8 possible. These bounds are exact, so no link between groups is lost,
-and they leave few pairs of a large group of near copies.
+Sets whose buckets still hold several groups are then met by prefix filtering: pairs that share one of the rarest
+shingles of each, as alike sets must, and whose sizes and remaining shingles leave a similarity of 0.8 possible, are
+compared one by one. These bounds are exact, so no link between such sets is lost, and they leave few pairs of a large
+group of near copies.
 
 Nulls: null text counts as empty, and empty texts are copies of each other. Texts of up to five words are one shingle.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,34 +119,34 @@ def centres(keys: DataFrame) -> DataFrame:
 
 
 def contested(found: DataFrame, live: DataFrame) -> DataFrame:
-    """(fp, label, n, m) of the ``live`` (fp, label) sets that may still be alike with one of another label.
+    """(fp, label, n, m, prefix) of the ``live`` (fp, label) sets that may still be alike with one of another label.
 
     n is a set's size and m how many of its shingles sets of other labels have too, which bounds what it can share with
-    any of them: those with m below 0.8 n are alike with none.
+    any of them: those with m below 0.8 n are alike with none. ``prefix`` are the m - 0.8 n + 1 of these shingles that
+    the fewest live sets have: a set alike with this one cannot miss them all.
     """
-    each = stored(found.join(live.select("fp", "label"), "fp").select("fp", "label", F.explode("found").alias("x")), "shingles-apart")
-    both = each.groupBy("x").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("x")
-    m = each.join(both.hint("merge"), "x").groupBy("fp").agg(F.count(F.lit(1)).cast("int").alias("m"))
-    n = live.select("fp", "label").join(found.select("fp", F.size("found").alias("n")), "fp")
-    return n.join(m, "fp").where(DEN * c("m") >= NUM * c("n")).select("fp", "label", "n", "m")
+    each = stored(found.join(live.select("fp", "label"), "fp").select("fp", "label", F.size("found").alias("n"), F.explode("found").alias("x")), "shingles-apart")
+    both = each.groupBy("x").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("df")).where("low < high").select("x", "df")
+    of = each.join(both.hint("merge"), "x").groupBy("fp", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("x"))
+    of = of.withColumn("m", F.size("x")).where(DEN * c("m") >= NUM * c("n"))
+    return of.select("fp", "label", "n", "m", F.slice("x.x", F.lit(1), c("m") - F.ceil(NUM * c("n") / DEN).cast("int") + 1).alias("prefix"))
 
 
-def possible_pairs(apart: DataFrame, live: DataFrame) -> DataFrame:
-    """(a, b): pairs of ``live`` sets of different labels that share a bucket of ``apart`` and may be alike, each once.
+def possible_pairs(live: DataFrame) -> DataFrame:
+    """(a, b): the pairs of ``live`` sets (fp, label, n, m, prefix) of different labels that may be alike, each once.
 
-    A pair shares at most the lesser m, so its sizes cannot be far from each other; buckets are split by size.
+    Alike sets share at least 4/9 of their sizes' sum, so the rarest shingle they share is within the prefix of the
+    larger and within the first m - 8/9 n + 1 of the smaller, and no more can follow it than both have left. Copies of
+    one text with changes of their own therefore meet only if they have changes in common; all that meet are kept.
     """
-    step = math.log(1.05)
-    bin_of = lambda x, slack: F.floor((F.log(x) + slack) / step).cast("int")
-    rows = stored(apart.select("key", "at", "fp", "bands", "centre").join(live, "fp"), "apart-live")
-    least, most = bin_of(c("n") * NUM / DEN, -1e-9), bin_of(F.least(c("n") * DEN / NUM, c("m") * (NUM + DEN) / NUM - c("n")), 1e-9)
-    one = rows.withColumn("size", F.explode(F.when(most >= least, F.sequence(least, most))))
-    other = rows.select("key", bin_of(c("n"), 0).alias("size"), *[c(x).alias(f"{x}2") for x in ("fp", "label", "n", "m", "bands")])
-    shared = F.least("m", "m2")
-    met = c("centre").isin(c("fp"), c("fp2"))  # has been compared
-    may = ~met & (c("fp") > c("fp2")) & (c("label") != c("label2")) & (DEN * shared >= NUM * (c("n") + c("n2") - shared))
-    first = ~F.arrays_overlap(F.slice("bands", F.lit(1), c("at")), F.slice("bands2", F.lit(1), c("at")))
-    return one.join(other.hint("merge"), ["key", "size"]).where(may & first).select(c("fp").alias("a"), c("fp2").alias("b"))
+    rows = live.select("fp", "label", "n", "m", F.posexplode("prefix").alias("i", "x"))
+    small = rows.where((NUM + DEN) * (c("m") - c("i")) >= 2 * NUM * c("n"))
+    large = rows.select("x", *[c(x).alias(f"{x}2") for x in ("fp", "label", "n", "m", "i")])
+    smaller = (c("n") < c("n2")) | ((c("n") == c("n2")) & (c("fp") < c("fp2")))
+    left = F.least(c("m") - c("i"), c("m2") - c("i2"))
+    may = smaller & (c("label") != c("label2")) & ((NUM + DEN) * left >= NUM * (c("n") + c("n2")))
+    met = small.join(large.hint("merge"), "x").where(may)
+    return met.select(F.greatest("fp", "fp2").alias("a"), F.least("fp", "fp2").alias("b")).distinct()
 
 
 def ball_candidates(sets: DataFrame) -> DataFrame:
@@ -171,12 +171,9 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     labels = stored(smallest_reachable(sets, verified(sets_of(docs, sets, ends, "star-sets"), stars)), "star-labels")
     labelled = keys.join(labels.hint("merge"), "fp")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    apart = stored(labelled.join(mixed.hint("merge"), "key", "left_semi").join(middle, "key").join(sets.select("fp", "bands"), "fp"), "apart")
-    live = apart.select("fp", "label").distinct()
+    live = stored(labelled.join(mixed.hint("merge"), "key", "left_semi").select("fp", "label").distinct(), "apart")
     found = sets_of(docs, sets, live, "apart-sets")
-    for _ in range(3):  # what one round takes out may leave others alone
-        live = stored(contested(found, live), "live")
-    links = verified(found, possible_pairs(apart, live))
+    links = verified(found, stored(possible_pairs(stored(contested(found, live), "live")), "possible-pairs"))
     of = lambda end: labels.select(c("fp").alias(end), c("label").alias(f"label_{end}"))
     links = links.join(of("a"), "a").join(of("b"), "b").select(c("label_a").alias("a"), c("label_b").alias("b")).distinct()
     merged = smallest_reachable(labels.select(c("label").alias("fp")).distinct(), links)
