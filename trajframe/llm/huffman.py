@@ -19,7 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ from trajframe.llm.common import PieceMemo, between_spaces, by_size, numbered, s
 MOST_BITS = 16
 BLOCK_IDS = 262_144
 CHECKPOINT = 256
+#: Characters encoded in one call: the library's own results take hundreds of bytes a token while it lasts.
+LIBRARY_CHARS = 200_000
 BLOCK_COLUMNS = ["pid", "base", "n_ids", "doc_ids", "lens", "offsets", "payload", "crc32"]
 
 #: Characters with Unicode's White_Space property (fixed values).
@@ -82,9 +84,13 @@ class ByteBpe:
         self.chunks = PieceMemo(self._apart, pa.list_(kind), 4_000_000)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in found], np.int64)
-        return np.fromiter(chain.from_iterable(found), self.kind.to_pandas_dtype(), int(size.sum())), np.append(0, np.cumsum(size))
+        ids, size = [np.empty(0, self.kind.to_pandas_dtype())], [np.empty(0, np.int64)]
+        parts = np.flatnonzero(np.diff(np.cumsum([len(x) for x in texts]) // LIBRARY_CHARS)) + 1
+        for k, to in pairwise([0, *parts, len(texts)]):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts[k:to], add_special_tokens=False)]
+            size.append(np.array([len(x) for x in found], np.int64))
+            ids.append(np.fromiter(chain.from_iterable(found), ids[0].dtype, int(size[-1].sum())))
+        return np.concatenate(ids), np.append(0, np.cumsum(np.concatenate(size)))
 
     def _lists(self, ids: np.ndarray, begin: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, self.kind))
