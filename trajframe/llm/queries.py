@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajframe.llm import chat, decontaminate, huffman, lm, media, mixing, pii, simhash, token_counts, toxicity
+from trajframe.llm import chat, decontaminate, filter_audit, huffman, line_dedup, lm, media, mixing, pii, simhash, sql, token_counts, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +59,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_chat_formatting, op3_lm_scoring, op4_token_counts, op5_media_columns, op6_decontamination, op7_pii, op8_token_files, op9_mixing, op10_simhash)
+    own = (op1_toxicity, op2_chat_formatting, op3_lm_scoring, op4_token_counts, op5_media_columns, op6_decontamination, op7_pii, op8_token_files, op9_mixing, op10_simhash, op11_line_dedup, op12_vector_codes, op13_filter_audit)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express; the others are held against brute force in the tests."""
+    return {"op11_line_dedup": sql.LINE_DEDUP, "op12_vector_codes": sql.vector_codes(), "op13_filter_audit": sql.FILTER_AUDIT}
