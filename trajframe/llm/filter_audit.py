@@ -78,10 +78,11 @@ def digests(docs: DataFrame) -> DataFrame:
 def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, mask, n, good, toxic): documents by part and by the set of filters they fail, E included."""
     rows = stored(digests(docs), "filter-digests")
-    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")).select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first")
+    copied = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = stored(copied.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first"), "first-copies")
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    # Copies of one text meet its first document by a join, which Spark splits where a text has very many.
-    rows = rows.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).select("doc_id", "part", F.when(F.col("doc_id") > F.col("first"), F.col("mask") + 16).otherwise(F.col("mask")).alias("mask"))
+    # Copies of one text meet its first document by a join of two shuffled tables, which Spark splits where a text has very many.
+    rows = rows.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left").select("doc_id", "part", F.when(F.col("doc_id") > F.col("first"), F.col("mask") + 16).otherwise(F.col("mask")).alias("mask"))
     rows = rows.join(marks, F.col("doc_id") == F.col("labelled"), "left")
     return rows.groupBy("part", "mask").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"))
 
