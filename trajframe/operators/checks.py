@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajframe.functions.angles import finite
+from trajframe.operators.selection import medians
+
 c = F.col
 
 
@@ -28,9 +31,22 @@ def gaps(rows: DataFrame, key: list[str], frame: str = "frame") -> DataFrame:
 
 
 def described(rows: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:
-    """Count, mean, median, min and max of each metric over its non-null values."""
-    long = rows.unpivot(by or [], metrics, "metric", "value").where("value is not null")
-    return long.groupBy(*(by or []), "metric").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"))
+    """Count, mean, exact median, min and max of each metric over its finite values, a row a metric even without any.
+
+    The median comes from :func:`trajframe.operators.selection.medians`: no task holds a metric's values.
+    """
+    by = by or []
+    number = {m: finite(c(m).cast("double")).alias(m) for m in metrics}
+    long = rows.select(*by, *number.values()).unpivot(by, metrics, "metric", "value")
+    out = long.groupBy(*by, "metric").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"))
+    if not by:  # also over an empty table
+        out = rows.sparkSession.createDataFrame([(m,) for m in metrics], "of string").join(F.broadcast(out), c("of") == c("metric"), "left").select(c("of").alias("metric"), F.coalesce("n", F.lit(0)).alias("n"), "mean", "least", "most")
+    keys = [*by, "metric"]
+    mid = medians(long, keys, "value").select(*[c(k).alias(f"of_{k}") for k in keys], F.round("median", 6).alias("median"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & c(k).eqNullSafe(c(f"of_{k}"))
+    return out.join(mid, same, "left").select(*keys, "n", "mean", "median", "least", "most")
 
 
 def normaliser(rows: DataFrame, features: list[str]) -> DataFrame:

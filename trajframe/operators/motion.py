@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,16 +89,64 @@ def bracketed(probes: DataFrame, keyframes: DataFrame, key: str, columns: list[s
     return met.select(key, "frame", *[value(x).alias(x) for x in columns])
 
 
-def smoothed(rows: DataFrame, key: str, value: str, keep: float = 0.85) -> DataFrame:
-    """(key, frame, smooth): exponential smoothing along each run, whose recursion no window function has."""
-
-    new = round(1 - keep, 12)
-
-    def run(pdf):
-        pdf = pdf.sort_values("frame")
-        return pdf.assign(smooth=list(accumulate(pdf[value], lambda s, x: s * keep + x * new)))[[key, "frame", "smooth"]]
+def bracket_velocity(probes: DataFrame, keyframes: DataFrame, key: str, columns: list[str], least: float = 1e-6) -> DataFrame:
+    """(key, frame, v_{column}): a keyed motion's velocity at each probe (key, frame), the slope of the keyframes around it.
 
-    return rows.select(key, "frame", c(value).cast("double").alias(value)).groupBy(key).applyInPandas(run, f"{key} long, frame long, smooth double")
+    Keyframes are (key, frame, t_s, columns). At a keyframe the slope before it holds, at and before the first one the
+    first slope, beyond the last one the last. Where the two times coincide the slope is by frame instead of by second.
+    A single keyframe has no velocity. One union and one sorted window a key.
+    """
+    w = Window.partitionBy(key).orderBy("frame", "t_s")
+    own = F.struct("frame", "t_s", *columns)
+    k = keyframes.select(key, c("frame").cast("double").alias("frame"), "t_s", *columns).withColumns({"here": own, "before": F.lag(own).over(w), "after": F.lead(own).over(w)})
+    first = c("before").isNull()
+    k = k.select(key, "frame", F.lit(0).alias("probe"), F.struct(F.when(first, c("here")).otherwise(c("before")).alias("a"), F.when(first, c("after")).otherwise(c("here")).alias("b")).alias("s"))
+    both = k.unionByName(probes.select(key, c("frame").cast("double").alias("frame"), F.lit(1).alias("probe"), F.lit(None).cast(k.schema["s"].dataType).alias("s")))
+    # A probe meets the first keyframe at or after it, which is sorted behind it where the frames are equal.
+    order = Window.partitionBy(key).orderBy("frame", F.desc("probe"))
+    met = both.withColumn("s", F.coalesce(F.first("s", True).over(order.rowsBetween(0, Window.unboundedFollowing)), F.last("s", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))).where("probe = 1 and s is not null")
+    dt, df = c("s.b.t_s") - c("s.a.t_s"), F.greatest(c("s.b.frame") - c("s.a.frame"), F.lit(least))
+    span = F.when(F.abs(dt) < least, df).otherwise(dt)
+    return met.select(key, "frame", *[F.when(c("s.b").isNull(), 0.0).otherwise((c(f"s.b.{x}") - c(f"s.a.{x}")) / span).alias(f"v_{x}") for x in columns])
+
+
+#: Frames in a block of :func:`smoothed`.
+SMOOTHING_BLOCK = 128
+
+
+def smoothed(rows: DataFrame, key: str, value: str, keep: float = 0.85, relax: float = 0.97, default: float | None = None, start: float | None = None, block: int = SMOOTHING_BLOCK) -> DataFrame:
+    """(key, frame, smooth): exponential smoothing along each run, s <- keep s + (1 - keep) x.
+
+    A frame without a value relaxes towards ``default``, s <- relax s + (1 - relax) default, or leaves s as it is if
+    there is none. s begins at ``start``, else at the run's first frame's value, else at ``default``, else at 0.
+
+    Each frame is an affine map of s, and so is a block of frames: blocks are composed apart, the maps of a run's blocks
+    (a row for ``block`` frames) are chained by windows that double their reach, and each block then starts from the s
+    that comes out of those before it. No run meets in one group; a window sees a run's blocks only. Frames that repeat
+    are taken in order of their values; rows without a frame are left out.
+    """
+    x, lost = c("x"), (F.lit(default) if default is not None else F.lit(None)).cast("double")
+    map_a = F.when(x.isNotNull(), F.lit(keep)).when(lost.isNotNull(), F.lit(relax)).otherwise(1.0)
+    map_b = F.when(x.isNotNull(), x * round(1 - keep, 12)).when(lost.isNotNull(), lost * round(1 - relax, 12)).otherwise(0.0)
+    each = rows.where("frame is not null").select(key, c("frame").cast("long").alias("frame"), c(value).cast("double").alias("x"))
+    each = each.select(key, F.floor(c("frame") / block).cast("long").alias("block"), F.struct("frame", "x", map_a.alias("a"), map_b.alias("b")).alias("m"))
+    blocks = each.groupBy(key, "block").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    whole = F.aggregate("ms", F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), lambda s, m: F.struct((m["a"] * s["a"]).alias("a"), (m["a"] * s["b"] + m["b"]).alias("b")))
+    blocks = blocks.withColumn("w", whole)
+    run = Window.partitionBy(key).orderBy("block")
+    spans = each.agg(F.max("block") - F.min("block")).first()[0] or 0  # one number: how many doublings reach over all blocks
+    first = F.first(F.get("ms", 0)["x"]).over(run.rowsBetween(Window.unboundedPreceding, 0))
+    chain = blocks.select(key, "block", "ms", F.coalesce(F.lit(start).cast("double"), first, lost, F.lit(0.0)).alias("s0"), F.lag("w").over(run).alias("w"))
+    reach = 1
+    while reach <= spans:
+        before = F.lag("w", reach).over(run)
+        joined = F.struct((c("w.a") * before["a"]).alias("a"), (c("w.a") * before["b"] + c("w.b")).alias("b"))
+        chain = chain.withColumn("w", F.when(before.isNotNull(), joined).otherwise(c("w")))
+        reach *= 2
+    carried = chain.withColumn("s0", F.coalesce(c("w.a") * c("s0") + c("w.b"), c("s0")))
+    steps = F.aggregate("ms", F.array().cast("array<double>"), lambda done, m: F.concat(done, F.array(m["a"] * F.coalesce(F.try_element_at(done, F.lit(-1)), c("s0")) + m["b"])))
+    out = carried.select(key, F.explode(F.arrays_zip(F.transform("ms", lambda m: m["frame"]).alias("frame"), steps.alias("smooth"))).alias("o"))
+    return out.select(key, c("o.frame").alias("frame"), c("o.smooth").alias("smooth"))
 
 
 def turning_ego(rows: DataFrame, key: list[str], turn_start_s: float, turn_s: float, fps: float = 30.0) -> DataFrame:

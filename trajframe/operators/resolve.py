@@ -88,12 +88,20 @@ def densified(rows: DataFrame, key: list[str], at: str, value: str, pieces: int
     return p.select(*key, F.coalesce(c(at) + u * h, c(at)).alias(at), F.coalesce(curve, c(value)).alias(value))
 
 
-def route_target(route: DataFrame, asks: DataFrame, key: str) -> DataFrame:
-    """(key, nearest, target): an ask's (key, ex, ey, ahead) nearest waypoint (the first on a tie) and the first at least ``ahead`` further on, null if none."""
+def route_target(route: DataFrame, asks: DataFrame, key: str, ask: list[str]) -> DataFrame:
+    """(key, ask, nearest, target): for each ask (key, ask, ex, ey, ahead) its nearest waypoint (the first on a tie) and the first at least ``ahead`` further on, null if none.
+
+    ``ask`` names an ask among those of its route; rows that repeat it are one ask if they are equal. Nearest waypoints
+    are a minimum that is taken as waypoints and asks meet; the one further on is met in one sorted pass a route.
+    """
     w = Window.partitionBy(key).orderBy("frame")
     step = F.hypot(c("x") - F.lag("x").over(w), c("y") - F.lag("y").over(w))
     arcs = route.withColumn("arc", F.sum(F.coalesce(step, F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = arcs.join(asks, key).withColumn("off", F.hypot(c("x") - c("ex"), c("y") - c("ey")))
-    near = rows.groupBy(key).agg(F.min(F.struct("off", "frame", "arc")).alias("n"))
-    met = rows.join(near, key).groupBy(key).agg(F.first("n.frame").alias("nearest"), F.min(F.when(c("arc") >= c("n.arc") + c("ahead"), c("frame"))).alias("target"))
-    return met
+    rows = arcs.select(key, "frame", "arc", "x", "y").join(asks.select(key, *ask, "ex", "ey", "ahead").distinct(), key)
+    near = rows.groupBy(key, *ask, "ahead").agg(F.min(F.struct(F.hypot(c("x") - c("ex"), c("y") - c("ey")).alias("off"), "frame", "arc")).alias("near"))
+    none = {n: F.lit(None).cast(near.schema[n].dataType) for n in ask}
+    probe = near.select(key, *ask, c("near.frame").alias("nearest"), (c("near.arc") + c("ahead")).alias("arc"), F.lit(None).cast(arcs.schema["frame"].dataType).alias("frame"), F.lit(0).alias("way"))
+    ways = arcs.select(key, *[v.alias(n) for n, v in none.items()], F.lit(None).cast(arcs.schema["frame"].dataType).alias("nearest"), "arc", "frame", F.lit(1).alias("way"))
+    # Of equal distances the probe comes first, and the earliest waypoint after it.
+    order = Window.partitionBy(key).orderBy("arc", "way", "frame").rowsBetween(0, Window.unboundedFollowing)
+    return probe.unionByName(ways).withColumn("target", F.first("frame", True).over(order)).where("way = 0").select(key, *ask, "nearest", "target")

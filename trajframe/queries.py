@@ -11,6 +11,7 @@ from trajframe.functions import angles, boxes, geometry, rules
 from trajframe.operators import checks, compare, frames, lookup, maneuvers, motion, sweep
 from trajframe.operators.frames import c, table
 from trajframe.plans import datasets, exports, metadata
+from trajframe.sources.folders import shared_folder
 from trajframe.streaming import jobs
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -540,18 +541,9 @@ def t11_frame_metadata(spark, sf):
 # Streams, run over what is there
 
 
-def _folder() -> str:
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="trajframe-stream-")
-
-
 def _shared(spark: SparkSession) -> str:
     """A new folder that all executors see."""
-    import uuid
-
-    at = spark.conf.get("spark.checkpoint.dir", "") or ""
-    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}" if at else "file://" + _folder()
+    return shared_folder(spark, "stream")
 
 
 @query("select time_bucket(interval '1 hour', ts) as hour, event_type, count(*) as n, round(avg(abs(value)), 6) as mae from events group by all")
@@ -566,12 +558,12 @@ def st1_track_lifecycle(spark, sf):
     return out.groupBy("run").agg(*[F.max_by(k, "frames").alias(k) for k in ("active", "started")], F.max("frames").alias("frames"), F.round(F.max_by("closest", "frames"), 6).alias("closest"))
 
 
-@query("select user_id, event_id, ts as real_ts, value as real_value, case when event_id % 7 <> 0 then ts + interval 5 minute end as synth_ts, case when event_id % 7 <> 0 then value + 1 end as synth_value from events where event_id % 7 <> 0")
+@query("select user_id, event_id, ts as real_ts, value as real_value, case when event_id % 7 <> 0 then ts + interval 5 minute end as synth_ts, case when event_id % 7 <> 0 then value + 1 end as synth_value from events")
 def st3_stream_match(spark, sf):
     a = jobs.read_events(spark, sf)
     b = jobs.read_events(spark, sf).where("event_id % 7 <> 0").withColumns({"ts": F.expr("ts + interval 5 minutes"), "value": c("value") + 1})
-    out = jobs.drained(spark, jobs.matched(a, b), "st3", _shared(spark))
-    return out.where("synth_ts is not null").withColumns({k: c(k).cast("timestamp_ntz") for k in ("real_ts", "synth_ts")})
+    out = jobs.matched_to_end(spark, a, b, "st3", _shared(spark))
+    return out.withColumns({k: c(k).cast("timestamp_ntz") for k in ("real_ts", "synth_ts")})
 
 
 @query("""with f as (select user_id as run, value, row_number() over (partition by user_id order by ts, event_id) - 1 as frame from events), p as (select *, max(value) filter (where frame = 50) over (partition by run) + 30 as place from f)
@@ -583,12 +575,12 @@ def st5_stopped_track(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from trajframe import runtime_queries
+    from trajframe import runtime_queries, scenario_queries
 
-    return _Q | runtime_queries.queries()
+    return _Q | runtime_queries.queries() | scenario_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from trajframe import runtime_queries
+    from trajframe import runtime_queries, scenario_queries
 
-    return _SQL | runtime_queries.oracle_sql()
+    return _SQL | runtime_queries.oracle_sql() | scenario_queries.oracle_sql()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from trajframe.functions import angles, runtime
 from trajframe.operators import compare, frames, lookup, reports, resolve
 from trajframe.operators.frames import c, table
 from trajframe.sources import io
+from trajframe.sources.folders import shared_folder
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -202,12 +202,13 @@ def j4_actor_and_ego(spark, sf):
     return rows.groupBy("scenario").agg(F.sum("met").cast("long").alias("joined"), F.count_if(c("met") == 0).alias("missing"), F.round(F.sum("d"), 6).alias("ahead"))
 
 
-@query(f"""with {POSES}, r as (select *, sum(coalesce(sqrt(power(x - lx, 2) + power(y - ly, 2)), 0)) over (partition by run order by frame) as arc from (select *, lag(x) over (partition by run order by frame) as lx, lag(y) over (partition by run order by frame) as ly from poses)), n as (select run, arg_min(frame, (sqrt(power(x - run % 7, 2) + y * y), frame)) as nearest from r group by run), a as (select n.run, n.nearest, r.arc as at from n join r on r.run = n.run and r.frame = n.nearest)
-select a.run, a.nearest, min(r.frame) filter (where r.arc >= a.at + 5 + a.run % 40) as target from a join r on r.run = a.run group by all""")
+@query(f"""with {POSES}, r as (select *, sum(coalesce(sqrt(power(x - lx, 2) + power(y - ly, 2)), 0)) over (partition by run order by frame) as arc from (select *, lag(x) over (partition by run order by frame) as lx, lag(y) over (partition by run order by frame) as ly from poses)), n as (select run, ask, arg_min(frame, (sqrt(power(x - run % 7 - 3 * ask, 2) + y * y), frame)) as nearest from r, range(2) k(ask) group by run, ask), a as (select n.run, n.ask, n.nearest, r.arc as place from n join r on r.run = n.run and r.frame = n.nearest)
+select a.run, a.ask, a.nearest, min(r.frame) filter (where r.arc >= a.place + 5 + a.run % 40) as target from a join r on r.run = a.run group by all""")
 def j15_route_target(spark, sf):
     p = frames.poses(spark, sf)
-    asks = p.select("run").distinct().select("run", (c("run") % 7 * 1.0).alias("ex"), F.lit(0.0).alias("ey"), (c("run") % 40 + 5.0).alias("ahead"))
-    return resolve.route_target(p.select("run", "frame", "x", "y"), asks, "run")
+    asks = p.select("run").distinct().withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    asks = asks.select("run", "ask", (c("run") % 7 + 3.0 * c("ask")).alias("ex"), F.lit(0.0).alias("ey"), (c("run") % 40 + 5.0).alias("ahead"))
+    return resolve.route_target(p.select("run", "frame", "x", "y"), asks, "run", ["ask"])
 
 
 @query(f"""with {POSES}, a as (select run, frame, x, lead(x) over w - x as d1, x - lag(x) over w as d0 from poses window w as (partition by run order by frame)), b as (select *, lead(d1) over w as d2, lag(d0) over w as db from a window w as (partition by run order by frame)), e as (select *, (3 * d1 - d2) / 2 as s1, (3 * d0 - db) / 2 as s0 from b),
@@ -260,7 +261,7 @@ def a6_sweep_summary(spark, sf):
     return _reported(spark, sf).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(s).alias("supported"), F.count_if(~s).alias("outside"), F.count_if(s.isNull()).alias("errors"))
 
 
-@query("select c_custkey from customer where c_acctbal > 0 and c_custkey % 6 <> 0 and c_custkey % 5 <> 0")
+@query("select c_custkey from customer where c_acctbal > 0 and c_custkey % 6 <> 0 and c_custkey % 2 = 0 and c_custkey % 5 <> 0")
 def f9_gated(spark, sf):
     k = table(spark, sf, "customer")
     status = k.select("c_custkey", F.when(c("c_acctbal") > 0, "SUPPORTED").otherwise("OUTSIDE").alias("status"), F.when(c("c_custkey") % 6 == 0, "FAIL").otherwise("PASS").alias("verdict"), F.when(c("c_custkey") % 2 == 0, 2.0).alias("planned_depth"), F.when(c("c_custkey") % 5 == 0, 2.5).alias("runtime_depth"))
@@ -341,17 +342,20 @@ def w13_sample_ids(spark, sf):
 
 
 def _file(spark: SparkSession, name: str) -> str:
-    from trajframe.queries import _shared
+    return shared_folder(spark, name)
 
-    return f"{_shared(spark)}-{name}-{uuid.uuid4().hex}"
 
-
-@query("select s_suppkey as case_index, 'sweep_case_' || lpad((s_suppkey % 10000)::varchar, 4, '0') as case_id, 'cut_in' as scenario_type, s_acctbal as start_m from supplier")
+@query("select s_suppkey as case_index, 'sweep_case_' || lpad((s_suppkey % 10000)::varchar, 4, '0') as case_id, 'cut_in' as scenario_type, s_acctbal as start_m, f.form from supplier, (values ('document'), ('line'), ('list')) f(form)")
 def s7_case_manifest(spark, sf):
-    made = table(spark, sf, "supplier").select(c("s_suppkey").alias("case_index"), F.format_string("sweep_case_%04d", c("s_suppkey") % 10000).alias("case_id"), F.lit("cut_in").alias("scenario_type"), F.struct(c("s_acctbal").alias("start_m")).alias("parameters"))
-    path = _file(spark, "cases")
-    io.write_json(made, path)
-    return io.read_cases(spark, path).select("case_index", "case_id", "scenario_type", c("parameters.start_m").alias("start_m"))
+    made = table(spark, sf, "supplier").select(c("s_suppkey").alias("case_index"), F.format_string("sweep_case_%04d", c("s_suppkey") % 10000).alias("case_id"), F.lit("cut_in").alias("scenario_type"), F.struct(c("s_acctbal").alias("start_distance_m")).alias("parameters"))
+    paths = {form: _file(spark, form) for form in ("line", "list", "document")}
+    io.write_json(made, paths["line"])
+    # A manifest a hundred cases; one indented, as they are written by hand.
+    whole = made.groupBy(F.floor(c("case_index") / 100).alias("g")).agg(F.collect_list(F.struct(*made.columns)).alias("cases"))
+    for form, doc in (("list", c("cases")), ("document", F.struct("cases"))):  # a document is a file of its own
+        whole.select("g", F.to_json(doc, {"pretty": "true"}).alias("value")).write.partitionBy("g").text(paths[form])
+    read = [io.read_cases(spark, p, form == "line").select("case_index", "case_id", "scenario_type", c("parameters.start_distance_m").alias("start_m"), F.lit(form).alias("form")) for form, p in paths.items()]
+    return read[0].unionByName(read[1]).unionByName(read[2])
 
 
 @query(f"with {REAL} select case_id, actor_id, frame, {r9(cx='case when w > 30 then cx end', w='w')} from real_")

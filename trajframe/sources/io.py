@@ -21,9 +21,28 @@ LABEL = f"sample_id long, requested_camera_relative_state {RELATIVE}, requested_
 NULL_WORDS = ("", "none", "null", "nan", "n/a", "na")
 
 
-def read_pose_log(spark: SparkSession, path: str) -> DataFrame:
-    """One row a line; blank lines are skipped. Lines have no order here, so repeats are for :func:`repeated_frames`."""
-    return spark.read.schema(POSE).json(path).where("recorded_frame_idx is not null")
+def read_pose_log(spark: SparkSession, path: str, key: list[str] | None = None) -> DataFrame:
+    """One row a frame of each file (``path`` names it): of a frame that repeats, the last line holds.
+
+    A line's place is its file, where its part of the file begins, and its order in that part; parts are read from
+    front to back, so that the place orders a file's lines however it is cut. Blank lines and lines without a frame are
+    skipped. A file with nothing else is an error. ``key`` names partition columns of the folder to keep.
+    """
+    lines = spark.read.text(path).select(*(key or []), c("_metadata.file_path").alias("path"), c("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("nth"), "value")
+    rows = lines.where(F.trim("value") != "").select(*(key or []), "path", F.struct("part", "nth").alias("place"), F.from_json("value", POSE).alias("row")).where("row.recorded_frame_idx is not null")
+    empty = empty_logs(spark, path, rows.select("path").distinct()).limit(5).collect()
+    if empty:
+        raise ValueError("pose logs without frames: " + ", ".join(r.path for r in empty))
+    last = rows.groupBy(*(key or []), "path", c("row.recorded_frame_idx").alias("of")).agg(F.max_by("row", "place").alias("row"))
+    return last.select(*(key or []), "path", "row.*")
+
+
+def empty_logs(spark: SparkSession, path: str, with_rows: DataFrame) -> DataFrame:
+    """(path): files under ``path`` that ``with_rows`` does not name. The names are those of the read's own file index,
+    which holds files without a byte too; scans pass these over."""
+    files = spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "path string")
+    same = lambda p: F.regexp_replace(p, "^[a-z]+:/+", "/")  # noqa: E731  file:/a and file:///a are one
+    return files.join(with_rows.select(same(c("path")).alias("found")), same(c("path")) == c("found"), "left_anti")
 
 
 def repeated_frames(log: DataFrame, key: str = "recorded_frame_idx") -> DataFrame:
@@ -110,10 +129,21 @@ def read_grid_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/metadata")
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Cases of a manifest: one a line, or in a list under ``cases``."""
-    found = spark.read.json(path)
-    return found.select(F.explode("cases").alias("x")).select("x.*") if "cases" in found.columns else found
+#: A case of a manifest: its parameters by name, and which of them are swept.
+CASE = "benchmark_id string, case_index long, case_id string, scenario_type string, parameters struct<side:string,start_distance_m:double,lane_y_m:double,target_lane_y_m:double,lane_width_m:double,actor_speed_mps:double,ego_speed_mps:double,duration_s:double,fps:int,cut_start_s:double,cut_duration_s:double>, swept_values map<string,string>"
+
+
+def read_cases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Cases of manifests, one row each: documents that are a list of cases or have it under ``cases``, or a case a line.
+
+    The schema is given, never inferred. A document that cannot be parsed, or has no case, gives no row.
+    """
+    names = spark.createDataFrame([], CASE).columns
+    if lines:
+        return spark.read.schema(CASE).json(path).where("case_id is not null")
+    listed = f"array<struct<{spark.createDataFrame([], CASE).schema.simpleString()[7:-1]}>>"
+    found = spark.read.schema(f"cases {listed}, {CASE}").option("multiLine", True).json(path)
+    return found.select(F.explode(F.coalesce("cases", F.array(F.struct(*names)))).alias("x")).select("x.*").where("case_id is not null")
 
 
 def write_box_labels(rows: DataFrame, path: str) -> None:
