@@ -106,7 +106,7 @@ def test_toxicity_scores_equal_brute_force(spark):
     model = toxicity.OrdinalModel(weights, np.array([1.0, 2.5, 4.0]))
     out = by_id(toxicity.severity(frame(spark, texts).repartition(3), model))
     for k, t in enumerate(texts):
-        s = sum(weights.get(f, 0.0) for w in set((t or "").lower().split()) for f in toxicity.features(w))
+        s = sum(weights.get(f, 0.0) for f in {f for w in (t or "").lower().split() for f in toxicity.features(w)})
         above = 1 / (1 + np.exp(np.clip(model.thresholds - s, -60, 60)))
         each = -np.diff([1, *above, 0])
         assert out[k].expected_severity == pytest.approx(above.sum(), abs=2e-6) and out[k].p_toxic == pytest.approx(above[0], abs=2e-6)
@@ -131,6 +131,22 @@ def test_memo_is_bounded_and_right():
         assert memo.keys.nbytes + memo.values.nbytes <= 20_000
 
 
+@pytest.mark.parametrize("text", ["badword", "BADWORD!", "hello,badword", "x/badword", "xxbadword", "xxbadwordyy", "a\u0301-badword_9", "今天天气很好毒物今天", "毒物"])
+def test_toxic_terms_are_seen_wherever_they_stand(spark, text):
+    model = toxicity.OrdinalModel({f: 5.0 for term in ("badword", "毒物") for f in toxicity.features(term)}, np.array([1.0, 2.0, 3.0]))
+    out = by_id(toxicity.severity(frame(spark, [f"so {text} there", "so nothing there, 今天天气很好"]), model))
+    assert out[0].rejected and not out[1].rejected
+
+
+@pytest.mark.parametrize("word", ["a" + "!" * 10**6 + "b", "ab" * 10**6, "9" * 10**6, "a1" * 10**6])
+def test_words_of_any_length_are_linear(word):
+    import time
+
+    began = time.time()
+    assert len(toxicity.features(word)) < 20
+    assert time.time() - began < 8
+
+
 @pytest.mark.parametrize("marks", ["!" * 100, "!" * 5000])
 def test_toxicity_counts_long_words(spark, marks):
     model = toxicity.OrdinalModel({f: 5.0 for f in toxicity.features("idiot")}, np.array([1.0, 2.0, 3.0]))

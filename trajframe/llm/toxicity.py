@@ -1,6 +1,8 @@
 """Severity of toxicity by cumulative-link ordinal regression on sparse text features.
 
-Features of a text are its distinct words and their beginnings. Severity has four ordered grades: 0 for texts labelled
+Features of a text are the distinct runs of letters in it, their beginnings, and the groups of letters within them: five
+next to each other, or two in scripts that are written without spaces, so that a term is seen wherever it stands, also
+joined to others by marks or by nothing. Marks, digits and white space separate runs. Severity has four ordered grades: 0 for texts labelled
 clean; texts labelled toxic are graded 1 to 3 by thirds of how many features they have that set toxic texts apart.
 One weight vector is shared by the three thresholds: P(grade > k) = sigmoid(w.x - t_k). Weights
 are not negative, so that no amount of harmless text outweighs what is toxic. It is fitted with an L1 penalty on a
@@ -34,16 +36,22 @@ REJECT_AT = 0.5
 #: Features enter the model if they favour toxic texts and chance explains them with a probability under exp(-SCREEN) over all features together.
 SCREEN = 1.0
 GRADES = 4
-_EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_RUN = re.compile(r"[^\W\d_]+")
+#: Letters of scripts without spaces between words: South-East Asian ones, kana, ideographs, and fullwidth forms of these.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]")
 
 
 def features(word: str) -> list[int]:
-    """Hashes of a word without marks around it, and of its first four and five letters."""
+    """Distinct hashes of a lower-case word's runs of letters, of their first four and five letters, and of the groups of letters in them. Linear in the word."""
     import xxhash
 
-    word = _EDGES.sub("", word)
-    names = [f"w{word}"] * bool(word) + [f"b{word[:n]}" for n in (4, 5) if len(word) > n]
-    return [xxhash.xxh64_intdigest(x) >> 1 for x in names]
+    names = []
+    for m in _RUN.finditer(word):
+        run = m[0]
+        names += [f"w{run}"] + [f"b{run[:n]}" for n in (4, 5) if len(run) > n]
+        size = 2 if _UNSPACED.search(run) else 5
+        names += [f"n{run[k : k + size]}" for k in range(len(run) - size + 1)]
+    return [xxhash.xxh64_intdigest(x) >> 1 for x in dict.fromkeys(names)]
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -94,7 +102,7 @@ def telling_features(sample: DataFrame, most: int = MOST_FEATURES) -> list[int]:
     n, bad = sample.agg(F.count(F.lit(1)), F.sum((F.col("toxic") > 0).cast("long"))).first()
     if not bad or bad == n:
         return []
-    each = sample.select((F.col("toxic") > 0).cast("long").alias("bad"), F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("k")).where("n >= 3")
+    each = sample.select((F.col("toxic") > 0).cast("long").alias("bad"), F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("k"))
     each = stored(each, "feature-counts")
     tried, share = each.count(), F.lit(bad / n)
     # How unlikely a feature's share of toxic texts is by chance: -log of Chernoff's bound, against all features tried.
@@ -151,23 +159,28 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) -> Ord
 
 
 def _scorer(model: OrdinalModel) -> Callable[[pa.Array], np.ndarray]:
-    """w.x of each text: the weights of its distinct words together, through a task's memo of words."""
+    """w.x of each text: the weights of its distinct features, found through a task's memo of the words that have any."""
     of = model.weights
 
-    def weights(words: pa.Array) -> pa.Array:
-        return pa.array([sum(of.get(f, 0.0) for f in features(w)) for w in words.to_pylist()], pa.float64())
+    def telling(words: pa.Array) -> pa.Array:
+        return pa.array([[f for f in features(w) if f in of] for w in words.to_pylist()], pa.list_(pa.int64()))
 
-    memo = PieceMemo(weights, pa.float64())
+    memo = PieceMemo(telling, pa.list_(pa.int64()))
 
     def scores(texts: pa.Array) -> np.ndarray:
         out = []
         for _, part in by_size(pc.fill_null(texts, "")):
             words, number, begin = words_of(part)
-            weight = memo.lookup(words).to_numpy()
+            found = memo.lookup(words)
+            size = pc.list_value_length(found).to_numpy(zero_copy_only=False)
             text = np.repeat(np.arange(len(part)), np.diff(begin))
-            met = weight[number] > 0
-            once = np.unique(text[met] * len(words) + number[met]) if met.any() else np.zeros(0, np.int64)
-            out.append(np.bincount(once // max(len(words), 1), weight[once % max(len(words), 1)], len(part)))
+            met = size[number] > 0
+            pairs = np.unique(np.stack([text[met], number[met]], axis=1), axis=0)  # the few words of each text that tell
+            flat = found.take(pa.array(pairs[:, 1])).flatten().to_numpy()
+            names, feature = np.unique(flat, return_inverse=True)
+            both = np.unique(np.stack([np.repeat(pairs[:, 0], size[pairs[:, 1]]), feature], axis=1), axis=0)
+            weight = np.array([of[int(f)] for f in names], np.float64)
+            out.append(np.bincount(both[:, 0], weight[both[:, 1]], len(part)))
         return np.concatenate(out) if out else np.zeros(0)
 
     return scores
