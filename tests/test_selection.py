@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajframe.operators import checks, lookup, motion, reports, resolve, selection
-from trajframe.plans import features
+from trajframe.plans import datasets, features, metadata
 from trajframe.sources import folders, io
 
 
@@ -196,3 +196,31 @@ def test_local_folders_are_refused_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         folders.shared_folder(Session(), "x")
+
+
+def test_single_actor_logs(spark, tmp_path):
+    (tmp_path / "real.jsonl").write_text('{"recorded_frame_idx": 1, "bbox": {"visible": true, "cx": 5, "depth_m": 9}}\n\n{"recorded_frame_idx": 2}\n{"recorded_frame_idx": 1, "bbox": {"visible": true, "cx": 6}}\n')
+    got = {r.frame: (r.visible, r.cx, r.depth) for r in io.read_real_v1(spark, f"file://{tmp_path}/real.jsonl").collect()}
+    assert got == {1: (True, 6.0, None), 2: (False, None, None)}
+    (tmp_path / "synth.json").write_text('{"frames": [\n {"frame_idx": 1, "adversaries": []},\n {"frame_idx": 2, "adversaries": [{"rendered": true, "box": {"visible": true, "z_m": 4}}, {"rendered": false}]},\n {"frame_idx": 3}, {"frame_idx": 1, "adversaries": [{"box": {"visible": true}}]}]}')
+    got = {r.frame: (r.visible, r.rendered, r.depth) for r in io.read_synth_v1(spark, f"file://{tmp_path}/synth.json").collect()}
+    assert got == {1: (True, False, None), 2: (True, True, 4.0), 3: (False, False, None)}
+
+
+def test_design_points_hold_their_ends(spark):
+    one = spark.range(2).withColumn("stop", F.when(F.col("id") == 0, 0.3).otherwise(-1.0))
+    out = datasets.design_points(one, {"x": (F.lit(0.0), F.col("stop"), F.lit(0.1)), "yaw": (F.lit(-180.0), F.lit(180.0), F.lit(180.0))}).collect()
+    assert [(r.id, r.x, r.yaw) for r in out] == [(0, x, y) for x in (0.0, 0.1, 0.2, 0.3) for y in (-180.0, 0.0, 180.0)]
+
+
+def test_crop_samples_say_why_not(spark):
+    rows = [("a", 1, 10, 10, 60, 60, True, True, True), ("a", None, 10, 10, 60, 60, True, True, True), ("a", 3, None, None, None, None, False, True, True), ("a", 4, 60, 10, 10, 60, True, True, True), ("a", 5, 10, 10, 60, 60, True, False, True), ("b", 0, 0, 0, 1279, 719, True, True, True)]
+    df = spark.createDataFrame(rows, "run string, frame int, x1 int, y1 int, x2 int, y2 int, has_metadata boolean, has_rough boolean, has_target boolean")
+    got = {(r.run, r.frame): (r.reason, r.sample_id, r.preview) for r in datasets.crop_samples(df, "run").collect()}
+    assert got == {("a", 1): (None, 0, True), ("a", None): ("bad_name", None, None), ("a", 3): ("no_metadata", None, None), ("a", 4): ("invalid_box", None, None), ("a", 5): ("missing_image", None, None), ("b", 0): (None, 1, False)}
+
+
+def test_previews_keep_the_last_frame(spark):
+    df = spark.createDataFrame([(1, f, 0.0, 10.0, 0.0) for f in range(3, 70)] + [(2, 9, 1.0, 1.0, 0.0)], "run long, frame long, x double, z double, yaw double")
+    got = sorted((r.run, r.frame, r.sprite) for r in metadata.preview(df, ["run"], 30).collect())
+    assert got == [(1, 3, 0), (1, 33, 0), (1, 63, 0), (1, 69, 0), (2, 9, 45)]

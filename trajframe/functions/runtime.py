@@ -114,3 +114,18 @@ def rect(cx: Column, bottom: Column, w: Column, h: Column, probability: Column,
     for a, b in zip(raw, held, strict=True):
         changed = changed | (a != b)
     return out | {"visible": seen, "clamped": seen & changed}
+
+
+def displacement_ahead(x: Column, y: Column, x0: Column, y0: Column, yaw0: Column) -> Column:
+    """How far a pose is ahead of a start along the start's heading."""
+    a = F.radians(yaw0)
+    return (x - x0) * F.cos(a) + (y - y0) * F.sin(a)
+
+
+def distance(a: list[Column], b: list[Column]) -> Column:
+    """Between points of two or three coordinates."""
+    return F.sqrt(sum(((p - q) * (p - q) for p, q in zip(a, b, strict=True)), F.lit(0.0)))
+
+
+def speed_norm(vx: Column, vy: Column, vz: Column) -> Column:
+    return F.sqrt(vx * vx + vy * vy + vz * vz)

@@ -10,7 +10,7 @@ from trajframe.sources.folders import kept
 c = F.col
 #: Bins of a histogram, and the most values of a group that are put in order.
 BINS = 1024
-FEW = 4096
+FEW = 100_000
 
 
 def _same(keys: list[str]) -> Column:

@@ -70,3 +70,40 @@ def sampled_scenarios(ids: DataFrame, key: str, ranges: dict[str, tuple[float, f
     drawn = {n: F.lit(float(lo)) + part(n) * float(hi - lo) for n, (lo, hi) in ranges.items()}
     picked = {n: F.get(F.array(*map(F.lit, of)), F.floor(part(n) * len(of)).cast("int")) for n, of in choices.items()}
     return ids.withColumns(drawn | picked)
+
+
+def design_points(rows: DataFrame, axes: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """``rows`` with every point of the product of their axes (start, stop, step), ends included, to six places.
+
+    A row's points are numbered and each number is taken apart into the axes' places, so that no product is joined.
+    """
+    sizes = {k: F.greatest(F.floor((stop - start + 1e-6) / step) + 1, F.lit(0)).cast("long") for k, (start, stop, step) in axes.items()}
+    out = rows.withColumns({f"size_{k}": n for k, n in sizes.items()})
+    total = F.lit(1).cast("long")
+    for k in axes:
+        total = total * c(f"size_{k}")
+    out = out.withColumn("point", F.explode(F.when(total > 0, F.sequence(F.lit(0).cast("long"), total - 1)).otherwise(F.array().cast("array<long>"))))
+    place, points = c("point"), {}
+    for k, (start, _, step) in reversed(axes.items()):  # the last axis runs fastest
+        points[k] = F.round(start + F.pmod(place, c(f"size_{k}")) * step, 6)
+        place = F.floor(place / c(f"size_{k}"))
+    return out.withColumns({k: points[k] for k in axes}).drop("point", *[f"size_{k}" for k in axes])
+
+
+def crop_samples(frames: DataFrame, run: str, preview_every: int = 25, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
+    """What becomes of each frame of a run as a training crop: the reason it is skipped (null if saved), its crop and sample number.
+
+    ``frames`` has the run, frame (null where a file's name holds none), x1, y1, x2, y2 (null without metadata), and
+    has_metadata, has_rough, has_target. Samples are numbered in order of run and frame over all runs; every
+    ``preview_every``-th has a preview.
+    """
+    from trajframe.operators.reports import sample_ids
+
+    box = {k: c(k).cast("double") for k in ("x1", "y1", "x2", "y2")}
+    crop = boxes.square_crop(box, width, height)
+    whole = F.coalesce((c("x2") > c("x1")) & (c("y2") > c("y1")), F.lit(False))
+    some = F.coalesce((crop["x2"] > crop["x1"]) & (crop["y2"] > crop["y1"]), F.lit(False))
+    reason = F.when(c("frame").isNull(), "bad_name").when(~c("has_metadata"), "no_metadata").when(~whole, "invalid_box").when(~(c("has_rough") & c("has_target")), "missing_image").when(~some, "no_crop")
+    rows = frames.withColumn("reason", reason).withColumns({f"crop_{k}": F.when(c("reason").isNull(), v) for k, v in crop.items()})
+    saved = sample_ids(rows.where("reason is null"), run).drop("gallery").withColumn("preview", c("sample_id") % preview_every == 0)
+    return saved.unionByName(rows.where("reason is not null"), allowMissingColumns=True)

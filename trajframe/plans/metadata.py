@@ -25,3 +25,16 @@ def frame_metadata(rows: DataFrame, scene: list[str], actor: list[str], width_m:
     place = F.row_number().over(Window.partitionBy(*scene, "rendered").orderBy(F.desc("z"), *actor)) - 1
     shown = lambda v: F.when(c("rendered"), v)
     return out.withColumns({"sprite": shown((step * sprite_step).cast("int")), "order_index": shown(place.cast("long"))} | {k: shown(c(k)) for k in ("cx", "bottom", "w", "h")})
+
+
+def preview(rows: DataFrame, scene: list[str], every: int = 30, sprite_step: float = 15.0) -> DataFrame:
+    """Every ``every``-th frame of a scene from its first on, and its last, with the angle it is seen from and its sprite.
+
+    ``rows`` hold the scene, frame, and camera-relative x, z, yaw of actors.
+    """
+    ends = rows.groupBy(*scene).agg(F.min("frame").alias("opens"), F.max("frame").alias("ends"))
+    kept = rows.join(ends, scene).where(((c("frame") - c("opens")) % every == 0) | (c("frame") == c("ends"))).drop("opens", "ends")
+    turns = int(round(360 / sprite_step))
+    seen = viewpoint(c("x"), c("z"), c("yaw"))
+    step = F.ceil(F.round(seen, 6) / sprite_step - 0.5).cast("int") % turns
+    return kept.withColumns({"seen": seen, "sprite": (step * sprite_step).cast("int")})

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajframe.operators import checks, frames, lookup, motion, reports, scenarios
+from trajframe.functions import runtime
+from trajframe.operators import frames, lookup, motion, reports, scenarios
 from trajframe.operators.frames import c, table
-from trajframe.plans import features
+from trajframe.plans import datasets, features, metadata
 from trajframe.queries import POSES, REAL, SYNTH, wrap
 from trajframe.sources import io
 from trajframe.sources import scenarios as documents
@@ -143,6 +144,65 @@ def s1_pose_log(spark, sf):
     return log.select(c("run").cast("long").alias("run"), c("recorded_frame_idx").alias("frame"), c("ego_speed_mps").alias("speed"))
 
 
+@query(f"""with {SYNTH}, r as (select case_id, frame, arg_max(visible, actor_id) as visible, arg_max(cx, actor_id) as cx, arg_max(depth, actor_id) as depth from real_ group by all), s as (select case_id, frame, count(*) as n, arg_min(visible, actor_id) as visible, arg_min(cx, actor_id) as cx from synth group by all)
+select case_id, frame, 'real' as side, visible, null::boolean as rendered, {r6(cx='case when frame % 9 <> 0 then cx end', depth='depth')} from r union all select case_id, frame, 'synthetic', case when frame % 7 = 0 then false else visible end, case when frame % 7 = 0 then false else frame % 3 <> 0 end, round(case when frame % 7 <> 0 then cx end, 6), null from s""")
+def s4_single_actor_logs(spark, sf):
+    box = lambda *own: F.struct(*own)
+    real = frames.real(spark, sf).select("case_id", "actor_id", "frame", F.to_json(F.struct(c("frame").alias("recorded_frame_idx"), box("visible", F.when(c("frame") % 9 != 0, c("cx")).alias("cx"), c("depth").alias("depth_m")).alias("bbox"))).alias("value"))
+    path, doc = shared_folder(spark, "real-v1"), shared_folder(spark, "synth-v1")
+    # A frame's actors write one line each; the last line is the last actor's.
+    real.repartition("case_id").sortWithinPartitions("case_id", "actor_id", "frame").select("case_id", "value").write.partitionBy("case_id").text(path)
+    each = frames.synthetic(spark, sf).groupBy("case_id", "frame").agg(F.sort_array(F.collect_list(F.struct(c("actor_id").alias("id"), "visible", "cx"))).alias("a"))
+    adversaries = F.when(c("frame") % 7 == 0, F.array().cast("array<struct<id:string,rendered:boolean,box:struct<visible:boolean,cx:double>>>")).otherwise(F.transform("a", lambda a: F.struct(a["id"].alias("id"), (c("frame") % 3 != 0).alias("rendered"), F.struct(a["visible"].alias("visible"), a["cx"].alias("cx")).alias("box"))))
+    docs = each.select("case_id", F.struct(c("frame").alias("frame_idx"), adversaries.alias("adversaries")).alias("f")).groupBy("case_id").agg(F.collect_list("f").alias("frames"))
+    docs.select("case_id", F.to_json(F.struct("frames"), {"pretty": "true"}).alias("value")).write.partitionBy("case_id").text(doc)
+    a = io.read_real_v1(spark, path, ["case_id"]).select("case_id", "frame", F.lit("real").alias("side"), "visible", F.lit(None).cast("boolean").alias("rendered"), *six(cx=c("cx"), depth=c("depth")))
+    b = io.read_synth_v1(spark, doc, ["case_id"]).select("case_id", "frame", F.lit("synthetic").alias("side"), "visible", "rendered", *six(cx=c("cx"), depth=c("depth")))
+    return a.unionByName(b).withColumn("case_id", c("case_id").cast("long"))
+
+
+# Displacements, designs, crops, previews
+
+
+@query(f"with {POSES}, s as (select run, x as x0, y as y0, yaw as yaw0 from poses where frame = 0) select run, frame, {r6(ahead='(x - x0) * cos(radians(yaw0)) + (y - y0) * sin(radians(yaw0)) + 1e-11', flat='sqrt(power(x - x0, 2) + power(y - y0, 2))', full_='sqrt(power(x - x0, 2) + power(y - y0, 2) + power(speed / 10, 2))', norm='sqrt(x * x + y * y + speed * speed)')} from poses join s using (run)")
+def p36_displacements(spark, sf):
+    p = frames.poses(spark, sf)
+    start = p.where("frame = 0").select("run", c("x").alias("x0"), c("y").alias("y0"), c("yaw").alias("yaw0"))
+    r = p.join(start, "run")
+    flat = runtime.distance([c("x"), c("y")], [c("x0"), c("y0")])
+    full = runtime.distance([c("x"), c("y"), c("speed") / 10], [c("x0"), c("y0"), F.lit(0.0)])
+    return r.select("run", "frame", *six(ahead=runtime.displacement_ahead(c("x"), c("y"), c("x0"), c("y0"), c("yaw0")) + 1e-11, flat=flat, full_=full, norm=runtime.speed_norm(c("x"), c("y"), c("speed"))))
+
+
+@query("with s as (select s_suppkey as k, 0.5e0 + s_suppkey % 3 * 0.25e0 as sx from supplier) select k, round(-1 + i.range * sx, 6) as x, round(5 + j.range * 2.5e0, 6) as z, round(n.range * 30e0, 6) as yaw from s, range(9) i, range(20) j, range(4) n where -1 + i.range * sx <= 1 + 1e-6 and 5 + j.range * 2.5e0 <= 5 + k % 20 + 1e-6")
+def d2_design_points(spark, sf):
+    k = c("s_suppkey")
+    axes = {"x": (F.lit(-1.0), F.lit(1.0), k % 3 * 0.25 + 0.5), "z": (F.lit(5.0), k % 20 + 5.0, F.lit(2.5)), "yaw": (F.lit(0.0), F.lit(90.0), F.lit(30.0))}
+    return datasets.design_points(table(spark, sf, "supplier").select("s_suppkey"), axes).select(k.alias("k"), "x", "z", "yaw")
+
+
+@query(f"""with {REAL}, f as (select case_id, actor_id, k, case when k % 31 <> 0 then frame end as frame, k % 13 <> 0 as meta, case when k % 13 <> 0 then trunc(cx - w / 2)::int end as x1, case when k % 13 <> 0 then trunc(bottom - h)::int end as y1, case when k % 13 <> 0 then case when k % 17 = 0 then trunc(cx - w / 2)::int else trunc(cx + w / 2)::int end end as x2, case when k % 13 <> 0 then trunc(bottom)::int end as y2 from real_),
+g as (select *, case when frame is null then 'bad_name' when not meta then 'no_metadata' when not (x2 > x1 and y2 > y1) then 'invalid_box' when k % 11 = 0 or k % 19 = 0 then 'missing_image' end as reason, greatest(greatest(x2 - x1, y2 - y1) * 1.5e0, 64) as side from f),
+h as (select *, least(greatest((x1 + x2) / 2e0 - side / 2, 0), greatest(1280 - side, 0)) as left_, least(greatest((y1 + y2) / 2e0 - side / 2, 0), greatest(720 - side, 0)) as top_ from g), n as (select k, row_number() over (order by case_id, frame, k) - 1 as sample_id from g where reason is null)
+select h.k, reason, case when reason is null then round_even(left_, 0)::int end as crop_x1, case when reason is null then round_even(least(top_ + side, 720), 0)::int end as crop_y2, sample_id, sample_id % 25 = 0 as preview from h left join n on h.k = n.k""")
+def d6_crop_samples(spark, sf):
+    k, meta = c("k"), c("k") % 13 != 0
+    whole = lambda v: F.when(meta, v.cast("int"))
+    # Frames of a case's actors are told apart by a number that keeps their order.
+    f = frames.real(spark, sf).select("case_id", "k", F.when(k % 31 != 0, F.struct("frame", "k")).alias("frame"), meta.alias("has_metadata"), (k % 11 != 0).alias("has_rough"), (k % 19 != 0).alias("has_target"), whole(c("cx") - c("w") / 2).alias("x1"), whole(c("bottom") - c("h")).alias("y1"), F.when(k % 17 == 0, whole(c("cx") - c("w") / 2)).otherwise(whole(c("cx") + c("w") / 2)).alias("x2"), whole(c("bottom")).alias("y2"))
+    return datasets.crop_samples(f, "case_id").select("k", "reason", "crop_x1", "crop_y2", "sample_id", "preview")
+
+
+@query(f"""with {POSES}, s as (select run, x as x0, speed / 8 + 6 as z0, yaw as yaw0 from poses where frame = 0), e as (select run, max(frame) as ends from poses group by 1), m as (select p.run, p.frame, x0 + 0.4e0 * (p.frame / 30e0) as x, z0 - 1.5e0 * (p.frame / 30e0) as z, yaw0 as yaw from poses p join s using (run) join e using (run) where p.frame % 20 = 0 or p.frame = ends)
+select run, frame, {r6(x='x', z='z')}, sprite from (select *, (ceil(round({'((degrees(atan2(x, z)) - yaw) % 360 + 360) % 360'}, 6) / 15e0 - 0.5e0)::int % 24) * 15 as sprite from m)""")
+def d11_preview(spark, sf):
+    p = frames.poses(spark, sf)
+    start = p.where("frame = 0").select("run", c("x").alias("x0"), (c("speed") / 8 + 6).alias("z0"), c("yaw").alias("yaw0"))
+    t = c("frame") / 30.0
+    rows = p.select("run", "frame").join(start, "run").select("run", "frame", (c("x0") + 0.4 * t).alias("x"), (c("z0") - 1.5 * t).alias("z"), c("yaw0").alias("yaw"))
+    return metadata.preview(rows, ["run"], 20).select("run", "frame", *six(x=c("x"), z=c("z")), "sprite")
+
+
 # Scenario documents
 
 

@@ -21,20 +21,49 @@ LABEL = f"sample_id long, requested_camera_relative_state {RELATIVE}, requested_
 NULL_WORDS = ("", "none", "null", "nan", "n/a", "na")
 
 
-def read_pose_log(spark: SparkSession, path: str, key: list[str] | None = None) -> DataFrame:
-    """One row a frame of each file (``path`` names it): of a frame that repeats, the last line holds.
+def last_of_lines(spark: SparkSession, path: str, schema: str, of: str, key: list[str] | None = None) -> DataFrame:
+    """(key, path, row): of the JSON lines of each file that repeat the field ``of`` the last one holds.
 
     A line's place is its file, where its part of the file begins, and its order in that part; parts are read from
-    front to back, so that the place orders a file's lines however it is cut. Blank lines and lines without a frame are
-    skipped. A file with nothing else is an error. ``key`` names partition columns of the folder to keep.
+    front to back, so that the place orders a file's lines however it is cut. Blank lines and lines without the field
+    are skipped. A file with nothing else is an error. ``key`` names partition columns of the folder to keep.
     """
     lines = spark.read.text(path).select(*(key or []), c("_metadata.file_path").alias("path"), c("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("nth"), "value")
-    rows = lines.where(F.trim("value") != "").select(*(key or []), "path", F.struct("part", "nth").alias("place"), F.from_json("value", POSE).alias("row")).where("row.recorded_frame_idx is not null")
+    rows = lines.where(F.trim("value") != "").select(*(key or []), "path", F.struct("part", "nth").alias("place"), F.from_json("value", schema).alias("row")).where(c(f"row.{of}").isNotNull())
     empty = empty_logs(spark, path, rows.select("path").distinct()).limit(5).collect()
     if empty:
-        raise ValueError("pose logs without frames: " + ", ".join(r.path for r in empty))
-    last = rows.groupBy(*(key or []), "path", c("row.recorded_frame_idx").alias("of")).agg(F.max_by("row", "place").alias("row"))
-    return last.select(*(key or []), "path", "row.*")
+        raise ValueError("logs without frames: " + ", ".join(r.path for r in empty))
+    return rows.groupBy(*(key or []), "path", c(f"row.{of}").alias("of")).agg(F.max_by("row", "place").alias("row")).drop("of")
+
+
+def read_pose_log(spark: SparkSession, path: str, key: list[str] | None = None) -> DataFrame:
+    """One row a frame of each file, as :func:`last_of_lines` settles repeats."""
+    return last_of_lines(spark, path, POSE, "recorded_frame_idx", key).select(*(key or []), "path", "row.*")
+
+
+#: A line of a version 1 log: one actor, whose box lies beside the frame's number.
+REAL_V1 = f"recorded_frame_idx long, bbox {BOX}"
+
+
+def read_real_v1(spark: SparkSession, path: str, key: list[str] | None = None) -> DataFrame:
+    """(key, frame, visible, cx, bottom, w, h, depth) of single-actor logs; a number that is missing is null."""
+    rows = last_of_lines(spark, path, REAL_V1, "recorded_frame_idx", key)
+    box = c("row.bbox")
+    return rows.select(*(key or []), c("row.recorded_frame_idx").alias("frame"), F.coalesce(box["visible"], F.lit(False)).alias("visible"), *[finite(box[n]).alias(k) for k, n in (("cx", "cx"), ("bottom", "bottom_y"), ("w", "box_width"), ("h", "box_height"), ("depth", "depth_m"))])
+
+
+def read_synth_v1(spark: SparkSession, path: str, key: list[str] | None = None) -> DataFrame:
+    """(key, frame, visible, rendered, cx, bottom, w, h, depth) of a metadata document's first actor a frame; a frame without one is not visible.
+
+    Of frames that repeat in a document the last one holds.
+    """
+    docs = spark.read.schema(SYNTH).option("multiLine", True).json(path)
+    rows = docs.select(*(key or []), c("_metadata.file_path").alias("path"), F.posexplode("frames").alias("nth", "f")).where("f.frame_idx is not null")
+    last = rows.groupBy(*(key or []), "path", c("f.frame_idx").alias("frame")).agg(F.max_by("f", "nth").alias("f"))
+    first = F.get("f.adversaries", F.lit(0))
+    box = first["box"]
+    flag = lambda v: F.coalesce(v, F.lit(False))
+    return last.select(*(key or []), "frame", flag(box["visible"]).alias("visible"), flag(first["rendered"]).alias("rendered"), *[finite(box[n]).alias(k) for k, n in (("cx", "cx"), ("bottom", "bottom_y"), ("w", "box_width"), ("h", "box_height"), ("depth", "z_m"))])
 
 
 def empty_logs(spark: SparkSession, path: str, with_rows: DataFrame) -> DataFrame:
