@@ -88,3 +88,19 @@ def test_modes_near_the_grid_and_boxes_at_the_edge(spark):
 @pytest.mark.parametrize(("value", "tag"), [(12.5, "12p5"), (-3.0, "m3"), (0.0, "0"), (100.0, "100"), (7.25, "7p25")])
 def test_number_tags(spark, value, tag):
     assert spark.range(1).select(runtime.number_tag(F.lit(value))).first()[0] == tag
+
+
+def test_comparison_grid_cells(spark):
+    """Frames of both sides x all actors of the case; repeats are one cell, null keys none, cases of one side none."""
+    schema = "case_id long, actor_id string, frame long, visible boolean, cx double, bottom double, w double, h double, depth double"
+    row = lambda c, a, f, cx=1.0, seen=True: (c, a, f, seen, cx, 1.0, 1.0, 1.0, 9.0)
+    real = spark.createDataFrame([row(1, "a", 0), row(1, "a", 0, 2.0), row(1, "b", 1), row(1, "a", 2), row(2, "a", 0), (1, None, 0, True, 1.0, 1.0, 1.0, 1.0, 9.0)], schema)
+    synth = spark.createDataFrame([row(1, "a", 0, 5.0), row(1, "c", 0), row(1, "b", 1, 4.0, None), row(3, "a", 0)], schema)
+    got = {(r.case_id, r.actor_id, r.frame): (r.real_present, r.synth_present, r.real_cx, r.synth_cx, r.synth_visible) for r in compare.comparison_grid(real, synth).collect()}
+    assert got == {
+        (1, "a", 0): (True, True, 2.0, 5.0, True), (1, "b", 0): (False, False, None, None, False), (1, "c", 0): (False, True, None, 1.0, True),
+        (1, "a", 1): (False, False, None, None, False), (1, "b", 1): (True, True, 1.0, 4.0, False), (1, "c", 1): (False, False, None, None, False),
+    }
+    plan = compare.comparison_grid(real, synth)._jdf.queryExecution().executedPlan().toString()
+    # One shuffle of the rows, one of the actors by case, and one more only where the actors are too many to broadcast.
+    assert plan.count("Exchange hashpartitioning") <= 3 and plan.count("REPARTITION_BY_COL") == 1

@@ -13,16 +13,27 @@ PARTS = ("cx", "bottom", "w", "h")
 
 
 def comparison_grid(real: DataFrame, synth: DataFrame) -> DataFrame:
-    """Common frames of a case x all its actors, each side joined: one row a cell with presence, visibility and boxes.
+    """Common frames of a case x all its actors: one row a cell with each side's presence, visibility and boxes.
 
-    Frames and actors are taken per case from keys alone, so no side is joined to itself in full.
+    Both sides are one table that is shuffled once, by case and frame: there, a frame's cells are put together, and the
+    case's actors that it lacks are added from an array of the case's actors, which is counted from keys alone. Rows
+    that repeat a key on one side are one cell, that of the greatest row. Rows with a null in their key are left out.
     """
-    frames = real.select("case_id", "frame").distinct().intersect(synth.select("case_id", "frame").distinct())
-    actors = real.select("case_id", "actor_id").union(synth.select("case_id", "actor_id")).distinct()
-    side = lambda df, s: df.select(*KEY, F.lit(True).alias(f"{s}_present"), *[F.col(x).alias(f"{s}_{x}") for x in ("visible", *PARTS, "depth")])
-    grid = frames.join(actors, "case_id").join(side(real, "real"), KEY, "left").join(side(synth, "synth"), KEY, "left")
-    flags = [f"{s}_{f}" for s in ("real", "synth") for f in ("present", "visible")]
-    return grid.withColumns({f: F.coalesce(F.col(f), F.lit(False)) for f in flags})
+    parts = ("visible", *PARTS, "depth")
+    box = F.struct(*[F.col(x).alias(x) for x in parts])
+    none = F.lit(None).cast(real.select(box.alias("b")).schema["b"].dataType)
+    side = lambda df, r, s: df.select(*KEY, r.alias("real"), s.alias("synth"))
+    both = side(real, box, none).unionByName(side(synth, none, box)).where(" and ".join(f"{k} is not null" for k in KEY))
+    actors = both.groupBy(F.col("case_id").alias("of")).agg(F.collect_set("actor_id").alias("actors"))
+    # Both groupings below keep to this one shuffle, as (case_id, frame) is part of their keys.
+    cells = both.repartition("case_id", "frame").groupBy("case_id", "frame", "actor_id").agg(F.max("real").alias("real"), F.max("synth").alias("synth"))
+    frames = cells.groupBy("case_id", "frame").agg(F.collect_list(F.struct("actor_id", "real", "synth")).alias("cells"), F.max("real").alias("any_real"), F.max("synth").alias("any_synth"))
+    frames = frames.where("any_real is not null and any_synth is not null").select("case_id", "frame", "cells").join(actors, F.col("case_id") == F.col("of"))
+    absent = F.transform(F.array_except("actors", F.transform("cells", lambda x: x["actor_id"])), lambda a: F.struct(a.alias("actor_id"), none.alias("real"), none.alias("synth")))
+    rows = frames.select("case_id", "frame", F.explode(F.concat("cells", absent)).alias("x"))
+    flag = lambda v: F.coalesce(v, F.lit(False))
+    flat = [c for s in ("real", "synth") for c in (F.col(f"x.{s}").isNotNull().alias(f"{s}_present"), *[(flag(F.col(f"x.{s}.{p}")) if p == "visible" else F.col(f"x.{s}.{p}")).alias(f"{s}_{p}") for p in parts])]
+    return rows.select("case_id", F.col("x.actor_id").alias("actor_id"), "frame", *flat)
 
 
 def with_errors(grid: DataFrame, min_depth: float = 0.0) -> DataFrame:
@@ -66,11 +77,17 @@ def domain_split(grid: DataFrame, x: Column, z: Column) -> DataFrame:
 
 
 def by_threshold(real: DataFrame, synth: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
-    """Per case and depth threshold: frames counted and mean absolute errors, in one pass over one comparison."""
+    """Per case and depth threshold: frames counted and mean absolute errors, in one pass over one comparison.
+
+    Each threshold is a condition within one aggregation; only a case's result is spread over the thresholds.
+    """
     rows = with_errors(comparison_grid(real, synth))  # uncounted rows too, so that a case without any is still seen
-    spread = rows.withColumn("min_depth", F.explode(F.array(*map(F.lit, thresholds))))
-    deep = F.col("counted") & (finite(F.col("real_depth")) >= F.col("min_depth"))
-    return spread.groupBy("case_id", "min_depth").agg(F.count_if(deep).alias("n_frames"), *[F.avg(F.when(deep, F.abs(f"err_{p}"))).alias(f"mae_{p}") for p in PARTS])
+
+    def at(least: float) -> Column:
+        deep = F.col("counted") & (finite(F.col("real_depth")) >= least)
+        return F.struct(F.lit(float(least)).alias("min_depth"), F.count_if(deep).alias("n_frames"), *[F.avg(F.when(deep, F.abs(f"err_{p}"))).alias(f"mae_{p}") for p in PARTS])
+
+    return rows.groupBy("case_id").agg(F.array(*map(at, thresholds)).alias("t")).select("case_id", F.explode("t").alias("t")).select("case_id", "t.*")
 
 
 def strata(per_case: DataFrame) -> DataFrame:
