@@ -50,23 +50,19 @@ def cut_in_waypoints(cases: DataFrame, pieces: int = 20) -> DataFrame:
 def cut_in_frames(cases: DataFrame, duration_s: float = 8.0, fps: int = 30) -> DataFrame:
     """(case_id, frame, t_s, x, y, ego_x): actor and ego in the scenario frame at constant speeds along their paths.
 
-    A frame's distance falls into one of the path's segments; a segment is met by an equality on the case and its
-    number, worked out from the equal arcs, so that no range join is needed.
+    A case carries its path's twenty points as an array, and a frame finds its segment in it by number, worked out from
+    the equal arcs: cases meet their points once, and frames nothing.
     """
-    pts = cut_in_waypoints(cases).select(c("case_id").alias("p_case"), "i", c("x").alias("px"), c("y").alias("py"))
-    t = time_axis(cases, F.lit(duration_s), fps)
+    pts = cut_in_waypoints(cases).groupBy(c("case_id").alias("p_case")).agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("ways"))
+    t = time_axis(cases.join(pts, c("case_id") == c("p_case")), F.lit(duration_s), fps)
     since = (c("t_s") - c("cut_start_s")) / c("cut_s") * 20.0
-    t = t.withColumns({"since": since, "i0": F.floor(F.least(F.greatest(since, F.lit(0.0)), F.lit(20.0))).cast("int")})
-    w = Window.partitionBy("p_case").orderBy("i")
-    segs = pts.withColumns({"qx": F.lead("px").over(w), "qy": F.lead("py").over(w)})
-    start = t.join(segs, (c("case_id") == c("p_case")) & (c("i0") == c("i")), "left")
-    first = pts.where("i = 1").select(c("p_case").alias("f_case"), c("px").alias("fx"), c("py").alias("fy"))
-    end = pts.where("i = 20").select(c("p_case").alias("e_case"), c("px").alias("ex"), c("py").alias("ey"))
-    rows = start.join(first, c("case_id") == c("f_case")).join(end, c("case_id") == c("e_case"))
+    rows = t.withColumns({"since": since, "i0": F.floor(F.least(F.greatest(since, F.lit(0.0)), F.lit(20.0))).cast("int")})
+    at = lambda i, k: F.get("ways", i)[k]
+    i, first, end = c("i0"), F.lit(0), F.lit(19)
     x0, y0 = c("start_m") + c("speed") * c("cut_start_s"), c("lane_y")
-    u = c("since") - c("i0")
-    x = F.when(c("since") <= 0, c("start_m") + c("speed") * c("t_s")).when(c("i0") == 0, lerp(x0, c("fx"), u)).when(c("i0") >= 20, c("ex") + c("speed") * (c("t_s") - c("cut_start_s") - c("cut_s"))).otherwise(lerp(c("px"), c("qx"), u))
-    y = F.when(c("since") <= 0, y0).when(c("i0") == 0, lerp(y0, c("fy"), u)).when(c("i0") >= 20, c("ey")).otherwise(lerp(c("py"), c("qy"), u))
+    u = c("since") - i
+    x = F.when(c("since") <= 0, c("start_m") + c("speed") * c("t_s")).when(i == 0, lerp(x0, at(first, "x"), u)).when(i >= 20, at(end, "x") + c("speed") * (c("t_s") - c("cut_start_s") - c("cut_s"))).otherwise(lerp(at(i - 1, "x"), at(i, "x"), u))
+    y = F.when(c("since") <= 0, y0).when(i == 0, lerp(y0, at(first, "y"), u)).when(i >= 20, at(end, "y")).otherwise(lerp(at(i - 1, "y"), at(i, "y"), u))
     return rows.select("case_id", "frame", "t_s", x.alias("x"), y.alias("y"), (c("ego_speed") * c("t_s")).alias("ego_x"))
 
 
