@@ -295,7 +295,7 @@ def s8_resolved_documents(spark, sf):
     docs = documents.read_documents(spark, path, documents.RESOLVED, lines=True)
     counts = documents.resolved_frames(docs).groupBy("scenario_id").agg(F.count_if("is_ego").alias("ego_frames"), F.count_if(~c("is_ego")).alias("actor_frames"), F.round(F.sum(F.when(~c("is_ego"), c("x"))), 5).alias("sum_x"))
     told = documents.actor_info_of_frames(docs).groupBy("scenario_id").agg(F.count_if(c("role") == "traffic").alias("described"))
-    return counts.join(told, "scenario_id").join(docs.select("scenario_id", F.size("actors").alias("actors")), "scenario_id")
+    return counts.join(told, "scenario_id", "left").withColumn("described", F.coalesce("described", F.lit(0))).join(docs.select("scenario_id", F.size("actors").alias("actors")), "scenario_id")
 
 
 # Rules
