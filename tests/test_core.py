@@ -46,6 +46,12 @@ def test_yaw_ends(spark):
     assert [r[2] for r in got] == [180, 180, 0, 180, 359.5, 180]
 
 
+def test_a_last_bit_below_a_turn_is_the_turn(spark):
+    """A rounding outside must not give 180 or 360, which are no part of the range."""
+    df = spark.createDataFrame([(math.nextafter(180.0, 0.0), math.nextafter(360.0, 0.0))], "a double, b double")
+    assert tuple(df.select(angles.wrap180(df.a), angles.wrap360(df.b)).first()) == (-180.0, 0.0)
+
+
 def test_not_finite_and_empty_boxes(spark):
     df = spark.createDataFrame([(math.nan,), (math.inf,), (1.0,), (None,)], "a double")
     assert [r[0] for r in df.select(angles.finite(df.a)).collect()] == [None, None, 1.0, None]

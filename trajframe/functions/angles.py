@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 
 def wrap360(a: Column) -> Column:
-    """Into [0, 360)."""
-    return F.pmod(a, F.lit(360.0))
+    """Into [0, 360).
+
+    The full turn is added to every remainder, not to negative ones alone: what lacks the last bit of a full turn
+    becomes 0, where it would be rounded to 360 later.
+    """
+    return (a % 360.0 + 360.0) % 360.0
 
 
 def wrap180(a: Column) -> Column:
-    """Into [-180, 180)."""
-    return F.pmod(a + 180.0, F.lit(360.0)) - 180.0
+    """Into [-180, 180); what lacks the last bit of 180 becomes -180, as in :func:`wrap360`."""
+    return wrap360(a + 180.0) - 180.0
 
 
 def wrap180_closed(a: Column) -> Column:
