@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajframe.operators import scenarios
+from trajframe.sources import folders
 from trajframe.sources import scenarios as documents
 
 
@@ -142,3 +143,23 @@ def test_requests_have_a_scenario_or_an_error(spark):
     own, _ = scenarios.scenarios_of_requests(df, ["k"], by_type=True)
     own = {r.k: r for r in own.collect()}
     assert own[2].yaw0 == 270.0 and own[2].y0 == -7.0 and own[2].x0 == 25.0 and "side" in own[2].defaulted and own[3].speed == 8.0 and own[3].x0 == 55.0
+
+
+def test_frames_are_dealt_by_their_number(spark, folder, monkeypatch):
+    """A task holds a bounded number of frames, whatever the session's number of shuffle partitions; before, four held all."""
+    monkeypatch.setattr(folders, "TASK_ROWS", 5)
+    frames, outcome, _ = resolved(spark, folder(*[spec(scenario_id=f"s{n}") for n in range(12)]))
+    assert len(frames.inputFiles()) > 8
+    assert frames.count() == sum(n for n, _ in outcome.values()) == 12 * (11 + 11 + 11 + 5)
+
+
+def test_frames_meet_long_keyframes_and_paths(spark, folder):
+    """Each frame lies in one piece of its motion, at pieces shorter than a frame, at their ends and past the last."""
+    keys = [{"t_s": n / 7, "x_m": n, "y_m": -n, "yaw_deg": 0} for n in range(8)]
+    ways = [{"x_m": n / 3, "y_m": 0} for n in range(1, 10)]
+    late = {"spawn_time_s": 0.3}
+    moved = [{"actor_id": "k", "spawn": {"x_m": 0, "y_m": 0}, "motion": {"mode": "keyframes", "keyframes": keys}}, {"actor_id": "p", "spawn": {"x_m": 0, "y_m": 0}, "lifecycle": late, "motion": {"mode": "path", "target_speed_mps": 2, "interpolation": "linear", "waypoints": ways}}]
+    frames, _, _ = resolved(spark, folder(spec(actors=moved)))
+    got = {(r.actor_id, r.frame): r.x for r in frames.where("not is_ego").collect()}
+    want = {("k", f): min(7.0, 7 * f / 5) for f in range(11)} | {("p", f): min(3.0, 2 * (f / 5 - 0.3)) for f in range(2, 11)}
+    assert got == pytest.approx(want)

@@ -59,11 +59,16 @@ def with_spawn(keyframes: DataFrame, spawns: DataFrame, key: str, least: float =
     return keyframes.select(key, "t_s", "x", "y", "yaw").unionByName(later.select(key, c("start_s").alias("t_s"), c("s_x").alias("x"), c("s_y").alias("y"), c("s_yaw").alias("yaw")))
 
 
+def first_key_rule(first: Column, start: Column, x: Column, y: Column, yaw: Column, least: float = 1e-9) -> Column:
+    """What the first keyframe (t_s, x, y, yaw; null if there is none) of an actor breaks that starts at ``start`` in a pose; null if nothing."""
+    off = F.greatest(F.abs(first["x"] - x), F.abs(first["y"] - y), F.abs(shortest_delta(yaw, first["yaw"])))
+    gap = first["t_s"] - start
+    return F.when(first.isNull(), "no_keyframes").when(gap < -least, "before_spawn").when((F.abs(gap) <= least) & (off > 1e-6), "spawn_mismatch")
+
+
 def keyframe_faults(keyframes: DataFrame, spawns: DataFrame, key: str, least: float = 1e-9) -> DataFrame:
     """(key, rule): actors without keyframes, with one before the spawn, or whose first one is at the spawn in another pose."""
-    off = F.greatest(F.abs(c("first.x") - c("s_x")), F.abs(c("first.y") - c("s_y")), F.abs(shortest_delta(c("s_yaw"), c("first.yaw"))))
-    gap = c("first.t_s") - c("start_s")
-    rule = F.when(c("first").isNull(), "no_keyframes").when(gap < -least, "before_spawn").when((F.abs(gap) <= least) & (off > 1e-6), "spawn_mismatch")
+    rule = first_key_rule(c("first"), c("start_s"), c("s_x"), c("s_y"), c("s_yaw"), least)
     return _first_keys(keyframes, spawns, key).select(key, rule.alias("rule")).where("rule is not null")
 
 
@@ -78,15 +83,22 @@ def keyframe_states(times: DataFrame, keyframes: DataFrame, key: str, smooth: Co
     both = k.unionByName(times.select(key, "t_s", F.lit(1).alias("probe"), F.lit(None).cast(k.schema["p"].dataType).alias("p")))
     order = Window.partitionBy(key).orderBy("t_s", "probe")
     met = both.withColumn("p", F.coalesce(F.last("p", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first("p", True).over(order.rowsBetween(0, Window.unboundedFollowing)))).where("probe = 1 and p is not null")
-    still = (c("t_s") < c("p.t_s")) | c("p.t_s1").isNull() | (c("p.opens") & (c("t_s") <= c("p.t_s")))
-    dt = c("p.t_s1") - c("p.t_s")
-    u = F.try_divide(c("t_s") - c("p.t_s"), dt)
+    at = between_keys(c("t_s"), c("p"), smooth)
+    return met.select(key, "t_s", *[at[n].alias(n) for n in ("x", "y", "yaw", "vx", "vy")]).withColumn("speed_mps", F.hypot("vx", "vy"))
+
+
+def between_keys(t: Column, p: Column, smooth: Column) -> dict[str, Column]:
+    """x, y, yaw, vx, vy at ``t`` from the keyframe that it met: ``p`` holds t_s, x, y, yaw, the next one's with a 1
+    behind (null at the last), and whether it ``opens`` its key's."""
+    still = (t < p["t_s"]) | p["t_s1"].isNull() | (p["opens"] & (t <= p["t_s"]))
+    dt = p["t_s1"] - p["t_s"]
+    u = F.try_divide(t - p["t_s"], dt)
     at = F.when(smooth, smoothstep(u)).otherwise(u)
     rate = F.try_divide(F.when(smooth, smoothstep_slope(u)).otherwise(1.0), dt)
-    pos = lambda n: F.when(still, c(f"p.{n}")).otherwise(lerp(c(f"p.{n}"), c(f"p.{n}1"), at))
-    vel = lambda n: F.when(still, 0.0).otherwise((c(f"p.{n}1") - c(f"p.{n}")) * rate)
-    yaw = F.when(still, wrap180(c("p.yaw"))).otherwise(lerp_yaw(c("p.yaw"), c("p.yaw1"), at))
-    return met.select(key, "t_s", pos("x").alias("x"), pos("y").alias("y"), yaw.alias("yaw"), vel("x").alias("vx"), vel("y").alias("vy")).withColumn("speed_mps", F.hypot("vx", "vy"))
+    pos = lambda n: F.when(still, p[n]).otherwise(lerp(p[n], p[f"{n}1"], at))
+    vel = lambda n: F.when(still, 0.0).otherwise((p[f"{n}1"] - p[n]) * rate)
+    yaw = F.when(still, wrap180(p["yaw"])).otherwise(lerp_yaw(p["yaw"], p["yaw1"], at))
+    return {"x": pos("x"), "y": pos("y"), "yaw": yaw, "vx": vel("x"), "vy": vel("y")}
 
 
 def sprite_schedule(frame: Column, start: int, end: int, heights: tuple[float, float], aspect: float, image: tuple[int, int], centre: float, bottom: float, drift: float) -> dict[str, Column]:

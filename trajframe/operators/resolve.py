@@ -40,20 +40,37 @@ def path_states(times: DataFrame, points: DataFrame, key: str) -> DataFrame:
 
     Distances meet their segment in one union and one sorted window instead of a range join.
     """
+    p = path_segments(points, key)
+    kind = p.schema["s"].dataType
+    both = p.select(key, c("s.arc").alias("distance"), F.lit(0).alias("probe"), F.lit(None).cast("double").alias("t_s"), F.lit(None).cast("double").alias("speed"), "s", "i")
+    both = both.unionByName(times.select(key, F.greatest("distance", F.lit(0.0)).alias("distance"), F.lit(1).alias("probe"), c("t_s").cast("double").alias("t_s"), c("speed").cast("double").alias("speed"), F.lit(None).cast(kind).alias("s"), F.lit(None).cast(p.schema["i"].dataType).alias("i")))
+    order = Window.partitionBy(key).orderBy("distance", "probe", "i").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("s", F.last("s", True).over(order)).where("probe = 1 and s is not null")
+    at = along_segment(c("distance"), c("s"))
+    return met.select(key, "t_s", at["x"].alias("x"), at["y"].alias("y"), at["yaw"].alias("yaw"), F.when(at["end"], 0.0).otherwise(c("speed")).alias("speed_mps"))
+
+
+def path_segments(points: DataFrame, key: str) -> DataFrame:
+    """(key, i, s): each point (key, i, x, y) as the beginning of a segment: its arc, the next one's, and both neighbours."""
     w = Window.partitionBy(key).orderBy("i")
     step = F.hypot(c("x") - F.lag("x").over(w), c("y") - F.lag("y").over(w))
     p = points.withColumn("arc", F.sum(F.coalesce(step, F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     p = p.withColumns({"px": F.lag("x").over(w), "py": F.lag("y").over(w), "qx": F.lead("x").over(w), "qy": F.lead("y").over(w), "next": F.lead("arc").over(w)})
-    seg = F.struct("arc", "next", "x", "y", "px", "py", "qx", "qy")
-    kind = p.select(seg.alias("s")).schema["s"].dataType
-    both = p.select(key, c("arc").alias("distance"), F.lit(0).alias("probe"), F.lit(None).cast("double").alias("t_s"), F.lit(None).cast("double").alias("speed"), seg.alias("s"), "i")
-    both = both.unionByName(times.select(key, F.greatest("distance", F.lit(0.0)).alias("distance"), F.lit(1).alias("probe"), c("t_s").cast("double").alias("t_s"), c("speed").cast("double").alias("speed"), F.lit(None).cast(kind).alias("s"), F.lit(None).cast(p.schema["i"].dataType).alias("i")))
-    order = Window.partitionBy(key).orderBy("distance", "probe", "i").rowsBetween(Window.unboundedPreceding, 0)
-    met = both.withColumn("s", F.last("s", True).over(order)).where("probe = 1 and s is not null")
-    end = c("s.next").isNull() | (c("s.next") - c("s.arc") <= 1e-9)
-    u = (c("distance") - c("s.arc")) / (c("s.next") - c("s.arc"))
-    yaw = F.degrees(F.when(end, F.atan2(c("s.y") - c("s.py"), c("s.x") - c("s.px"))).otherwise(F.atan2(c("s.qy") - c("s.y"), c("s.qx") - c("s.x"))))
-    return met.select(key, "t_s", F.when(end, c("s.x")).otherwise(lerp(c("s.x"), c("s.qx"), u)).alias("x"), F.when(end, c("s.y")).otherwise(lerp(c("s.y"), c("s.qy"), u)).alias("y"), wrap180(yaw).alias("yaw"), F.when(end, 0.0).otherwise(c("speed")).alias("speed_mps"))
+    return p.select(key, "i", F.struct("arc", "next", "x", "y", "px", "py", "qx", "qy").alias("s"))
+
+
+def along_segment(distance: Column, s: Column) -> dict[str, Column]:
+    """x, y, yaw at a distance on the segment that it met, and whether it is the path's end."""
+    end = s["next"].isNull() | (s["next"] - s["arc"] <= 1e-9)
+    u = (distance - s["arc"]) / (s["next"] - s["arc"])
+    yaw = F.degrees(F.when(end, F.atan2(s["y"] - s["py"], s["x"] - s["px"])).otherwise(F.atan2(s["qy"] - s["y"], s["qx"] - s["x"])))
+    return {"x": F.when(end, s["x"]).otherwise(lerp(s["x"], s["qx"], u)), "y": F.when(end, s["y"]).otherwise(lerp(s["y"], s["qy"], u)), "yaw": wrap180(yaw), "end": end}
+
+
+def frames_between(start: Column, end: Column, last: Column, fps: Column) -> Column:
+    """Array of the frames from 0 to ``last`` that may lie between two times, one to spare on each side; null times are open ends."""
+    within = lambda v: F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), last.cast("double")).cast("long"))
+    return F.sequence(F.coalesce(within(F.floor(start * fps) - 1.0), F.lit(0).cast("long")), F.coalesce(within(F.ceil(end * fps) + 1.0), last))
 
 
 def resolved(actors: DataFrame, frames: DataFrame, key: list[str], scenario: str, fps: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trajframe.functions.runtime import number_tag
 from trajframe.operators import maneuvers, motion, resolve
-from trajframe.sources.folders import kept
+from trajframe.sources.folders import bounded, kept
 
 c = F.col
 #: What the tags of documents may be.
@@ -119,42 +119,66 @@ def resolve_scenarios(actors: DataFrame) -> tuple[DataFrame, DataFrame]:
     early = F.when(~F.coalesce(sound, F.lit(False)), "no frames: duration or fps").when(c("x0").isNull() | c("y0").isNull(), "no spawn").when(~known, F.concat(F.lit("unknown motion: "), F.coalesce("motion.mode", F.lit("none"))))
     early = early.when((c("motion.mode") == "maneuver") & ~F.coalesce(man.isin("static", "straight", "following", "oncoming"), F.lit(False)), F.concat(F.lit("unresolved maneuver: "), F.coalesce(man, F.lit("none"))))
     early = early.when((c("motion.mode") == "path") & (c("motion.path.target_speed_mps").isNull() | (c("motion.path.target_speed_mps") <= 0)), "no target speed")
-    one = Window.partitionBy("who")
-    rows = rows.withColumn("error", F.when(F.count(F.lit(1)).over(one) > 1, "actor_id repeats").otherwise(early))
-    rows = kept(rows, "scenario-actors")
-
-    keyed = rows.where("error is null and motion.mode = 'keyframes'")
-    keys = keyed.select("who", F.explode("motion.keyframes.keyframes").alias("k")).select("who", "k.*").select("who", "t_s", c("x_m").alias("x"), c("y_m").alias("y"), c("yaw_deg").alias("yaw"))
-    spawns = keyed.select("who", c("spawn_s").alias("start_s"), c("x0").alias("x"), c("y0").alias("y"), c("yaw0").alias("yaw"))
-    key_faults = maneuvers.keyframe_faults(keys, spawns, "who").select(c("who").alias("of"), F.concat(F.lit("keyframes: "), "rule").alias("fault"))
-    pathed = rows.where("error is null and motion.mode = 'path'").select("who", "x0", "y0", "motion.path.waypoints", "motion.path.interpolation")
-    points = kept(path_points(pathed, "who"), "scenario-paths")
-    short = pathed.join(points.groupBy("who").agg(F.count(F.lit(1)).alias("n")), "who", "left").where("coalesce(n, 0) < 2").select(c("who").alias("of"), F.lit("path has less than two points").alias("fault"))
-    faults = key_faults.unionByName(short)
-    rows = rows.join(faults, c("who") == c("of"), "left").withColumn("error", F.coalesce("error", "fault")).drop("of", "fault")
-
-    frame = F.explode(F.sequence(F.lit(0).cast("long"), F.bround(c("duration_s") * c("fps")).cast("long")))
-    alive = rows.where("error is null").withColumn("frame", frame).withColumn("t_s", c("frame") / c("fps")).where(resolve.alive(c("t_s"), c("spawn_s"), c("end_s")))
-    alive = alive.select("who", "is_ego", "fps", "frame", "t_s", "x0", "y0", "yaw0", "spawn_s", "motion")
-    by_mode = lambda m: alive.where(c("motion.mode") == m)
+    rows = kept(rows.withColumn("early", early), "scenario-actors")
+    # Only ids that repeat come back to the rows, and there are few if any: no actor's motion is shuffled.
+    repeats = kept(rows.groupBy(c("who").alias("of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "scenario-repeats")
+    keys, spawn = _keys(c("motion.keyframes.keyframes")), F.struct(c("spawn_s").alias("t_s"), F.lit(-1).alias("n"), c("x0").alias("x"), c("y0").alias("y"), c("yaw0").alias("yaw"))
+    fault = F.when(c("motion.mode") == "keyframes", F.concat(F.lit("keyframes: "), maneuvers.first_key_rule(F.get(keys, F.lit(0)), c("spawn_s"), c("x0"), c("y0"), c("yaw0"))))
+    fault = fault.when((c("motion.mode") == "path") & ~_moves(c("x0"), c("y0"), c("motion.path.waypoints")), "path has less than two points")
+    rows = rows.join(repeats, c("who") == c("of"), "left").withColumn("error", F.when(c("n").isNotNull(), "actor_id repeats").otherwise(F.coalesce("early", fault))).drop("of", "n", "early")
+
+    last = F.bround(c("duration_s") * c("fps")).cast("long")
+    sound_rows = rows.where("error is null").withColumn("last", last)
+    by_mode = lambda m: sound_rows.where(c("motion.mode") == m)
+    # Each piece of a motion gives its own frames, so that times meet no table: their number is all that grows.
+    timed = lambda pieces, frames: pieces.withColumn("frame", F.explode(frames)).withColumn("t_s", c("frame") / c("fps")).where(resolve.alive(c("t_s"), c("spawn_s"), c("end_s")))
+    state = ["who", "is_ego", "fps", "frame", "t_s", "x", "y", "yaw"]
     m = "motion.maneuver"
-    scripted = resolve.maneuver_states(by_mode("maneuver").select("who", "is_ego", "fps", "frame", "t_s", "x0", "y0", "yaw0", c(f"{m}.maneuver").alias("maneuver"), c(f"{m}.start_time_s").alias("start_s"), c(f"{m}.duration_s").alias("duration_s"), c(f"{m}.speed_mps").alias("speed"))).select("who", "is_ego", "fps", "frame", "t_s", "x", "y", "yaw")
-    asked = by_mode("path").select("who", "t_s", c("motion.path.target_speed_mps").alias("speed"), (c("motion.path.target_speed_mps") * F.greatest(c("t_s") - c("spawn_s"), F.lit(0.0))).alias("distance"))
-    on_path = resolve.path_states(asked, points, "who")
-    smooth = keyed.select(c("who").alias("of"), (c("motion.keyframes.interpolation") == "smooth").alias("smooth"))
-    # The key carries how it interpolates, so that states need no further join.
-    full = maneuvers.with_spawn(keys, spawns, "who").join(smooth, c("who") == c("of")).select(F.struct("who", "smooth").alias("who"), "t_s", "x", "y", "yaw")
-    times = by_mode("keyframes").select(F.struct("who", (c("motion.keyframes.interpolation") == "smooth").alias("smooth")).alias("who"), "t_s")
-    between = maneuvers.keyframe_states(times, full, "who", c("who.smooth")).select(c("who.who").alias("who"), "t_s", "x", "y", "yaw")
-    placed = on_path.select("who", "t_s", "x", "y", "yaw").unionByName(between)
-    at = alive.where("motion.mode <> 'maneuver'").select("who", "is_ego", "fps", "frame", "t_s").join(placed, ["who", "t_s"]).select("who", "is_ego", "fps", "frame", "t_s", "x", "y", "yaw")
-    states = kept(motion.velocities(scripted.unionByName(at), ["who"], fps=c("fps")), "scenario-states")
+    scripted = timed(by_mode("maneuver"), F.sequence(F.lit(0).cast("long"), c("last")))
+    scripted = resolve.maneuver_states(scripted.select("who", "is_ego", "fps", "frame", "t_s", "x0", "y0", "yaw0", c(f"{m}.maneuver").alias("maneuver"), c(f"{m}.start_time_s").alias("start_s"), c(f"{m}.duration_s").alias("duration_s"), c(f"{m}.speed_mps").alias("speed"))).select(*state)
+
+    full = F.when(F.get(keys, F.lit(0))["t_s"] > c("spawn_s") + 1e-9, F.concat(F.array(spawn), keys)).otherwise(keys)
+    keyed = by_mode("keyframes").select("who", "is_ego", "fps", "last", "spawn_s", "end_s", (c("motion.keyframes.interpolation") == "smooth").alias("smooth"), full.alias("keys"))
+    ahead = lambda i: F.get("keys", i + 1)
+    piece = lambda k, i: F.struct(*[k[n].alias(n) for n in ("t_s", "x", "y", "yaw")], (i == 0).alias("opens"), *[ahead(i)[n].alias(f"{n}1") for n in ("t_s", "x", "y", "yaw")])
+    keyed = keyed.withColumn("p", F.explode(F.transform("keys", piece))).drop("keys")
+    p, t = c("p"), c("t_s")
+    keyed = timed(keyed, resolve.frames_between(F.when(~p["opens"], p["t_s"]), p["t_s1"], c("last"), c("fps"))).where((p["opens"] | (t >= p["t_s"])) & (p["t_s1"].isNull() | (t < p["t_s1"])))
+    between = maneuvers.between_keys(t, p, c("smooth"))
+    keyed = keyed.select("who", "is_ego", "fps", "frame", "t_s", *[between[n].alias(n) for n in ("x", "y", "yaw")])
+
+    # The key carries what a path's frames need, so that its pieces meet no table either.
+    ask = F.struct("who", "is_ego", "fps", "last", "spawn_s", "end_s", c("motion.path.target_speed_mps").alias("speed"))
+    pathed = by_mode("path").select(ask.alias("ask"), "x0", "y0", "motion.path.waypoints", "motion.path.interpolation")
+    pathed = resolve.path_segments(path_points(pathed, "ask"), "ask").select("ask.*", "s")
+    s, since = c("s"), lambda arc: c("spawn_s") + arc / c("speed")
+    pathed = timed(pathed, resolve.frames_between(since(s["arc"]), since(s["next"]), c("last"), c("fps"))).withColumn("distance", c("speed") * F.greatest(t - c("spawn_s"), F.lit(0.0)))
+    along = resolve.along_segment(c("distance"), s)
+    pathed = pathed.where((c("distance") >= s["arc"]) & (s["next"].isNull() | (c("distance") < s["next"]))).select("who", "is_ego", "fps", "frame", "t_s", *[along[n].alias(n) for n in ("x", "y", "yaw")])
+
+    most = sound_rows.agg(F.sum(c("last") + 1)).first()[0] or 0  # one number
+    states = bounded(scripted.unionByName(keyed).unionByName(pathed), most, "who")
+    states = kept(motion.velocities(states, ["who"], fps=c("fps")), "scenario-states")
     frames = states.select("who.scenario_id", "who.actor_id", "is_ego", "frame", "t_s", "x", "y", "yaw", "speed_mps", "vx", "vy")
     counted = states.groupBy(c("who").alias("of")).agg(F.count(F.lit(1)).alias("frames"))
     outcome = rows.join(counted, c("who") == c("of"), "left").select("scenario_id", "actor_id", "is_ego", F.coalesce("frames", F.lit(0)).cast("long").alias("frames"), F.coalesce("error", F.when(c("frames").isNull(), F.lit("never alive at a frame"))).alias("error"))
     return frames, outcome
 
 
+def _keys(keys: Column) -> Column:
+    """Array of (t_s, n, x, y, yaw) of keyframes with a time, in order of time and place."""
+    named = F.transform(keys, lambda k, i: F.struct(k["t_s"].alias("t_s"), i.alias("n"), k["x_m"].alias("x"), k["y_m"].alias("y"), k["yaw_deg"].alias("yaw")))
+    return F.array_sort(F.filter(named, lambda k: k["t_s"].isNotNull()))
+
+
+def _moves(x: Column, y: Column, waypoints: Column, least: float = 1e-9) -> Column:
+    """Whether a path has a second point, as :func:`path_points` drops repeats."""
+    points = F.concat(F.array(F.struct(x.alias("x_m"), y.alias("y_m"))), waypoints)
+    steps = F.zip_with(points, F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda a, b: F.struct(F.hypot(b["x_m"] - a["x_m"], b["y_m"] - a["y_m"]).alias("step")))
+    far = F.exists(F.slice(steps, 1, F.greatest(F.size(points) - 1, F.lit(0))), lambda s: s["step"].isNull() | (s["step"] > least))
+    return F.coalesce(far, F.lit(False))
+
+
 # From requests
 
 #: What a request leaves out, for every type, and for the types whose own constructors differ.

@@ -1,4 +1,4 @@
-"""Where intermediate tables go."""
+"""Where intermediate tables go, and over how many tasks large ones are dealt."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows a task of :func:`bounded`.
+TASK_ROWS = 250_000
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path that the driver and all executors see: under ``spark.checkpoint.dir``.
@@ -29,3 +32,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """``df`` dealt by ``key`` over so many tasks that each has about ``TASK_ROWS`` of its ``rows``, however many these are.
+
+    Sorts, windows and groups by ``key`` after it keep these tasks; a fixed number of them would hold ever more rows each.
+    """
+    return df.repartition(max(1, -(-rows // TASK_ROWS)), *key)
