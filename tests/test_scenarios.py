@@ -163,3 +163,16 @@ def test_frames_meet_long_keyframes_and_paths(spark, folder):
     got = {(r.actor_id, r.frame): r.x for r in frames.where("not is_ego").collect()}
     want = {("k", f): min(7.0, 7 * f / 5) for f in range(11)} | {("p", f): min(3.0, 2 * (f / 5 - 0.3)) for f in range(2, 11)}
     assert got == pytest.approx(want)
+
+
+def test_documents_are_dealt_by_their_frames(spark, folder, monkeypatch):
+    """Documents are made by tasks of a bounded number of frames, and their actors are described without a shuffle."""
+    frames, _, raw = resolved(spark, folder(*[spec(scenario_id=f"s{n}") for n in range(3)]))
+    asked, deal = [], documents.bounded
+    monkeypatch.setattr(documents, "bounded", lambda df, rows, *key: asked.append((rows, key)) or deal(df, rows, *key))
+    docs = documents.resolved_documents(documents.typed_scenarios(raw), frames).withColumn("unparsed", F.lit(None).cast("string"))
+    assert asked == [(3 * 38, ("scenario_id",))]
+    told = documents.actor_info_of_frames(docs.where("scenario_id = 's1'").select("scenario_id", "unparsed", "actor_frames", F.filter("actors", lambda a: a["actor_id"] != "p").alias("actors")))
+    assert {(r.actor_id, r.actor_type, r.n) for r in told.groupBy("actor_id", "actor_type").agg(F.count(F.lit(1)).alias("n")).collect()} == {("m", "vehicle", 11), ("p", None, 11), ("k", "vehicle", 5)}
+    empty = spark.createDataFrame([], docs.schema)
+    assert "Join" not in documents.actor_info_of_frames(empty)._jdf.queryExecution().analyzed().toString()

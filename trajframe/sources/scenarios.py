@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajframe.sources.folders import bounded
+
 c = F.col
 POINT = "struct<x_m:double,y_m:double>"
 POSE2 = "struct<x_m:double,y_m:double,yaw_deg:double>"
@@ -93,10 +95,11 @@ def write_documents(rows: DataFrame, path: str) -> None:
 def resolved_documents(scenarios: DataFrame, frames: DataFrame) -> DataFrame:
     """Resolved documents from scenarios and their frames (scenario_id, actor_id, is_ego, frame, t_s, x, y, yaw, speed_mps, vx, vy).
 
-    A document holds its scenario's frames in order, so its size is bounded by the scenario's length.
+    A document holds its scenario's frames in order, so its size is bounded by the scenario's length; a task makes the
+    documents of a bounded number of frames.
     """
     named = lambda *first: F.struct(c("frame").alias("frame_idx"), "t_s", *first, c("x").alias("x_m"), c("y").alias("y_m"), c("yaw").alias("yaw_deg"), "speed_mps", c("vx").alias("vx_mps"), c("vy").alias("vy_mps"))
-    docs = frames.groupBy("scenario_id").agg(F.array_sort(F.collect_list(F.when(c("is_ego"), named()))).alias("ego_frames"), F.array_sort(F.collect_list(F.when(~c("is_ego"), named("actor_id")))).alias("actor_frames"))
+    docs = bounded(frames, frames.count(), "scenario_id").groupBy("scenario_id").agg(F.array_sort(F.collect_list(F.when(c("is_ego"), named()))).alias("ego_frames"), F.array_sort(F.collect_list(F.when(~c("is_ego"), named("actor_id")))).alias("actor_frames"))
     info = F.transform("actors", lambda a: F.struct(a["actor_id"].alias("actor_id"), a["actor_type"].alias("actor_type"), a["role"].alias("role"), a["asset_key"].alias("asset_key"), a["dimensions_m"].alias("dimensions_m"), a["lifecycle"]["spawn_time_s"].alias("spawn_time_s"), a["lifecycle"]["despawn_time_s"].alias("despawn_time_s")))
     none = lambda k: F.array().cast(f"array<{k}>")
     return scenarios.select("scenario_id", c("description").alias("source_description"), "duration_s", "fps", "seed", "camera", info.alias("actors")).join(docs, "scenario_id", "left").select(
@@ -111,7 +114,13 @@ def resolved_frames(documents: DataFrame) -> DataFrame:
 
 
 def actor_info_of_frames(documents: DataFrame) -> DataFrame:
-    """Each actor frame of read resolved documents beside its actor's description; null where the document has none."""
-    frames = resolved_frames(documents).where(~c("is_ego"))
-    info = documents.where("unparsed is null").select("scenario_id", F.explode("actors").alias("i")).select("scenario_id", "i.*")
-    return frames.join(info, ["scenario_id", "actor_id"], "left")
+    """Each actor frame of read resolved documents beside its actor's description; null where the document has none.
+
+    A document holds both, so that no frame is shuffled.
+    """
+    both = documents.where("unparsed is null").select("scenario_id", "actors", F.explode("actor_frames").alias("d"))
+    described = F.filter(F.coalesce("actors", F.array().cast(f"array<{ACTOR_INFO}>")), lambda a: a["actor_id"] == c("d.actor_id"))
+    rows = both.select("scenario_id", "d", F.explode_outer(described).alias("i"))
+    frame = {"actor_id": "actor_id", "is_ego": None, "frame": "frame_idx", "t_s": "t_s", "x": "x_m", "y": "y_m", "yaw": "yaw_deg", "speed_mps": "speed_mps", "vx": "vx_mps", "vy": "vy_mps"}
+    info = ("actor_type", "role", "asset_key", "dimensions_m", "spawn_time_s", "despawn_time_s")
+    return rows.select("scenario_id", *[(c("d")[v] if v else F.lit(False)).alias(k) for k, v in frame.items()], *[c("i")[k].alias(k) for k in info])
