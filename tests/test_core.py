@@ -196,3 +196,14 @@ def test_metadata_of_culled_and_unknown(spark):
 
 def test_entry_has_queries():
     assert set(core.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_corners_box_is_pair_box_without_arrays(spark):
+    """The same boxes from plain expressions; the query's plan calls no function over arrays, which are interpreted."""
+    rows = [(0.0, -9.0, 0.0), (500.0, 10.0, 0.0), (0.0, 10.0, 30.0), (None, 10.0, 0.0), (1.0, 1.9, 45.0), (0.0, 0.05, 90.0), (-3.0, 2.0, 180.0), (float("nan"), 9.0, 0.0)]
+    df = spark.createDataFrame(rows, "x double, z double, yaw double")
+    box = (4.5, 1.8, 1.5, 0.05)
+    a, b = geometry.pair_box(geometry.corner_points(df.x, df.z, df.yaw, *box)), geometry.corners_box(geometry.corners(df.x, df.z, df.yaw, *box))
+    got = [[tuple(map(plain, r)) for r in df.select(*[v.alias(k) for k, v in s.items()]).collect()] for s in (a, b)]
+    assert got[0] == got[1] and len({r[1] for r in got[0]}) == 3
+    assert "lambda" not in core.queries()["p19_pair_box"](spark, SF)._jdf.queryExecution().toString()

@@ -77,16 +77,21 @@ def road_contact(z: Column, points: list[tuple[float, float]]) -> Column:
     return out.when(z.isNotNull(), points[-1][1])
 
 
-def corner_points(x: Column, z: Column, yaw: Column, length: float, width: float, height: float, nearest: float = 1e-4) -> Column:
-    """Array of the image points (u, v) and depths d of a standing box's eight corners; corners not beyond ``nearest`` are left out."""
+def corners(x: Column, z: Column, yaw: Column, length: float, width: float, height: float, nearest: float = 1e-4) -> list[tuple[Column, Column, Column]]:
+    """Image points and depths (u, v, d) of a standing box's eight corners, null where not beyond ``nearest``."""
     cos, sin = _axes(yaw)
     points = []
     for ahead in (-length / 2, length / 2):
         for right in (-width / 2, width / 2):
             cx, cz = x + ahead * sin + right * cos, z + ahead * cos - right * sin
             for up in (0.0, height):
-                point = F.struct((WIDTH / 2.0 + focal() * cx / cz).alias("u"), (HEIGHT / 2.0 + focal() * (MOUNT_UP - up) / cz).alias("v"), cz.alias("d"))
-                points.append(F.when(cz > nearest, point))
+                points.append(tuple(F.when(cz > nearest, v) for v in (WIDTH / 2.0 + focal() * cx / cz, HEIGHT / 2.0 + focal() * (MOUNT_UP - up) / cz, cz)))
+    return points
+
+
+def corner_points(x: Column, z: Column, yaw: Column, length: float, width: float, height: float, nearest: float = 1e-4) -> Column:
+    """Array of the image points (u, v) and depths d of :func:`corners`; corners not beyond ``nearest`` are left out."""
+    points = [F.when(d.isNotNull(), F.struct(u.alias("u"), v.alias("v"), d.alias("d"))) for u, v, d in corners(x, z, yaw, length, width, height, nearest)]
     return F.filter(F.array(*points), lambda p: p.isNotNull())
 
 
@@ -105,10 +110,26 @@ def pair_box(points: Column, width: int = WIDTH, height: int = HEIGHT) -> dict[s
     """Box around corner points as recorders give it: the reason where it is not visible, and the mean depth of the corners; unknown corners count as unseen."""
     points = F.filter(points, lambda p: p["u"].isNotNull() & p["v"].isNotNull())
     us, vs = F.transform(points, lambda p: p["u"]), F.transform(points, lambda p: p["v"])
-    x1, y1 = F.greatest(F.array_min(us), F.lit(0.0)), F.greatest(F.array_min(vs), F.lit(0.0))
-    x2, y2 = F.least(F.array_max(us), F.lit(width - 1.0)), F.least(F.array_max(vs), F.lit(height - 1.0))
-    depth = F.try_divide(F.aggregate(points, F.lit(0.0), lambda a, p: a + p["d"]), F.size(points))
+    depths = F.aggregate(points, F.lit(0.0), lambda a, p: a + p["d"])
+    return _reasoned(F.coalesce(F.size(points), F.lit(0)), F.array_min(us), F.array_max(us), F.array_min(vs), F.array_max(vs), depths, width, height)
+
+
+def corners_box(points: list[tuple[Column, Column, Column]], width: int = WIDTH, height: int = HEIGHT) -> dict[str, Column]:
+    """:func:`pair_box` of :func:`corners`, in plain expressions that are compiled; functions over arrays are interpreted row by row."""
+    seen = [u.isNotNull() & v.isNotNull() for u, v, _ in points]
+    us, vs = ([F.when(ok, p[k]) for ok, p in zip(seen, points, strict=True)] for k in (0, 1))
+    n, depths = F.lit(0), F.lit(0.0)
+    for ok, (_, _, d) in zip(seen, points, strict=True):
+        n, depths = n + ok.cast("int"), depths + F.when(ok, d).otherwise(0.0)
+    return _reasoned(n, F.least(*us), F.greatest(*us), F.least(*vs), F.greatest(*vs), depths, width, height)
+
+
+def _reasoned(n: Column, u1: Column, u2: Column, v1: Column, v2: Column, depths: Column, width: int, height: int) -> dict[str, Column]:
+    """Box and reason from the number of seen corners, the ends of their points and the sum of their depths."""
+    x1, y1 = F.greatest(u1, F.lit(0.0)), F.greatest(v1, F.lit(0.0))
+    x2, y2 = F.least(u2, F.lit(width - 1.0)), F.least(v2, F.lit(height - 1.0))
+    depth = F.try_divide(depths, n)
     outside = (x2 <= 0) | (x1 >= width) | (y2 <= 0) | (y1 >= height)
-    reason = F.when(F.coalesce(F.size(points), F.lit(0)) < 2, "bbox_behind_camera").when(outside, "bbox_outside_image").when((x2 <= x1) | (y2 <= y1), "bbox_invalid")
+    reason = F.when(n < 2, "bbox_behind_camera").when(outside, "bbox_outside_image").when((x2 <= x1) | (y2 <= y1), "bbox_invalid")
     boxed = {k: F.when(reason.isNull(), v) for k, v in (("x1", x1), ("y1", y1), ("x2", x2), ("y2", y2))}
     return {"visible": reason.isNull(), "reason": reason, "depth": F.when(F.coalesce(reason, F.lit("")).isin("", "bbox_outside_image"), depth)} | boxed

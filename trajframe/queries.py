@@ -488,9 +488,13 @@ pt as (select id, k, line, 640e0 + 640e0 * cx / cz as u, 360e0 + 640e0 * cy / cz
 q as (select n.k, n.line, g.*, case when coalesce(g.n, 0) < 2 then 'bbox_behind_camera' when x2 <= 0 or x1 >= 1280 or y2 <= 0 or y1 >= 720 then 'bbox_outside_image' when x2 <= x1 or y2 <= y1 then 'bbox_invalid' end as reason from n left join g using (id))
 select k, line, coalesce(reason, '') as reason, round(case when reason is null then x1 end, 4) as x1, round(case when reason is null then y2 end, 4) as y2, round(case when coalesce(reason, '') in ('', 'bbox_outside_image') then depth end, 5) as depth from q""")
 def p19_pair_box(spark, sf):
-    s = frames.states(spark, sf).select("k", "line", geometry.corner_points(c("x"), c("z"), c("yaw"), 4.5, 1.8, 1.5, 0.05).alias("points"))
-    b = geometry.pair_box(c("points"))
-    return s.select("k", "line", F.coalesce(b["reason"], F.lit("")).alias("reason"), F.round(b["x1"], 4).alias("x1"), F.round(b["y2"], 4).alias("y2"), F.round(b["depth"], 5).alias("depth"))
+    s = frames.states(spark, sf)
+    # Each value is a column before the next is made of it, so that none is computed more than once a row.
+    at = [dict(zip((f"u{k}", f"v{k}", f"d{k}"), p, strict=True)) for k, p in enumerate(geometry.corners(c("x"), c("z"), c("yaw"), 4.5, 1.8, 1.5, 0.05))]
+    s = s.select("k", "line", *[v.alias(n) for point in at for n, v in point.items()])
+    b = geometry.corners_box([tuple(c(n) for n in point) for point in at])
+    s = s.select("k", "line", *[b[n].alias(n) for n in ("reason", "x1", "y2", "depth")])
+    return s.select("k", "line", F.coalesce("reason", F.lit("")).alias("reason"), F.round("x1", 4).alias("x1"), F.round("y2", 4).alias("y2"), F.round("depth", 5).alias("depth"))
 
 
 @query("""with p as (select user_id as run, row_number() over (partition by user_id order by ts, event_id) - 1 as frame, value - 40 as x from events) select run, frame, 'warning' as severity, 'starts_far_behind' as message from p where frame = 0 and x < -10 union all select run, frame, 'warning', 'moves_far_behind' from p where x < -20""")
