@@ -1,5 +1,6 @@
 """Medians by histograms, smoothing by blocks, look-up by binary search, ordered logs and vectors against plain Python."""
 
+import json
 import math
 import statistics
 
@@ -224,3 +225,26 @@ def test_previews_keep_the_last_frame(spark):
     df = spark.createDataFrame([(1, f, 0.0, 10.0, 0.0) for f in range(3, 70)] + [(2, 9, 1.0, 1.0, 0.0)], "run long, frame long, x double, z double, yaw double")
     got = sorted((r.run, r.frame, r.sprite) for r in metadata.preview(df, ["run"], 30).collect())
     assert got == [(1, 3, 0), (1, 33, 0), (1, 63, 0), (1, 69, 0), (2, 9, 45)]
+
+
+def test_logs_that_share_a_file(spark, tmp_path):
+    """Each log keeps the last line of its own frames; a frame of another log in the file is no repeat."""
+    lines = [(1, 0, 1.0), (1, 1, 2.0), (2, 0, 3.0), (None, 0, 4.0), (1, 0, 5.0), (2, 0, 6.0)]
+    text = "".join(json.dumps({"run": r, "recorded_frame_idx": f, "t_s": t}) + "\n \n" for r, f, t in lines)
+    (tmp_path / "many.jsonl").write_text(text)
+    got = io.read_pose_log(spark, f"file://{tmp_path}", log="run long").collect()
+    assert {(r.run, r.recorded_frame_idx): r.t_s for r in got} == {(1, 0): 5.0, (1, 1): 2.0, (2, 0): 6.0, (None, 0): 4.0} and len(got) == 4
+
+
+def test_pose_log_query_writes_files_by_tasks(spark):
+    """Short logs share files: 1,500 users are not 1,500 files. Before, each run had its own."""
+    from trajframe import scenario_queries
+
+    read = []
+    of = io.empty_logs
+    try:
+        io.empty_logs = lambda spark, path, rows: read.append(path) or of(spark, path, rows)
+        scenario_queries.queries()["s1_pose_log"](spark, "/root/testdata/sf0.01")
+    finally:
+        io.empty_logs = of
+    assert len(spark.read.text(read[0]).inputFiles()) <= 4

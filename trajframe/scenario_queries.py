@@ -137,13 +137,13 @@ def s1_pose_log(spark, sf):
     p = frames.poses(spark, sf).select("run", "frame", "speed")
     again = p.where("frame % 3 = 1").select("run", "frame", F.lit(1).alias("nth"), (c("speed") + 100.0).alias("speed"))
     rows = p.select("run", "frame", F.lit(0).alias("nth"), "speed").unionByName(again)
-    line = F.to_json(F.struct(c("frame").alias("recorded_frame_idx"), c("speed").alias("ego_speed_mps")))
-    # Blank lines between, and repeats long after the first line of a frame.
+    line = F.to_json(F.struct("run", c("frame").alias("recorded_frame_idx"), c("speed").alias("ego_speed_mps")))
+    # Blank lines between, and repeats long after the first line of a frame. A file holds many runs: their number grows with the users.
     lines = rows.select("run", "nth", "frame", F.explode(F.when(c("frame") % 5 == 0, F.array(line, F.lit("  "))).otherwise(F.array(line))).alias("value"))
     path = shared_folder(spark, "logs")
-    lines.repartition("run").sortWithinPartitions("run", "nth", "frame").select("run", "value").write.partitionBy("run").text(path)
-    log = io.read_pose_log(spark, path, ["run"])
-    return log.select(c("run").cast("long").alias("run"), c("recorded_frame_idx").alias("frame"), c("ego_speed_mps").alias("speed"))
+    lines.repartition("run").sortWithinPartitions("run", "nth", "frame").select("value").write.text(path)
+    log = io.read_pose_log(spark, path, log="run long")
+    return log.select("run", c("recorded_frame_idx").alias("frame"), c("ego_speed_mps").alias("speed"))
 
 
 @query(f"""with {SYNTH}, r as (select case_id, frame, arg_max(visible, actor_id) as visible, arg_max(cx, actor_id) as cx, arg_max(depth, actor_id) as depth from real_ group by all), s as (select case_id, frame, count(*) as n, arg_min(visible, actor_id) as visible, arg_min(cx, actor_id) as cx from synth group by all)

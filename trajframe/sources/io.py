@@ -21,24 +21,31 @@ LABEL = f"sample_id long, requested_camera_relative_state {RELATIVE}, requested_
 NULL_WORDS = ("", "none", "null", "nan", "n/a", "na")
 
 
-def last_of_lines(spark: SparkSession, path: str, schema: str, of: str, key: list[str] | None = None) -> DataFrame:
+def last_of_lines(spark: SparkSession, path: str, schema: str, of: str, key: list[str] | None = None, log: list[str] | None = None) -> DataFrame:
     """(key, path, row): of the JSON lines of each file that repeat the field ``of`` the last one holds.
 
     A line's place is its file, where its part of the file begins, and its order in that part; parts are read from
     front to back, so that the place orders a file's lines however it is cut. Blank lines and lines without the field
-    are skipped. A file with nothing else is an error. ``key`` names partition columns of the folder to keep.
+    are skipped. A file with nothing else is an error. ``key`` names partition columns of the folder to keep, ``log``
+    fields of the lines that tell apart the logs that share a file.
     """
     lines = spark.read.text(path).select(*(key or []), c("_metadata.file_path").alias("path"), c("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("nth"), "value")
     rows = lines.where(F.trim("value") != "").select(*(key or []), "path", F.struct("part", "nth").alias("place"), F.from_json("value", schema).alias("row")).where(c(f"row.{of}").isNotNull())
     empty = empty_logs(spark, path, rows.select("path").distinct()).limit(5).collect()
     if empty:
         raise ValueError("logs without frames: " + ", ".join(r.path for r in empty))
-    return rows.groupBy(*(key or []), "path", c(f"row.{of}").alias("of")).agg(F.max_by("row", "place").alias("row")).drop("of")
+    own = [c(f"row.{n}").alias(f"of_{n}") for n in (*(log or []), of)]
+    return rows.groupBy(*(key or []), "path", *own).agg(F.max_by("row", "place").alias("row")).select(*(key or []), "path", "row")
 
 
-def read_pose_log(spark: SparkSession, path: str, key: list[str] | None = None) -> DataFrame:
-    """One row a frame of each file, as :func:`last_of_lines` settles repeats."""
-    return last_of_lines(spark, path, POSE, "recorded_frame_idx", key).select(*(key or []), "path", "row.*")
+def read_pose_log(spark: SparkSession, path: str, key: list[str] | None = None, log: str | None = None) -> DataFrame:
+    """One row a frame of each file, as :func:`last_of_lines` settles repeats.
+
+    ``log`` declares fields, as in a schema, by which lines name their log where a file holds many. Files without
+    number cost more than their lines: short logs are better kept together.
+    """
+    names = [f.split()[0] for f in (log or "").split(",") if f.strip()]
+    return last_of_lines(spark, path, f"{log}, {POSE}" if log else POSE, "recorded_frame_idx", key, names).select(*(key or []), "path", "row.*")
 
 
 #: A line of a version 1 log: one actor, whose box lies beside the frame's number.
