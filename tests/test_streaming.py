@@ -136,3 +136,13 @@ def test_image_boxes(spark):
     w, h = 70 + near * 450, 55 + near * 375
     assert tuple(rows[0]) == (int(640 - w / 2), int(720 * 0.88 - h / 2), int(640 + w / 2), min(719, int(720 * 0.88 + h / 2)))
     assert rows[1].x2 - rows[1].x1 == 70 and rows[2].x1 is None
+
+
+def test_image_track_runs_share_states(spark, tmp_path, monkeypatch):
+    """Runs share their lot's state and timer and keep apart; before, each had a state and calls of its own."""
+    monkeypatch.setattr(image_track, "LOTS", 1)
+    rows = seen_rows(5) + [(None, 3.0, 9001, 600.0, 0.5), (None, 4.0, 9002, 610.0, 0.5)]
+    stream = stream_of(spark, f"{tmp_path}/in", [rows], SEEN)
+    out = jobs.drained(spark, image_track.image_track(stream, SETTINGS, late="1 hour"), "lots", f"{tmp_path}/run")
+    assert out.count() == 0  # all wait for the watermark
+    assert spark.read.format("statestore").load(f"{tmp_path}/run/checkpoint").count() == 2  # one lot, and the rows without a run

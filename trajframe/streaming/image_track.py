@@ -5,13 +5,15 @@ watermark has passed them, which is when no earlier row can come any more, and a
 Rows that come later than ``late`` behind the newest are dropped by the engine. An event-time timer wakes a run for its
 waiting rows, and another one removes its state once the watermark is ``idle`` past its last row. A row that comes more
 than ``idle`` after the one before it starts its run anew at frame 0, whether the state is still there or not. State per
-run is a dozen numbers and the rows of at most ``late``.
+run is a dozen numbers and the rows of at most ``late``. Runs share the state of one of ``LOTS`` lots: a call from the
+engine costs milliseconds, so that a state of each run's own would cost far more than the rows of short runs.
 
 Rows without a time cannot be ordered and are left out. A row without a centre is one in which no lane was found.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trajframe.streaming.jobs import NOBODY
+
 c = F.col
 
 
@@ -45,7 +49,10 @@ class TrackSettings:
     most_gain: float = 0.55
 
 
-STATE = "frames long, last long, road double, started long, finished long, age long, start_u double, target_u double, at array<long>, ids array<long>, centres array<double>, confidences array<double>"
+#: Over how many states runs are dealt by their hash; fixed, as a stream's state outlives its program.
+LOTS = 1024
+#: By run: its number and the track's numbers; by waiting row: its run and its own.
+STATE = "runs array<long>, frames array<long>, last array<long>, road array<double>, started array<long>, finished array<long>, age array<long>, start_u array<double>, target_u array<double>, of array<long>, at array<long>, ids array<long>, centres array<double>, confidences array<double>"
 OUT = "run long, at long, event_id long, frame long, active boolean, reason string, road double, confidence double, progress double, age long, u double, v double"
 
 
@@ -63,10 +70,10 @@ class Track:
         """(frame, active, reason, road, confidence, progress, age, u, v) of the next frame."""
         s, frame = self.s, self.frames
         self.frames += 1
-        if np.isnan(centre):  # no lane: back to the default, slowly
+        if math.isnan(centre):  # no lane: back to the default, slowly
             confidence, self.road = 0.0, s.relaxing * self.road + (1.0 - s.relaxing) * (s.width * s.centre)
         else:
-            confidence = 0.0 if np.isnan(confidence) else confidence
+            confidence = 0.0 if math.isnan(confidence) else confidence
             self.road = s.smoothing * self.road + (1.0 - s.smoothing) * centre
         if self.started < 0 and frame >= s.trigger and (self.finished < 0 or (s.repeat and frame - self.finished >= s.gap)):
             self.started, self.age, self.start_u, self.target_u = frame, 0, self.road, self.road
@@ -91,48 +98,58 @@ class Track:
 def _stepper(settings: TrackSettings, idle_ms: int):
     names = [x.split()[0] for x in OUT.split(", ")]
 
+    kinds = {"run": np.int64, "at": np.int64, "event_id": np.int64, "centre": np.float64, "confidence": np.float64}
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *held, at, ids, centres, confidences = state.get if state.exists else (None, [], [], [], [])
-        track = Track(settings, tuple(held) if state.exists else None)
-        waiting = [np.array(at, np.int64), np.array(ids, np.int64), np.array(centres, np.float64), np.array(confidences, np.float64)]
+        runs, *held = state.get[:9] if state.exists else [[]] * 9
+        tracks = {run: Track(settings, numbers) for run, *numbers in zip(runs, *held, strict=True)}
+        waiting = [np.array(x, t) for x, t in zip(state.get[9:] if state.exists else [[]] * 5, kinds.values(), strict=True)]
+        nameless = key[0] == NAMELESS
         if not state.hasTimedOut:
             for pdf in batches:
-                waiting = [np.concatenate([x, pdf[n].to_numpy(x.dtype, na_value=np.nan) if x.dtype == np.float64 else pdf[n].to_numpy(x.dtype)]) for x, n in zip(waiting, ("at", "event_id", "centre", "confidence"), strict=True)]
-        order = np.lexsort((waiting[1], waiting[0]))
-        waiting = [x[order] for x in waiting]
+                pdf = pdf.assign(run=0) if nameless else pdf
+                waiting = [np.concatenate([x, pdf[n].to_numpy(x.dtype, na_value=np.nan) if x.dtype == np.float64 else pdf[n].to_numpy(x.dtype)]) for x, n in zip(waiting, kinds, strict=True)]
         mark_ms = max(0, state.getCurrentWatermarkMs())
-        due = int(np.searchsorted(waiting[0], mark_ms * 1000, side="right"))
+        order = np.lexsort((waiting[2], waiting[1], waiting[0]))
+        waiting = [x[order] for x in waiting]
+        ripe = waiting[1] <= mark_ms * 1000
         out = []
-        for k in range(due):
-            now = int(waiting[0][k])
-            if track.frames and now - track.last > idle_ms * 1000:
-                track = Track(settings)
+        for run, now, event, centre, confidence in zip(*[x[ripe].tolist() for x in waiting], strict=True):
+            track = tracks.get(run)
+            if track is None or (track.frames and now - track.last > idle_ms * 1000):
+                track = tracks[run] = Track(settings)
             track.last = now
-            out.append((key[0], now, int(waiting[1][k]), *track.step(float(waiting[2][k]), float(waiting[3][k]))))
-        waiting = [x[due:] for x in waiting]
-        if len(waiting[0]):
-            wake = int(waiting[0][0]) // 1000 + 1
-        else:
-            wake = track.last // 1000 + idle_ms
-        if not len(waiting[0]) and wake <= mark_ms:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((*track.held(), *[x.tolist() for x in waiting]))
-            state.setTimeoutTimestamp(max(wake, mark_ms + 1))
+            out.append((None if nameless else run, now, event, *track.step(centre, confidence)))
+        waiting = [x[~ripe] for x in waiting]
+        # A lot wakes for its first run that has rows to let out or has been silent for long enough to go.
+        new, first = np.unique(waiting[0], return_index=True)
+        wakes = dict(zip(new.tolist(), (waiting[1][first] // 1000 + 1).tolist(), strict=True))
+        tracks = {run: t for run, t in tracks.items() if run in wakes or t.last // 1000 + idle_ms > mark_ms}
+        wakes = {run: t.last // 1000 + idle_ms for run, t in tracks.items()} | wakes
+        tracks |= {run: Track(settings) for run in wakes if run not in tracks}
+        if tracks:
+            state.update(([*tracks], *[list(x) for x in zip(*[t.held() for t in tracks.values()], strict=True)], *[x.tolist() for x in waiting]))
+            state.setTimeoutTimestamp(max(min(wakes.values()), mark_ms + 1))
+        elif state.exists:
+            state.remove()
         if out:
-            yield pd.DataFrame(out, columns=names).astype({"age": "Int64"})
+            yield pd.DataFrame(out, columns=names).astype({"run": "Int64", "age": "Int64"})
 
     return step
 
 
+#: The lot of rows that name no run; the closing row's is its own number.
+NAMELESS = -1
+
+
 def image_track(frames: DataFrame, settings: TrackSettings = TrackSettings(), late: str = "2 hours", idle_s: int = 7 * 86_400) -> DataFrame:
     """A row a frame of a stream (run, ts, event_id, centre, confidence), in append mode: the track's state and image point.
 
     Columns as in ``OUT``, ``at`` being microseconds since 1970. Progress, age, u and v are null while no track is active.
     """
     rows = frames.where("ts is not null").select("run", "ts", F.unix_micros("ts").alias("at"), "event_id", c("centre").cast("double").alias("centre"), c("confidence").cast("double").alias("confidence"))
-    return rows.withWatermark("ts", late).groupBy("run").applyInPandasWithState(_stepper(settings, idle_s * 1000), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    lot = F.when(c("run").isNull(), F.lit(NAMELESS)).when(c("run") == NOBODY, c("run")).otherwise(F.pmod(F.xxhash64("run"), F.lit(LOTS)))
+    return rows.withColumn("lot", lot.cast("long")).withWatermark("ts", late).groupBy("lot").applyInPandasWithState(_stepper(settings, idle_s * 1000), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def image_box(u: Column, v: Column, s: TrackSettings = TrackSettings(), horizon: float = 0.45, widths: tuple[float, float] = (70.0, 520.0), heights: tuple[float, float] = (55.0, 430.0), power: float = 1.4) -> dict[str, Column]:
