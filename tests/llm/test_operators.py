@@ -2,7 +2,10 @@
 
 import hashlib
 import itertools
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -530,6 +533,36 @@ def test_chunks_are_safe_for_random_spacing():
     assert got.to_pylist() == [x.ids for x in t.encode_batch(many, add_special_tokens=False)]
 
 
+def test_words_seen_before_need_no_library():
+    bpe, sent = huffman.ByteBpe("byte_bpe_50k.json", pa.uint16()), []
+    encode = bpe.words.encode
+    bpe.words.encode = lambda words: (sent.append(len(words)), encode(words))[1]
+    g = np.random.default_rng(5)
+    words = np.unique(["".join(x) for x in g.choice(list("aeionrst"), (400_000, 7))])
+    parts = np.array_split(words, 3)
+    for x in parts:
+        bpe.encode(pa.array([" ".join(x)]))
+    before = sum(sent)
+    assert before >= len(words) - len(parts)  # a text's first word goes another way
+    for x in parts:
+        text = ", ".join(x)
+        assert bpe.encode(pa.array([text]))[0].as_py() == bpe.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sum(sent) - before <= len(parts) + 1  # those, and the comma
+
+
+def test_library_starts_no_threads():
+    code = """
+import os, pyarrow as pa
+from trajframe.llm import huffman
+bpe = huffman.ByteBpe("byte_bpe_50k.json", pa.uint16())
+before = len(os.listdir("/proc/self/task"))
+bpe._library([f"word{k} and more" for k in range(2000)])
+assert len(os.listdir("/proc/self/task")) == before, "threads"
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")} | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    subprocess.run([sys.executable, "-c", code], env=env, check=True, timeout=120)
+
+
 # 9
 
 

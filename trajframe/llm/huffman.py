@@ -14,6 +14,7 @@ Nulls: null text is empty (only the end id); null doc_ids come first. Repeated i
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -35,6 +36,8 @@ BLOCK_IDS = 262_144
 CHECKPOINT = 256
 #: Characters encoded in one call: the library's own results take hundreds of bytes a token while it lasts.
 LIBRARY_CHARS = 200_000
+#: Bytes of text encoded together: a part builds its memos' look-up tables anew, and repeats fewer pieces the longer it is.
+PART_BYTES = 8_000_000
 BLOCK_COLUMNS = ["pid", "base", "n_ids", "doc_ids", "lens", "offsets", "payload", "crc32"]
 
 #: Characters with Unicode's White_Space property (fixed values).
@@ -66,21 +69,23 @@ class ByteBpe:
 
     Letters, marks and a newline after them are always split, so that a new mixture needs no new encoding. Words that
     the memos lack are encoded together, joined by spaces or newlines, which splitting keeps apart; the ids of these
-    then tell the words apart again.
+    then tell the words apart again. Words get most of the room, for a word takes the library several times as long as
+    a piece of known words takes here. A task has one core, so the library starts no threads of its own.
     """
 
     def __init__(self, name: str, kind: pa.DataType, ordinary: bool = False):
         """kind: type of an id; ordinary: special tokens' strings in a text are ordinary text."""
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.kind = Tokenizer.from_file(tokenizer_path(name)), kind
         self.tokenizer.encode_special_tokens = ordinary
         names = self.tokenizer.get_vocab()
         first = np.array([x[:1] for x in sorted(names, key=names.get)])
         space, newline = (byte_letters()[ord(x)] for x in " \n")
         self.begins = {" ": first == space, "\n": np.arange(len(first)) == names[newline]}
-        self.pieces = PieceMemo(self._after_space, pa.list_(kind))
-        self.words = PieceMemo(self._words, pa.list_(kind), 8_000_000)
+        self.pieces = PieceMemo(self._after_space, pa.list_(kind), 8_000_000)
+        self.words = PieceMemo(self._words, pa.list_(kind))
         self.chunks = PieceMemo(self._apart, pa.list_(kind), 4_000_000)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +186,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(vocabulary, pa.uint16())
         for batch in batches:
-            for k, texts in by_size(batch.column(2)):
+            for k, texts in by_size(batch.column(2), PART_BYTES):
                 ids = bpe.encode(texts, end_id)
                 flat = ids.flatten().to_numpy().astype("<u2", copy=False)
                 offsets = np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy())) * 2
